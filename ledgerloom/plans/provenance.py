@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import uuid_key, uuid_text
+from ..functions.keys import digest_key, folded, instant_ms, uuid_key, uuid_text
+from ..operators import drift, reconcile, references, replay
 from ..operators import hierarchy as hier
 from ..sources.tables import table
 
@@ -41,4 +42,135 @@ def p1_circles(spark: SparkSession, d: str) -> DataFrame:
     return ring.select(uuid_text("root").alias("smallest_event_id"), "n_members", uuid_text("back_from").alias("back_edge_from"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_circles": p1_circles}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "manifest_raw")).select("file_name", "field", "change")
+
+
+def p2_versions(spark: SparkSession, d: str) -> DataFrame:
+    return drift.versions(table(spark, d, "manifest_raw"))
+
+
+def p2_table(spark: SparkSession, d: str) -> DataFrame:
+    t = drift.consistent_table(table(spark, d, "manifest_raw"))
+    return t.withColumns({"package_id": uuid_text(uuid_key("package_id")), "fields": F.to_json("fields")})
+
+
+def _referring(spark: SparkSession, d: str) -> DataFrame:
+    """One row (id, arrival, claim_id, target_claim_instance_id, instance) per event, as it first arrived."""
+    p = table(spark, d, "provenance").select(
+        uuid_key("event_id").alias("id"), "received_at", uuid_key("claim_id").alias("claim_id"), uuid_key("target_claim_instance_id").alias("target"), uuid_key("claim_instance_id").alias("instance")
+    )
+    one = p.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(F.col("received_at").isNull(), "received_at", "claim_id", "target", "instance")).alias("r"))
+    return one.select("id", F.col("r.received_at").alias("arrival"), "r.claim_id", F.col("r.target").alias("target_claim_instance_id"), "r.instance")
+
+
+def _orphans(spark: SparkSession, d: str, events: DataFrame) -> DataFrame:
+    m = table(spark, d, "manifest").select(uuid_key("claim_id").alias("claim"), "received_at", "deleted_at")
+    i = table(spark, d, "provenance").select(uuid_key("claim_instance_id").alias("instance"), "received_at")
+    return references.orphans(events, {"claim_id": references.records(m, "claim", "received_at", "deleted_at"), "target_claim_instance_id": references.records(i, "instance", "received_at")})
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _orphans(spark, d, _referring(spark, d)).select(uuid_text("id").alias("event_id"), "field", "kind")
+
+
+def _inherited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Direct orphans, and all orphans with their level: an event inherits from the event that first introduced its target."""
+    events = _referring(spark, d)
+    direct = _orphans(spark, d, events)
+    introduces = events.filter("instance IS NOT NULL").groupBy("instance").agg(F.min(F.struct("arrival", "id"))["id"].alias("parent"))
+    links = events.join(introduces.withColumnRenamed("instance", "target_claim_instance_id"), "target_claim_instance_id").select("id", "parent")
+    return direct, references.cascade(direct, links)
+
+
+def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Every orphaned event: level 0 direct, else the steps down from the nearest orphan."""
+    _, reached = _inherited(spark, d)
+    return reached.select(uuid_text("id").alias("event_id"), "level", F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("orphan"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans per table and month of arrival: direct ones by field and kind, inherited ones with field and kind ``*``."""
+    direct, reached = _inherited(spark, d)
+    arrivals = _referring(spark, d).select("id", "arrival")
+    rows = direct.select("arrival", "field", "kind").unionByName(reached.filter("level > 0").join(arrivals, "id").select("arrival", F.lit("*").alias("field"), F.lit("*").alias("kind")))
+    return rows.groupBy(F.lit("provenance").alias("table_name"), F.date_format("arrival", "yyyy-MM").alias("period"), "field", "kind").agg(F.count("*").alias("n_references"))
+
+
+LIFECYCLE = replay.Machine()
+
+
+def _claim_changes(spark: SparkSession, d: str, logs: bool) -> DataFrame:
+    p = table(spark, d, "provenance").select(
+        uuid_key("event_id").alias("id"),
+        uuid_key("claim_id").alias("key"),
+        folded("event_type").alias("event_type"),
+        instant_ms("timestamp").alias("ms"),
+        "received_at",
+        *([uuid_key("package_id").alias("log"), F.col("line_no").alias("seq")] if logs else []),
+    )
+    return replay.changes(p, id="id", key="key", code=LIFECYCLE.code(F.col("event_type")), ms="ms", arrival="received_at", **({"log": "log", "seq": "seq"} if logs else {}))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    reached = replay.replay(_claim_changes(spark, d, logs=False), LIFECYCLE).filter("state > 0")
+    m = table(spark, d, "manifest").select(uuid_key("claim_id").alias("key"), folded("state").alias("said"), "received_at")
+    said = m.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("received_at").isNull(), "received_at", F.col("said").isNull(), "said"))["said"].alias("said"))
+    apart = reached.withColumn("state", LIFECYCLE.name(F.col("state"))).join(said.filter("said IS NOT NULL"), "key").filter("said <> state")
+    return apart.select(uuid_text("key").alias("claim_id"), "state")
+
+
+def p4_state(spark: SparkSession, d: str) -> DataFrame:
+    """Every claim's state after all events, and after those up to the committed watermarks of the package logs."""
+    states = replay.replay(replay.mark_held(_claim_changes(spark, d, logs=True)), LIFECYCLE, held=True)
+    return states.select(uuid_text("key").alias("claim_id"), LIFECYCLE.name(F.col("state")).alias("state"), LIFECYCLE.name(F.col("committed_state")).alias("committed_state"), "n_changes", "n_held")
+
+
+def p4_watermarks(spark: SparkSession, d: str) -> DataFrame:
+    w = replay.watermarks(_claim_changes(spark, d, logs=True))
+    return w.select(uuid_text("log").alias("package_id"), "watermark")
+
+
+def _manifest_rows(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return table(spark, d, name).select(
+        uuid_key("claim_id").alias("key"),
+        uuid_key("claim_instance_id").alias("claim_instance_id"),
+        digest_key("hash").alias("hash"),
+        "path",
+        folded("state").alias("state"),
+        uuid_key("superseded_by_claim_id").alias("superseded_by_claim_id"),
+        F.array_sort(F.array_distinct("tags")).alias("tags"),
+    )
+
+
+def _event_rows(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return table(spark, d, name).select(
+        uuid_key("event_id").alias("key"),
+        uuid_key("claim_id").alias("claim_id"),
+        folded("event_type").alias("event_type"),
+        F.coalesce(instant_ms("timestamp").cast("string"), F.concat(F.lit("?"), F.col("timestamp"))).alias("timestamp"),
+        "actor",
+        uuid_key("prev_event_id").alias("prev_event_id"),
+    )
+
+
+def _copies(spark: SparkSession, d: str, one_record: bool) -> DataFrame:
+    out = None
+    for name, rows in (("manifest", _manifest_rows), ("provenance", _event_rows)):
+        left, right = rows(spark, d, name), rows(spark, d, f"{name}_mirror")
+        apart = reconcile.reconcile(left, right, "key", left.columns[1:], one_record)
+        part = apart.select(F.lit(name).alias("table_name"), uuid_text("key").alias("key_id"), "field", "diff", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _copies(spark, d, one_record=True).select("table_name", "key_id", "field", "diff")
+
+
+def p5_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same with repeated deliveries as rows of their own: how often each key is short on one side, and what differs."""
+    return _copies(spark, d, one_record=False)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_circles, p2_found, p2_versions, p2_table, p3_found, p3_cascade, p3_report, p4_found, p4_state, p4_watermarks, p5_found, p5_rows)}

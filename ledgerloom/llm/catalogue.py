@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import shared_spans
+from . import encoding, leakage, shared_spans
+
+#: Folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("LEDGERLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, d, "documents"), TOKENIZERS).withColumnRenamed("id", "doc_id")
+
+
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Decodes every document's ids: the digest of what comes back, and the number of ids."""
+    coded = encoding.encode_corpus(table(spark, d, "documents"), TOKENIZERS)
+    return encoding.decode_corpus(coded, TOKENIZERS).select(F.col("id").alias("doc_id"), F.sha2(F.encode("text", "utf-8"), 256).alias("digest"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return pairs.filter("longest_run >= 12").select(F.col("id").alias("doc_id"), "item_id")
+
+
+def p7_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Whole and edited copies: pairs whose alignment reaches half of the item's best score, or 12 equal words in a row."""
+    pairs = leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return pairs.filter("score >= n_words OR longest_run >= 12").withColumnRenamed("id", "doc_id")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,5 +43,7 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_coverage(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_coverage)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_found, p7_alignments, p8_found, p8_coverage)}
+ORACLE = {
+    "p6_roundtrip": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
+}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import provenance
+from .plans import claims, evaluation, provenance
 
-MODULES = (provenance,)
+MODULES = (provenance, claims, evaluation)
 
 
 def queries() -> dict:

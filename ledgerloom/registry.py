@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import claims, evaluation, provenance
+from .plans import claims, evaluation, packages, provenance
 
-MODULES = (provenance, claims, evaluation)
+MODULES = (provenance, claims, evaluation, packages)
 
 
 def queries() -> dict:

@@ -219,7 +219,7 @@ def _blobs(batches) -> list[tuple[int, bytes]]:
 
 def _matches(table: np.ndarray, a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> pa.RecordBatch:
     names = pa.array(table.tolist(), pa.binary()) if len(table) else pa.array([], pa.binary())
-    cols = [names.take(pa.array(a)), names.take(pa.array(b)) if len(b) else pa.array([], pa.binary()), pa.array(pa_.astype(np.int32)), pa.array(pb.astype(np.int32))]
+    cols = [names.take(pa.array(a)), names.take(pa.array(b)), pa.array(pa_.astype(np.int32)), pa.array(pb.astype(np.int32))]
     return pa.RecordBatch.from_arrays(cols, ["a", "b", "pa", "pb"])
 
 
@@ -264,7 +264,7 @@ def _matching(batches):
     hot = np.flatnonzero(np.repeat(many, size))
     for s in range(0, len(hot), 200_000):
         x = hot[s : s + 200_000]
-        batch = _matches(table, who[x], np.zeros(0, np.int64), pos[x], pos[x])
+        batch = _matches(table, who[x], who[x], pos[x], pos[x])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(x), pa.binary()), batch.column(2), batch.column(3)], ["a", "b", "pa", "pb"])
 
 
@@ -398,11 +398,11 @@ def _around(min_length: int, buckets: int):
     return run
 
 
-def _left_ends(batches):
-    """Pairs of classes with one window, at the left end of the stretch they share."""
+def _alike(batches):
+    """Windows around hot places in order of content, then left neighbour, class and place, with the groups of equal ones."""
     blobs = _blobs(batches)
     if not blobs:
-        return
+        return None
     classes, owner, pos, h, extra = _unpack(blobs, AROUND)
     table, number = _dense(classes)
     who = number[owner]
@@ -410,7 +410,26 @@ def _left_ends(batches):
     h, second, before, who, pos = h[order], extra["second"][order], extra["before"][order], who[order], pos[order]
     same = (h[1:] == h[:-1]) & (second[1:] == second[:-1])
     start = np.flatnonzero(np.r_[True, ~same])
-    size = np.diff(np.r_[start, len(h)])
+    return table, before, who, pos, start, np.diff(np.r_[start, len(h)])
+
+
+def _in_several(batches):
+    """(class, place) of all windows around hot places that another class has too."""
+    if (found := _alike(batches)) is None:
+        return
+    table, _, who, pos, start, size = found
+    shared = np.flatnonzero(np.repeat(np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start), size))
+    for s in range(0, len(shared), 200_000):
+        x = shared[s : s + 200_000]
+        batch = _matches(table, who[x], who[x], pos[x], pos[x])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["class", "s"])
+
+
+def _left_ends(batches):
+    """Pairs of classes with one window, at the left end of the stretch they share."""
+    if (found := _alike(batches)) is None:
+        return
+    table, before, who, pos, start, size = found
     out, n = [], 0
     for s, k in zip(start[size > 1], size[size > 1]):
         w, l, p = who[s : s + k], before[s : s + k], pos[s : s + k]  # noqa: E741
@@ -433,12 +452,16 @@ def _left_ends(batches):
         yield _matches(table, *(np.concatenate(c) for c in zip(*out)))
 
 
-def _hot_pairs(hot: DataFrame, texts: DataFrame, min_length: int) -> DataFrame:
-    """(a, b, at): pairs that share ``min_length`` characters around hot places, with the left ends of their shared stretches."""
+def _hot_blobs(hot: DataFrame, texts: DataFrame, min_length: int) -> DataFrame:
+    """The windows of ``min_length`` characters around hot places, by bucket of their hash."""
     buckets = parallelism(hot.sparkSession)
     rows = hot.select(F.col("a").alias("class"), "at").join(texts, "class").select("class", "text", "at")
-    blobs = rows.mapInArrow(_around(min_length, buckets), BLOB)
-    ends = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_left_ends, MATCH)
+    return rows.mapInArrow(_around(min_length, buckets), BLOB).repartitionById(buckets, F.col("bucket"))
+
+
+def _hot_pairs(hot: DataFrame, texts: DataFrame, min_length: int) -> DataFrame:
+    """(a, b, at): pairs that share ``min_length`` characters around hot places, with the left ends of their shared stretches."""
+    ends = _hot_blobs(hot, texts, min_length).mapInArrow(_left_ends, MATCH)
     return ends.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct((F.col("pb") - F.col("pa")).alias("diag"), "pa"))).alias("at"))
 
 
@@ -477,12 +500,17 @@ def shared_coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot, found = matched.filter("b IS NULL"), matched.filter("b IS NOT NULL").select("a", "b", "at")
     need = cut(matched.select(F.explode(F.array("a", "b")).alias("class")).filter("class IS NOT NULL").distinct())
     texts = _texts_of(rows.select("class", "text"), need)
-    if not hot.isEmpty():
+    any_hot = not hot.isEmpty()
+    if any_hot:
         found = found.unionByName(_hot_pairs(hot, texts, min_length))
         found = found.groupBy("a", "b").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
     spans = cut(_extend(found, texts, min_length))
     sides = spans.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("b").alias("other"), F.col("start_a").alias("s"), "length"), F.struct(F.col("b").alias("class"), F.col("a").alias("other"), F.col("start_b").alias("s"), "length"))).alias("x")).select("x.*")
-    stretches = sides.select("class", F.struct("s", (F.col("s") + F.col("length")).alias("e")).alias("r")).distinct().groupBy("class").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    pieces = sides.select("class", F.struct("s", (F.col("s") + F.col("length")).alias("e")).alias("r"))
+    if any_hot:
+        alike = _hot_blobs(hot, texts, min_length).mapInArrow(_in_several, "class binary, s int")
+        pieces = pieces.unionByName(alike.select("class", F.struct("s", (F.col("s") + min_length).alias("e")).alias("r")))
+    stretches = pieces.distinct().groupBy("class").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     state = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     merge = lambda s, r: F.struct(F.greatest(s["end"], r["e"]).alias("end"), (s["n"] + F.greatest(F.lit(0), r["e"] - F.greatest(s["end"], r["s"]))).alias("n"))
     covered = stretches.select("class", F.aggregate("rs", state, merge)["n"].alias("covered"))

@@ -60,6 +60,32 @@ def first_violation(found: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by("code", "seq").alias("code"))
 
 
+_DAY = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
+
+
+def claim_rules() -> list[tuple[str, Column]]:
+    """Rules of claim fields in the order in which they fire, over columns claim_id, subject, confidence (text as written),
+    valid_from, valid_until, polarity, supersedes (array) and keys (the fields present, in their order)."""
+    c = F.col
+    number = c("confidence").try_cast("double")
+    day = lambda x: c(x).isNull() | (c(x).rlike(_DAY) & F.try_to_timestamp(c(x), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).isNotNull())
+    over = c("supersedes")
+    return [
+        ("PX_E_4141", F.array_contains("keys", "conflict_class")),
+        ("PX_E_4101", c("confidence").isNotNull() & number.isNull()),
+        ("PX_E_4102", (number < 0) | (number > 1)),
+        ("PX_E_4103", ~c("confidence").rlike(r"^-?\d+\.\d{3}$")),
+        ("PX_E_4112", ~day("valid_from")),
+        ("PX_E_4112", ~day("valid_until")),
+        ("PX_E_4113", c("valid_from") > c("valid_until")),
+        ("PX_E_4122", ~c("polarity").isin("affirm", "negate", "unknown")),
+        ("PX_E_4132", F.array_contains(over, c("claim_id"))),
+        ("PX_E_4133", F.size(F.array_distinct(over)) < F.size(over)),
+        ("PX_E_4144", F.arrays_overlap("keys", F.array(*map(F.lit, ("polarity", "supersedes", "valid_from", "valid_until")))) & (F.trim(F.coalesce("subject", F.lit(""))) == "")),
+        ("PX_E_4143", ~(c("keys") == F.array_sort("keys"))),
+    ]
+
+
 def set_diff(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, change): ``added``, ``removed`` or ``changed`` between snapshots with unique keys; equal rows are left out."""
     x = a.select(key, F.lit(True).alias("_a"), F.struct(*fields).alias("_x"))

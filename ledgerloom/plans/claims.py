@@ -247,6 +247,30 @@ def recency_primary(spark: SparkSession, d: str) -> DataFrame:
     return c.join(newest, "subject").filter(F.coalesce("created_at", F.lit("")) == F.col("at")).groupBy("subject").agg(F.min("claim_id").alias("claim_id"))
 
 
+def claim_violations(spark: SparkSession, d: str) -> DataFrame:
+    """First broken rule of each claim, over stream events as claims with faults worked in."""
+    e = table(spark, d, "events")
+    fault = lambda n, bad, good: F.when(F.col("event_id") % n == 0, bad).otherwise(good)
+    words = lambda *w: F.array(*map(F.lit, w))
+    claims = e.select(
+        F.col("event_id").cast("string").alias("claim_id"),
+        fault(43, F.lit(" "), F.lit("s")).alias("subject"),
+        fault(11, F.lit("high"), fault(13, F.lit("1.500"), fault(17, F.lit("0.25"), F.lit("0.500")))).alias("confidence"),
+        fault(19, F.lit("2024-02-30T00:00:00Z"), fault(23, F.lit("yesterday"), F.lit("2024-01-01T00:00:00Z"))).alias("valid_from"),
+        fault(29, F.lit("2000-01-01T00:00:00Z"), F.lit(None)).alias("valid_until"),
+        fault(31, F.lit("maybe"), F.lit("affirm")).alias("polarity"),
+        fault(37, F.array(F.col("event_id").cast("string")), fault(41, words("a", "a"), words("a"))).alias("supersedes"),
+        fault(53, words("claim_id", "conflict_class"), fault(47, words("polarity", "claim_id"), words("claim_id", "polarity"))).alias("keys"),
+    )
+    first = ops.first_violation(ops.violations(claims, ops.claim_rules(), "claim_id"))
+    return first.select(F.col("id").alias("claim_id"), "code")
+
+
+CLAIM_RULES_SQL = """WITH x AS (SELECT event_id AS e FROM events) SELECT CAST(e AS VARCHAR) AS claim_id, CASE WHEN e % 53 = 0 THEN 'PX_E_4141' WHEN e % 11 = 0 THEN 'PX_E_4101' WHEN e % 13 = 0 THEN 'PX_E_4102' WHEN e % 17 = 0 THEN 'PX_E_4103'
+ WHEN e % 19 = 0 OR e % 23 = 0 THEN 'PX_E_4112' WHEN e % 29 = 0 THEN 'PX_E_4113' WHEN e % 31 = 0 THEN 'PX_E_4122' WHEN e % 37 = 0 THEN 'PX_E_4132' WHEN e % 41 = 0 THEN 'PX_E_4133' WHEN e % 43 = 0 THEN 'PX_E_4144' WHEN e % 47 = 0 THEN 'PX_E_4143' END AS code
+ FROM x WHERE code IS NOT NULL"""
+
+
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select((F.col("user_id") % 50).alias("scope"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("subject"), F.col("event_id").alias("seq"), F.floor(F.col("value") / 20).alias("value"))
 
@@ -298,7 +322,7 @@ def _p5_sql() -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        lifecycle_fold, events_lifecycle, event_violations, manifest_violations, event_chain_check, dangling_refs, fileset_divergence, hash_verify, snapshot_diff_set, snapshot_diff_fields,
+        lifecycle_fold, events_lifecycle, event_violations, manifest_violations, claim_violations, event_chain_check, dangling_refs, fileset_divergence, hash_verify, snapshot_diff_set, snapshot_diff_fields,
         snapshot_diff_timeline, valid_time_active, r4_resolve, supersession_dangling, recency_primary, structured_linker, exact_linker,
     )
 }
@@ -307,6 +331,7 @@ ORACLE = {
     "events_lifecycle": EVENTS_SQL,
     "event_violations": EVENT_RULES_SQL,
     "manifest_violations": MANIFEST_RULES_SQL,
+    "claim_violations": CLAIM_RULES_SQL,
     "event_chain_check": CHAIN_SQL,
     "dangling_refs": f"WITH {_EV} SELECT event_id, claim_id FROM ev WHERE claim_id NOT IN (SELECT {_u('claim_id')} FROM manifest WHERE claim_id IS NOT NULL)",
     "fileset_divergence": "SELECT path, CASE WHEN b.x IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT DISTINCT path, 1 AS x FROM manifest) a FULL JOIN (SELECT DISTINCT path, 1 AS x FROM manifest_mirror) b USING (path) WHERE a.x IS NULL OR b.x IS NULL",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed, tokens
@@ -101,6 +101,19 @@ def sign_test(spark: SparkSession, d: str) -> DataFrame:
     return discordance(spark, d).select("event_type", p("only_b", "only_a").alias("p_value"))
 
 
+def blind_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every question under every arm, in one blind order: (question_id, arm, position). The order is that of a keyed hash, so
+    it is the same on any cluster and needs no shuffle on the driver; positions come from counts of hash ranges."""
+    arms = spark.createDataFrame([("A",), ("B",), ("C",)], "arm string")  # three rows, a fixed design
+    batch = table(spark, d, "eval_items").select(F.col("item_id").alias("question_id")).crossJoin(F.broadcast(arms))
+    batch = batch.withColumn("h", F.md5(F.concat_ws("|", F.lit("7"), F.col("question_id").cast("string"), "arm")))
+    batch = batch.withColumn("range", F.substring("h", 1, 2))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows
+    starts = batch.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy("h", "question_id", "arm"))
+    return batch.join(F.broadcast(starts), "range").select("question_id", "arm", (F.col("start") + within - 1).alias("position"))
+
+
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return ops.bootstrap_contrast(_arms(spark, d).select(F.col("event_id").alias("id"), "a", "b"))
 
@@ -122,7 +135,7 @@ _ARMS = "x AS (SELECT event_type, CAST(event_id * 7 % 10 < 5 AS INT) AS a, CAST(
 
 QUERIES = {
     f.__name__: f
-    for f in (naive_dedup, dedup_clusters, coalesce_collisions, dedup_pairs_prf, lineage_pair_partition, bm25_topk, term_stats, contamination, contamination_rate, percentiles, paired_contrast, discordance, sign_test, bootstrap_ci, vocabulary_before, session_build)
+    for f in (naive_dedup, dedup_clusters, coalesce_collisions, dedup_pairs_prf, lineage_pair_partition, bm25_topk, term_stats, contamination, contamination_rate, percentiles, paired_contrast, discordance, sign_test, bootstrap_ci, blind_order, vocabulary_before, session_build)
 }
 _PAIRS = "x AS (SELECT docket_no, md5(text) AS body FROM documents WHERE docket_no IS NOT NULL AND text IS NOT NULL), n AS (SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY body, docket_no)) AS tp, (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY body)) AS p, (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY docket_no)) AS l)"
 ORACLE = {
@@ -138,6 +151,7 @@ ORACLE = {
     "percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM events GROUP BY 1",
     "paired_contrast": f"WITH {_ARMS} SELECT event_type, round((avg(b) - avg(a)) * 100, 6) AS delta_pp, count(*) AS n FROM x GROUP BY 1",
     "discordance": f"WITH {_ARMS} SELECT event_type, count(*) FILTER (a = 1 AND b = 0) AS only_a, count(*) FILTER (a = 0 AND b = 1) AS only_b, count(*) FILTER (a = b) AS concordant FROM x GROUP BY 1",
+    "blind_order": "SELECT item_id AS question_id, arm, CAST(row_number() OVER (ORDER BY md5('7|' || item_id || '|' || arm), item_id, arm) - 1 AS BIGINT) AS position FROM eval_items, (VALUES ('A'), ('B'), ('C')) AS t(arm)",
     "vocabulary_before": "WITH m AS (SELECT user_id AS scope, strftime(ts, '%Y-%m-%d %H') AS session, event_type || ':' || CAST(floor(value / 50) AS BIGINT) AS subject FROM events), f AS (SELECT scope, subject, min(session) AS session FROM m GROUP BY 1, 2), n AS (SELECT scope, session, count(*) AS k FROM f GROUP BY 1, 2), s AS (SELECT DISTINCT scope, session FROM m) SELECT s.scope, s.session, CAST(coalesce(sum(coalesce(k, 0)) OVER (PARTITION BY s.scope ORDER BY s.session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_known FROM s LEFT JOIN n ON s.scope = n.scope AND s.session = n.session",
     "session_build": r"SELECT user_id, strftime(ts, '%Y-%m-%d %H') AS session, string_agg(event_type || ': ' || trim(regexp_replace(props, '\s+', ' ', 'g')), chr(10) ORDER BY ts, event_id) AS text, CAST(count(*) AS INTEGER) AS n_lines FROM events GROUP BY 1, 2",
 }

@@ -32,6 +32,8 @@ from .rolling import BASE, SECOND, code_points, prefix, windows
 HOT = 32
 #: Characters hashed at once, and anchors packed at once.
 SLICE, PACK = 2_000_000, 1_500_000
+#: Anchors that one bucket, and so one task, should hold.
+BUCKET = 2_000_000
 #: Ids up to which a set of needed classes is broadcast (16 bytes each); beyond, the texts are shuffled.
 BROADCAST_IDS = 100_000
 
@@ -273,8 +275,10 @@ def _matched(texts: DataFrame, min_length: int, keep_all: bool) -> DataFrame:
 
     Rows with b null hold the hot places of class a.
     """
-    buckets = parallelism(texts.sparkSession)
-    width = min_length - difference_cover(min_length)[0] + 1
+    v, cover = difference_cover(min_length)
+    width = min_length - v + 1
+    chars = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    buckets = max(parallelism(texts.sparkSession), 1 + chars * len(cover) // v // BUCKET)
     blobs = texts.select("class", "text").mapInArrow(_anchoring(min_length, buckets), BLOB)
     places = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_matching, MATCH)
     grouped = places.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct((F.col("pb") - F.col("pa")).alias("diag"), "pa"))).alias("at"))
@@ -454,7 +458,8 @@ def _left_ends(batches):
 
 def _hot_blobs(hot: DataFrame, texts: DataFrame, min_length: int) -> DataFrame:
     """The windows of ``min_length`` characters around hot places, by bucket of their hash."""
-    buckets = parallelism(hot.sparkSession)
+    places = hot.agg(F.sum(F.size("at"))).first()[0] or 0
+    buckets = max(parallelism(hot.sparkSession), 1 + places * difference_cover(min_length)[0] // BUCKET)
     rows = hot.select(F.col("a").alias("class"), "at").join(texts, "class").select("class", "text", "at")
     return rows.mapInArrow(_around(min_length, buckets), BLOB).repartitionById(buckets, F.col("bucket"))
 

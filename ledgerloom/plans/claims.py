@@ -21,16 +21,27 @@ _EV = f"""ev AS (SELECT * FROM (SELECT {_u('event_id')} AS event_id, {_u('claim_
  row_number() OVER (PARTITION BY {_u('event_id')} ORDER BY received_at, line_no) AS rn FROM provenance) WHERE rn = 1)"""
 
 
-def events_of(spark: SparkSession, d: str) -> DataFrame:
+def events_of(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """One row per event as it first arrived: event_id and the columns named; ties go to the smaller line."""
     p = table(spark, d, "provenance")
-    ids = {c: uuid_text(uuid_key(s)) for c, s in {"event_id": "event_id", "claim_id": "claim_id", "prev_event_id": "prev_event_id", "target": "target_claim_instance_id", "instance": "claim_instance_id", "package_id": "package_id"}.items()}
-    rows = p.select("received_at", "line_no", *(e.alias(c) for c, e in ids.items()), folded("event_type").alias("event_type"), instant_ms("timestamp").alias("ms"), "actor", "superseded_by_claim_id")
-    rest = [c for c in rows.columns if c != "event_id"]
-    return rows.filter("event_id IS NOT NULL").groupBy("event_id").agg(F.min(F.struct(*rest)).alias("r")).select("event_id", "r.*")
+    made = {
+        "received_at": F.col("received_at"),
+        "line_no": F.col("line_no"),
+        "claim_id": uuid_key("claim_id"),
+        "prev_event_id": uuid_key("prev_event_id"),
+        "package_id": uuid_key("package_id"),
+        "event_type": folded("event_type"),
+        "ms": instant_ms("timestamp"),
+    }
+    order = ["received_at", "line_no", *(c for c in cols if c not in ("received_at", "line_no"))]
+    rows = p.select(uuid_key("event_id").alias("event_id"), *(made[c].alias(c) for c in order)).filter("event_id IS NOT NULL")
+    first = rows.groupBy("event_id").agg(F.min_by(F.struct(*order), F.struct("received_at", "line_no")).alias("r"))
+    text = lambda c: uuid_text(f"r.{c}").alias(c) if c in ("claim_id", "prev_event_id", "package_id") else F.col(f"r.{c}").alias(c)
+    return first.select(uuid_text("event_id").alias("event_id"), *map(text, cols))
 
 
 def lifecycle_fold(spark: SparkSession, d: str) -> DataFrame:
-    return ops.lifecycle(events_of(spark, d).select("claim_id", "ms", "event_id", "event_type"))
+    return ops.lifecycle(events_of(spark, d, "claim_id", "ms", "event_type"))
 
 
 LIFECYCLE_SQL = f"""WITH {_EV}, o AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY ms, event_id) AS n FROM ev),
@@ -125,7 +136,7 @@ MANIFEST_RULES_SQL = f"""WITH m AS (SELECT DISTINCT ON (package_id, claim_id, re
 
 
 def event_chain_check(spark: SparkSession, d: str) -> DataFrame:
-    e = events_of(spark, d).select("claim_id", "event_id", "event_type", "prev_event_id", F.struct("package_id", "line_no").alias("line"))
+    e = events_of(spark, d, "claim_id", "event_type", "prev_event_id", "package_id", "line_no").select("claim_id", "event_id", "event_type", "prev_event_id", F.struct("package_id", "line_no").alias("line"))
     return ops.event_chain(e)
 
 
@@ -137,7 +148,7 @@ CHAIN_SQL = f"""WITH {_EV}, e AS (SELECT * REPLACE (line_no AS line_no), row(pac
 
 def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "manifest").select(uuid_text(uuid_key("claim_id")).alias("claim_id"))
-    return events_of(spark, d).join(known, "claim_id", "left_anti").select("event_id", "claim_id")
+    return events_of(spark, d, "claim_id").join(known, "claim_id", "left_anti").select("event_id", "claim_id")
 
 
 def fileset_divergence(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +187,7 @@ def snapshot_diff_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def snapshot_diff_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Each package's event log in order of lines against the order of instants."""
-    e = events_of(spark, d).filter("package_id IS NOT NULL")
+    e = events_of(spark, d, "package_id", "line_no", "ms", "event_type").filter("package_id IS NOT NULL")
     later = e.filter("event_type <> 'publish'").withColumn("at", F.struct("ms", "event_id"))
     return ops.timeline_diff(e.withColumn("at", F.struct("line_no", "event_id")), later, "package_id", "event_id", "at")
 

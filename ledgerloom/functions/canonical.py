@@ -130,7 +130,7 @@ def identity_hash(c: Column) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """NFC of a text; ASCII texts never leave the JVM's values unchanged."""
+    """NFC of a text; ASCII texts pass as they are."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

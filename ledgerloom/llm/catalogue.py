@@ -31,7 +31,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Whole and edited copies: pairs whose alignment reaches half of the item's best score, or 12 equal words in a row."""
-    pairs = leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    pairs = leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), edited=True)
     return pairs.filter("score >= n_words OR longest_run >= 12").withColumnRenamed("id", "doc_id")
 
 

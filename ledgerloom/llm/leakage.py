@@ -2,9 +2,11 @@
 
 1. Every n-gram of words that the test items have is counted over all documents.
 2. In each window of ``min_run`` words of an item its rarest n-gram becomes a seed. Any run of min_run words that a document
-   shares with the item holds that seed, so the seeds lose no such run, and common phrases are seeds nowhere.
-3. Seeds found in documents mark passages; each is aligned with its item by Smith-Waterman on words, which scores copies that
-   were paraphrased or edited, and the longest run of equal words is measured on the words themselves.
+   shares with the item holds that seed, so the seeds lose no such run, and common phrases are seeds nowhere. Edited copies
+   may have no such run, nor a document the rarest n-gram of another; for them every n-gram that a document has is a seed.
+3. Seeds found in documents mark passages, wide enough for every alignment of positive score through the seed; each is aligned
+   with its item by Smith-Waterman on words, which scores copies that were paraphrased or edited, and the longest run of equal
+   words is measured on the words themselves. Passages whose words cannot reach the score asked for are not aligned.
 
 The items are the stated query set; they are taken in blocks of bounded size, and every block meets all documents in a map
 over whole texts. Words are the maximal runs of Unicode letters and digits of the lower-cased text.
@@ -32,8 +34,6 @@ SEED = 5
 BLOCK_CHARS = 4_000_000
 SLICE = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words around a seed's place that the alignment may use besides the item's length.
-SLACK = 12
 
 
 @lru_cache
@@ -135,10 +135,31 @@ def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
+def _passages(found: list[tuple[int, int]], n: int, first: int, last: int) -> list[tuple[int, int]]:
+    """Spans of the document's words [first, last) that hold every alignment with an item of n words through a seed (i, j).
+
+    Before the seed at most j words match, so an alignment that scores there has fewer than 2 j gaps; the same holds after it.
+    """
+    out: list[tuple[int, int]] = []
+    reach = 1 + MATCH // -GAP
+    for lo, hi in sorted((max(first, i - reach * j), min(last, i + SEED + reach * (n - j - SEED))) for i, j in found):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _ceiling(item: np.ndarray, doc: np.ndarray) -> int:
+    """No alignment scores more: the best stretch of doc if each word that the item has matched, and all others were gaps."""
+    total = np.r_[0, np.cumsum(np.where(np.isin(doc, item), MATCH, GAP))]
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 FOUND = "item_id bigint, score int, n_words int, longest_run int, start_word int, end_word int"
 
 
-def _aligning(seeds: dict[int, list[tuple[int, int]]], items: list[tuple[int, list[str], np.ndarray]], id_type: pa.DataType):
+def _aligning(seeds: dict[int, list[tuple[int, int]]], items: list[tuple[int, list[str], np.ndarray]], id_type: pa.DataType, min_run: int, edited: bool):
     def run(batches):
         member = Member(np.fromiter(seeds, np.uint64, len(seeds)))
         for ids, w in _slices(batches):
@@ -156,7 +177,6 @@ def _aligning(seeds: dict[int, list[tuple[int, int]]], items: list[tuple[int, li
                 first, last = int(w.first[d]), int(w.first[d + 1])
                 longest, best = 0, (0, 0, 0)
                 done: dict[int, int] = {}
-                upto = -1
                 for i, j in found:
                     if done.get(i - j, -1) < i:  # longest run of equal words on this diagonal
                         lo, hi = i, i
@@ -166,10 +186,13 @@ def _aligning(seeds: dict[int, list[tuple[int, int]]], items: list[tuple[int, li
                             hi += 1
                         done[i - j] = hi
                         longest = max(longest, hi - lo)
-                    if i + SEED > upto:
-                        lo, upto = max(first, i - j - SLACK), min(last, i - j + len(words) + SLACK)
-                        score, s, e = smith_waterman(hashes, w.hash[lo:upto])
+                wanted = len(words) if edited and longest < min_run else 0
+                for lo, hi in _passages(found, len(words), first, last):
+                    if _ceiling(hashes, w.hash[lo:hi]) >= max(wanted, best[0]):
+                        score, s, e = smith_waterman(hashes, w.hash[lo:hi])
                         best = max(best, (score, lo + s - first, lo + e - first))
+                if best[0] < wanted:
+                    continue
                 rows.append((ids[d], item_id, best[0], len(words), longest, best[1], best[2]))
             if rows:
                 kinds = (id_type, pa.int64(), *[pa.int32()] * 5)
@@ -178,11 +201,13 @@ def _aligning(seeds: dict[int, list[tuple[int, int]]], items: list[tuple[int, li
     return run
 
 
-def leaked(docs: DataFrame, items: DataFrame, min_run: int = 12, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, min_run: int = 12, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edited: bool = False) -> DataFrame:
     """(id, item_id, score, n_words, longest_run, start_word, end_word): one row per document and item that share a seed.
 
     score is the Smith-Waterman score of the best passage (2 a word, -1 a mismatch or gap), which spans words
     [start_word, end_word) of the document; n_words are the item's words. Every pair with min_run equal consecutive words is there.
+    With ``edited`` there is also every pair that shares ``SEED`` consecutive words and whose score reaches n_words, half of the
+    item's best score, and no other.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
     kind = rows.dtypes[0][1]
@@ -203,13 +228,18 @@ def leaked(docs: DataFrame, items: DataFrame, min_run: int = 12, id_col: str = "
             grams[d][i - int(w.first[d])] = k
         seeds: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for d, own in grams.items():
+            if edited:
+                for j, k in own.items():
+                    if k in rarity:
+                        seeds[k].add((d, j))
+                continue
             per_window = max(1, min(min_run, len(own) + SEED - 1) - SEED + 1)
             for s in range(len(own) - per_window + 1):
                 j = min(range(s, s + per_window), key=lambda x: (rarity.get(own[x], 0), own[x]))  # noqa: B023
                 if own[j] in rarity:
                     seeds[own[j]].add((d, j))
         known = [(r["item_id"], w.words(int(w.first[d]), int(w.first[d + 1])), w.hash[w.first[d] : w.first[d + 1]]) for d, r in enumerate(block)]
-        part = rows.mapInArrow(_aligning({k: sorted(v) for k, v in seeds.items()}, known, pa.int64() if kind == "bigint" else pa.string()), f"id {kind}, {FOUND}")
+        part = rows.mapInArrow(_aligning({k: sorted(v) for k, v in seeds.items()}, known, pa.int64() if kind == "bigint" else pa.string(), min_run, edited), f"id {kind}, {FOUND}")
         out = part if out is None else out.unionByName(part)
     best = F.max(F.struct("score", "n_words", F.col("start_word"), "end_word"))
     return out.groupBy("id", "item_id").agg(best.alias("x"), F.max("longest_run").alias("longest_run")).select("id", "item_id", "x.score", "x.n_words", "longest_run", "x.start_word", "x.end_word")

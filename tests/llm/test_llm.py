@@ -159,3 +159,27 @@ def test_leaks(spark):
     assert {(g["id"], g["item_id"]) for g in got if g["longest_run"] >= 12} == want
     assert leakage.leaked(rows.limit(0), spark.createDataFrame(items, "item_id long, text string")).collect() == []
     assert leakage.leaked(rows, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
+def test_edited_copies_are_aligned(spark, tmp_path):
+    """Copies with every eighth word changed, of items that other documents have whole or not at all, against brute force."""
+    import numpy as np
+
+    from ledgerloom.llm import catalogue
+
+    r = random.Random(13)
+    make = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    items = [(i, make(r.randrange(16, 60))) for i in range(12)]
+    docs = [(i, make(30) + w + make(30)) for i, w in items[:6]]
+    docs += [(100 + i, make(30) + w[5:10] + make(8) + [x if k % 8 else "new" for k, x in enumerate(w)] + make(30)) for i, w in items]
+    docs += [(200 + i, make(30) + [y for k, x in enumerate(w) for y in ([x] if k % 6 else [x, "more", "words"])]) for i, w in items]
+    docs += [(300 + i, make(30) + w[: len(w) // 3]) for i, w in items]
+    spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    code: dict[str, int] = {}
+    ids = lambda w: np.array([code.setdefault(x, len(code)) for x in w])
+    score = {(d, i): leakage.smith_waterman(ids(w), ids(t))[0] for d, t in docs for i, w in items}
+    run = lambda a, b: any(a[k : k + 12] == b[m : m + 12] for k in range(len(a) - 11) for m in range(len(b) - 11))
+    want = {(d, i): score[d, i] for d, t in docs for i, w in items if score[d, i] >= len(w) or run(w, t)}
+    assert len(want) > 28
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in catalogue.p7_alignments(spark, str(tmp_path)).collect()} == want

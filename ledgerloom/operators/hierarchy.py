@@ -9,7 +9,8 @@ The plan has three steps:
    gets the label of its component.
 2. Components are co-located by label, and each is walked depth first with node colouring (white, grey, black): a link to a
    grey node closes a circle.
-3. Components of more than ``max_component`` records never enter one task: they are walked by pointer doubling, in joins.
+3. Components of more than ``max_component`` records never enter one task: they are walked by pointer doubling, in joins; their
+   paths and descendants come from rows (id, ancestor, distance), which are doubled too.
 
 Defined cases: records without id are dropped; of several records with one id the first to arrive counts; a parent that no
 record has makes its child a root; a record that is its own parent is a circle of one. Empty input gives an empty result.
@@ -31,6 +32,8 @@ from ..session import cut, parallelism
 BLOCK_ROWS = 1_000_000
 #: Records of a component that one task may hold.
 MAX_COMPONENT = 1_000_000
+#: Descendants that one row may list, and entries of paths and descendants that a walk holds at a time besides one record's.
+MAX_LIST = 1_000_000
 
 
 def local_walk(par: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,8 +136,9 @@ def double_walk(links: DataFrame) -> DataFrame:
     def step(state: DataFrame) -> DataFrame:
         b = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("d").alias("d2"), F.col("m").alias("m2"), F.col("done").alias("done2"))
         todo = state.filter("NOT done").drop("done").join(b, "ptr")
-        return cut(state.filter("done").unionByName(todo.select("id", F.col("p2").alias("ptr"), (F.col("d") + F.col("d2")).alias("d"), F.least("m", "m2").alias("m"), F.col("done2").alias("done"))))
+        return cut(state.filter("done").unionByName(todo.select("id", F.col("p2").alias("ptr"), (F.col("d") + F.col("d2")).alias("d"), F.least("m", "m2").alias("m"), F.col("done2").alias("done"))).coalesce(parts))
 
+    parts = parallelism(links.sparkSession)  # a union has the partitions of both sides, which would double each round
     state, left = run(links)
     trees = state.filter("done").select("id", F.col("ptr").alias("top"), F.col("d").alias("depth"), F.lit(False).alias("on_circle"), F.lit(None).cast("binary").alias("circle_min"))
     if not left:
@@ -170,7 +174,7 @@ def components(records: DataFrame) -> DataFrame:
 
 
 WALKED = "id binary, block binary, root binary, depth int, on_circle boolean, in_circle boolean, root_block binary"
-FULL = WALKED + ", path array<binary>, descendants array<binary>, back_to binary"
+FULL = WALKED + ", path array<binary>, descendants array<binary>, n_descendants bigint, back_to binary"
 
 
 def _dfs(starts: list[int], colour: list[int], children: list[list[int]], pre: list[int], end: list[int], order: list[int], back: dict[int, int]) -> None:
@@ -197,7 +201,7 @@ def _dfs(starts: list[int], colour: list[int], children: list[list[int]], pre: l
 
 
 def _walker(full: bool):
-    def walk(t: pa.Table) -> pa.RecordBatch:
+    def walk(t: pa.Table):
         ids, parents, blocks = _column(t, "id"), _column(t, "parent"), _column(t, "block")
         n = len(ids)
         par = _positions(ids, parents)
@@ -241,17 +245,28 @@ def _walker(full: bool):
         arr_root = pa.array(root)
         cols = [ids, blocks, ids.take(arr_root), pa.array(depth, pa.int32()), pa.array(on), pa.array(in_circle), blocks.take(arr_root)]
         names = ["id", "block", "root", "depth", "on_circle", "in_circle", "root_block"]
-        if full:
-            paths: list[list[bytes]] = [[]] * n
-            trail: list[bytes] = []
-            for x in order:
-                del trail[level[x] :]
-                trail.append(text[x])
-                paths[x] = trail.copy()
-            below = [[text[y] for y in order[pre[x] + 1 : end[x]]] for x in range(n)]
-            cols += [pa.array(paths, pa.list_(pa.binary())), pa.array(below, pa.list_(pa.binary())), pa.array([text[back[x]] if x in back else None for x in range(n)], pa.binary())]
-            names += ["path", "descendants", "back_to"]
-        return pa.RecordBatch.from_arrays(cols, names)
+        if not full:
+            yield pa.RecordBatch.from_arrays(cols, names)
+            return
+        names += ["path", "descendants", "n_descendants", "back_to"]
+        trail: list[bytes] = []
+        at: list[int] = []
+        paths: list[list[bytes]] = []
+        below: list[list[bytes]] = []
+        held = 0
+        for k, x in enumerate(order):
+            del trail[level[x] :]
+            trail.append(text[x])
+            at.append(x)
+            paths.append(trail.copy())
+            below.append([text[y] for y in order[pre[x] + 1 : end[x]]])
+            held += len(paths[-1]) + len(below[-1])
+            if held >= MAX_LIST or k == n - 1:
+                mine = pa.array(at)
+                lists = [pa.array(paths, pa.list_(pa.binary())), pa.array(below, pa.list_(pa.binary())), pa.array([len(y) for y in below], pa.int64())]
+                edge = pa.array([text[back[y]] if y in back else None for y in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.take(mine) for c in cols), *lists, edge], names)
+                at, paths, below, held = [], [], [], 0
 
     def run(batches):
         # batches arrive sorted by component; only whole components are walked
@@ -263,24 +278,59 @@ def _walker(full: bool):
                 cutoff = int(pc.index(pc.not_equal(c, c[0]), True).as_py()) if b.num_rows > 1 else -1
                 if cutoff > 0:
                     held.append(b.slice(0, cutoff))
-                    yield walk(_joined(held))
+                    yield from walk(_joined(held))
                     held, rows, b = [], 0, b.slice(cutoff)
             held.append(b)
             rows += b.num_rows
         if rows:
-            yield walk(_joined(held))
+            yield from walk(_joined(held))
 
     return run
 
 
+def closure(links: DataFrame) -> DataFrame:
+    """(id, ancestor, distance) for every ancestor of every record of links (id, parent), each parent null or present, no circles.
+
+    Distances double each round, in joins; no group of records is ever held by one task.
+    """
+    parts = parallelism(links.sparkSession)
+    jump, step = cut(links.filter("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor")).repartition(parts, "id")), 1
+    known = jump.withColumn("distance", F.lit(1).cast("long"))
+    while True:
+        onward = known.select(F.col("id").alias("via"), "ancestor", (F.col("distance") + step).alias("distance"))
+        new = cut(jump.select("id", F.col("ancestor").alias("via")).join(onward, "via").select("id", "ancestor", "distance").repartition(parts, "id"))
+        if new.isEmpty():
+            return known
+        step *= 2
+        known, jump = known.unionByName(new), new.filter(F.col("distance") == step).select("id", "ancestor")
+
+
+def _lists(links: DataFrame, walked: DataFrame) -> DataFrame:
+    """(id, path, descendants, n_descendants, back_to) of walked records, one row for every MAX_LIST descendants."""
+    smallest = walked.filter("circle_min = id").select("id", F.lit(True).alias("smallest"))
+    marked = cut(links.join(smallest, "id", "left"))
+    pairs = closure(marked.select("id", F.when(F.col("smallest").isNull(), F.col("parent")).alias("parent")))
+    upward = pairs.unionByName(links.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("distance")))
+    paths = upward.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False), lambda x: x["ancestor"]).alias("path"))
+    totals = cut(pairs.groupBy("ancestor").agg(F.count("*").alias("n_descendants")))
+    shares = totals.filter(F.col("n_descendants") > MAX_LIST).select("ancestor", F.ceil(F.col("n_descendants") / MAX_LIST).alias("shares"))
+    share = F.coalesce(F.pmod(F.xxhash64("id"), F.col("shares")), F.lit(0))
+    below = pairs.join(shares, "ancestor", "left").groupBy(F.col("ancestor"), share.alias("share")).agg(F.transform(F.sort_array(F.collect_list(F.struct("distance", "id"))), lambda x: x["id"]).alias("descendants"))
+    below = cut(below.drop("share")).join(totals, "ancestor").withColumnRenamed("ancestor", "id")
+    edges = marked.filter("smallest").select(F.col("parent").alias("id"), F.col("id").alias("back_to"))
+    out = cut(paths).join(below, "id", "left").join(edges, "id", "left")
+    return out.withColumns({"descendants": F.coalesce("descendants", F.array().cast("array<binary>")), "n_descendants": F.coalesce("n_descendants", F.lit(0))})
+
+
 def hierarchy(records: DataFrame, full: bool = False, max_component: int = MAX_COMPONENT) -> DataFrame:
     """Walks the hierarchies of records (id, parent, block).
 
     Gives id, block, root (the smallest id of the circle where the walk enters one), depth (steps to the root, or to the
     first circle member), on_circle, in_circle (on a circle or hanging from one) and root_block. With ``full`` also path (from
     the root, or the smallest circle member, down to the record), descendants (in depth-first order; on a circle the link back
-    to its smallest member is cut) and back_to (the record that a back edge leads to). For components beyond
-    ``max_component`` path and descendants would be quadratic; they are null there, everything else is exact.
+    to its smallest member is cut), n_descendants and back_to (the record that a back edge leads to). In components beyond
+    ``max_component`` descendants come by distance, and a record with more than ``MAX_LIST`` of them has several rows, which
+    share them out. Paths and descendants have as many entries as there are pairs of ancestor and record.
     """
     labelled = components(records)
     sizes = labelled.groupBy("component").count()
@@ -295,11 +345,15 @@ def hierarchy(records: DataFrame, full: bool = False, max_component: int = MAX_C
         mine = labelled.join(big, "component", "left_semi")
         known = mine.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
         links = mine.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"))
-        walked = double_walk(cut(links)).withColumn("root", F.coalesce("circle_min", "top"))
+        links = cut(links)
+        walked = double_walk(links).withColumn("root", F.coalesce("circle_min", "top"))
+        if full:
+            walked = cut(walked.coalesce(parallelism(records.sparkSession)))
+        lists = _lists(links, walked) if full else None
         blocks = mine.select("id", "block")
         walked = walked.join(blocks, "id").join(blocks.select(F.col("id").alias("root"), F.col("block").alias("root_block")), "root", "left")
         far = walked.select("id", "block", "root", F.col("depth").cast("int").alias("depth"), "on_circle", F.col("circle_min").isNotNull().alias("in_circle"), "root_block")
         if full:
-            far = far.withColumns({"path": F.lit(None).cast("array<binary>"), "descendants": F.lit(None).cast("array<binary>"), "back_to": F.lit(None).cast("binary")})
+            far = cut(far).join(cut(lists), "id")
         out = out.unionByName(far)
     return out

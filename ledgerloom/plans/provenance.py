@@ -30,15 +30,17 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
         "depth",
         "on_circle",
         F.transform("path", uuid_text).alias("path"),
-        F.size("descendants").alias("n_descendants"),
+        F.col("n_descendants").cast("int").alias("n_descendants"),
         F.transform("descendants", uuid_text).alias("descendants"),
     )
 
 
 def p1_circles(spark: SparkSession, d: str) -> DataFrame:
     """One row per circle: its back edge and its size."""
-    walked = hier.hierarchy(_event_nodes(spark, d), full=True).filter("on_circle")
-    ring = walked.groupBy("root").agg(F.count("*").alias("n_members"), F.max(F.when(F.col("back_to").isNotNull(), F.col("id"))).alias("back_from"))
+    events = _event_nodes(spark, d)
+    ring = hier.hierarchy(events).filter("on_circle").groupBy("root").agg(F.count("*").alias("n_members"))
+    # the walk of a circle starts at its smallest member, so the link back to that leaves its stored parent
+    ring = ring.join(events.select(F.col("id").alias("root"), F.col("parent").alias("back_from")), "root")
     return ring.select(uuid_text("root").alias("smallest_event_id"), "n_members", uuid_text("back_from").alias("back_edge_from"))
 
 

@@ -68,3 +68,32 @@ def test_nodes_keep_the_first_arrival_and_drop_nulls(spark):
 
 def test_empty(spark):
     assert h.hierarchy(frame(spark, {"a": None}).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("most", [10**6, 3])
+def test_large_components_have_paths_descendants_and_back_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(h, "MAX_LIST", most)
+    par = {"a": None, "b": "a", "c": "b", "d": "a", "e": "c", "f": "e", "x": "y", "y": "z", "z": "x", "t": "y"}
+    whole = {bytes(r["id"]): r for r in h.hierarchy(frame(spark, par), full=True).collect()}
+    assert len(whole) == len(par)
+    got = {}
+    for r in h.hierarchy(frame(spark, par), full=True, max_component=2).collect():
+        got.setdefault(bytes(r["id"]), []).append(r)
+    assert set(got) == set(whole) and (most > 3) == all(len(x) == 1 for x in got.values())
+    for k, rows in got.items():
+        below = [bytes(y) for r in rows for y in r["descendants"]]
+        assert sorted(below) == sorted(bytes(y) for y in whole[k]["descendants"])
+        for r in rows:
+            assert (r["path"], r["back_to"], r["n_descendants"], r["root"], r["depth"]) == (whole[k]["path"], whole[k]["back_to"], len(below), whole[k]["root"], whole[k]["depth"])
+
+
+def test_deep_walks_hold_bounded_lists(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(h, "MAX_LIST", 1000)
+    n = 400
+    ids = [b"%04d" % i for i in range(n)]
+    rows = pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (ids, [None, *ids[:-1]], ids, [b"c"] * n)], ["id", "parent", "block", "component"])
+    out = list(h._walker(True)([rows]))
+    assert all(sum(len(x) for c in ("path", "descendants") for x in b.column(c).to_pylist()) < 1000 + n + 1 for b in out)
+    assert sum(b.num_rows for b in out) == n and sum(len(x) for b in out for x in b.column("path").to_pylist()) == n * (n + 1) // 2

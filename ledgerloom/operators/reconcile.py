@@ -2,150 +2,227 @@
 
 1. Identical rows cancel by multiplicity: both copies are grouped by key and all fields with the counts of either side, which
    combines on the map side, so a key that holds a third of all rows shrinks before the shuffle.
-2. What is left over is paired within its key by minimum-cost assignment on the number of differing fields. One row against
-   one row, the usual case, is compared in codegen; more go through ``assign`` in Python.
+2. What is left over keeps its multiplicities, as capacities, and is paired within its key at the least total number of
+   differing fields. A key with one distinct row on either side, the usual case, is compared in codegen; others are solved as
+   minimum-cost transport by ``transport``, exactly and whatever their size.
 3. Rows without partner are ``left_only`` or ``right_only``.
 
-With ``one_record`` the rows of a key are one record delivered again: multiplicities count as one, so only distinct rows are
-compared, and left-over rows of a key that the other copy has too are no rows of one side only.
+With ``records`` the rows of a key are one record delivered again, so what is left on one side is no difference while the
+other side has the key at all.
 
-Defined cases: null equals only null; a null key is dropped; empty tables give rows of one side only. A key with more than
-``max_assign`` left-over rows on a side is first thinned by pairing rows that differ in one field, then two and so on, in
-sorted order, which is exact in the rows paired and found, yet not always of least total cost.
+Sizes: a key's distinct left-over rows meet in one task as dictionary codes (eight bytes a field); payloads stay outside.
+``transport`` holds no cost matrix, so memory grows with the rows of the key, its time with left times right distinct rows.
+
+Defined cases: null equals only null; a null key is dropped; empty tables give rows of one side only; of several pairings of
+least cost one is taken, the same in every run.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from itertools import combinations
-
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_ASSIGN = 400
+from ..session import parallelism
 
 
-def assign(cost: list[list[int]]) -> list[int]:
-    """Column of each row of a matrix with no more rows than columns, at least total cost (shortest augmenting paths)."""
-    n, m = len(cost), len(cost[0]) if cost else 0
-    rows_u, cols_v = [0] * n, [0] * m
-    owner = [-1] * m
-    for row in range(n):
-        reach: list[float] = [float("inf")] * m
-        via, done = [-1] * m, [False] * m
-        here, at, last = row, -1, 0.0
+def transport(a: np.ndarray, b: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row of a, row of b, amount) of least total number of differing fields; as much is paired as the smaller side has.
+
+    a, b: field codes, one row per distinct record. Any two rows may be paired at a cost of at most the number of fields, so
+    shortest augmenting paths take that many lengths at most: for each length, potentials are raised by distances (by level, as
+    costs are small whole numbers), and then augmenting paths of tight pairs are used up.
+    """
+    n, m = len(a), len(b)
+    left, right = supply.astype(np.int64).copy(), demand.astype(np.int64).copy()
+    up, vp = np.zeros(n, np.int64), np.zeros(m, np.int64)
+    flow: list[dict[int, int]] = [{} for _ in range(m)]
+    far = np.iinfo(np.int64).max // 4
+
+    def slack(i: int) -> np.ndarray:
+        c = np.zeros(m, np.int64)
+        for k in range(a.shape[1]):
+            c += b[:, k] != a[i, k]
+        return c + up[i] - vp
+
+    def distances() -> bool:
+        du, dv = np.where(left > 0, 0, far), np.full(m, far)
+        done_u, done_v = np.zeros(n, bool), np.zeros(m, bool)
         while True:
-            best, to = float("inf"), -1
-            for j in range(m):
-                if not done[j]:
-                    d = last + cost[here][j] - rows_u[here] - cols_v[j]
-                    if d < reach[j]:
-                        reach[j], via[j] = d, at
-                    if reach[j] < best:
-                        best, to = reach[j], j
-            done[to], last, at = True, best, to
-            if owner[to] < 0:
-                break
-            here = owner[to]
-        rows_u[row] += last
-        for j in range(m):
-            if done[j] and j != at:
-                rows_u[owner[j]] += last - reach[j]
-                cols_v[j] -= last - reach[j]
-        while at >= 0:
-            prev = via[at]
-            owner[at] = owner[prev] if prev >= 0 else row
-            at = prev
-    out = [-1] * n
-    for j, i in enumerate(owner):
-        if i >= 0:
-            out[i] = j
-    return out
-
-
-def _apart(a: tuple, b: tuple) -> list[int]:
-    return [k for k, (x, y) in enumerate(zip(a, b)) if x != y]
-
-
-def pair_rows(left: list[tuple], right: list[tuple]) -> tuple[list[tuple[tuple, tuple]], list[tuple], list[tuple]]:
-    """Pairs, and what is left on either side, at least total number of differing fields."""
-    order = lambda rows: sorted(rows, key=lambda r: [(x is None, str(x)) for x in r])
-    left, right, pairs = order(left), order(right), []
-    width = len(left[0]) if left else 0
-    differ = 1
-    while min(len(left), len(right)) > MAX_ASSIGN and differ <= width:
-        for drop in combinations(range(width), differ):
-            keep = lambda r: tuple(x for k, x in enumerate(r) if k not in drop)  # noqa: B023, E731
-            stock = defaultdict(list)
-            for r in reversed(right):
-                stock[keep(r)].append(r)
-            rest = []
-            for r in left:
-                if stock[keep(r)]:
-                    pairs.append((r, stock[keep(r)].pop()))
-                else:
-                    rest.append(r)
-            left, right = rest, order(x for rows in stock.values() for x in rows)
-        differ += 1
-    if left and right:
-        flip = len(left) > len(right)
-        a, b = (right, left) if flip else (left, right)
-        to = assign([[len(_apart(x, y)) for y in b] for x in a])
-        pairs += [(b[j], a[i]) if flip else (a[i], b[j]) for i, j in enumerate(to)]
-        used = set(to)
-        left, right = ([x for j, x in enumerate(b) if j not in used], []) if flip else ([], [x for j, x in enumerate(b) if j not in used])
-    return pairs, left, right
-
-
-def _pairing(fields: list[str]):
-    def run(frames):
-        for f in frames:
-            out = {c: [] for c in ("key", "field", "diff", "n")}
-            for key, left, right in zip(f["key"], f["left_rows"], f["right_rows"]):
-                tup = lambda rows: [tuple(r["row"][c] for c in fields) for r in rows for _ in range(r["n"])]
-                pairs, only_left, only_right = pair_rows(tup(left), tup(right))
-                count: dict[tuple[str, str], int] = defaultdict(int)
-                for a, b in pairs:
-                    for k in _apart(a, b):
-                        count[fields[k], "differs"] += 1
-                count["*", "left_only"] += len(only_left)
-                count["*", "right_only"] += len(only_right)
-                for (field, diff), n in count.items():
-                    if n:
-                        for c, v in zip(out, (key, field, diff, n)):
-                            out[c].append(v)
-            import pandas as pd
-
-            yield pd.DataFrame(out)
+            level = min(du[~done_u].min(initial=far), dv[~done_v].min(initial=far))
+            if level >= far:
+                return False
+            while len(now := np.flatnonzero((du == level) & ~done_u)) or len(to := np.flatnonzero((dv == level) & ~done_v)):
+                for i in now:
+                    done_u[i] = True
+                    np.minimum(dv, level + slack(i), out=dv)
+                if len(now):
+                    continue
+                for j in to:
+                    done_v[j] = True
+                    for i in flow[j]:
+                        du[i] = min(du[i], level)
+            if ((dv == level) & (right > 0)).any():
+                up[:] += np.minimum(du, level)
+                vp[:] += np.minimum(dv, level)
+                return True
+
+    def augment() -> None:
+        tight: dict[int, np.ndarray] = {}
+        moved = True
+        while moved:
+            moved, seen = False, np.zeros(m, bool)
+            for start in np.flatnonzero(left > 0):
+                while left[start] > 0 and (path := search(int(start), seen, tight)):
+                    amount = min(left[start], right[path[-1][1]], *(flow[j][i] for i, (_, j) in zip((x[0] for x in path[1:]), path)))
+                    left[start] -= amount
+                    right[path[-1][1]] -= amount
+                    for k, (i, j) in enumerate(path):
+                        flow[j][i] = flow[j].get(i, 0) + amount
+                        if k + 1 < len(path):
+                            nxt = path[k + 1][0]
+                            flow[j][nxt] -= amount
+                            if not flow[j][nxt]:
+                                del flow[j][nxt]
+                    moved = True
+
+    def search(start: int, seen: np.ndarray, tight: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+        """A path start - j - i - j' ... to a row with demand left, as (i, j) steps; rights once seen lead nowhere."""
+        stack: list[tuple[int, list[tuple[int, int]]]] = []  # per level: the left row, and (right, next left) to try
+
+        def steps(i: int) -> list[tuple[int, int]]:
+            if i not in tight:
+                tight[i] = np.flatnonzero(slack(i) == 0)
+            js = tight[i][~seen[tight[i]]]
+            open_ = js[right[js] > 0]
+            if len(open_):
+                return [(int(open_[0]), -1)]
+            seen[js] = True
+            return [(int(j), x) for j in js[::-1] for x in sorted(flow[j], reverse=True) if x != i]
+
+        stack.append((start, steps(start)))
+        while stack:
+            i, todo = stack[-1]
+            if not todo:
+                stack.pop()
+                if stack:
+                    stack[-1][1].pop()
+                continue
+            j, nxt = todo[-1]
+            if nxt < 0:
+                return [(x, t[-1][0]) for x, t in stack]
+            stack.append((nxt, steps(nxt)))
+        return []
+
+    while left.any() and right.any() and distances():
+        augment()
+    return [(i, j, int(k)) for j, x in enumerate(flow) for i, k in sorted(x.items())]
+
+
+def _codes(columns: list[pa.Array]) -> np.ndarray:
+    """Numbers of the values, by column; null is a value of its own."""
+    coded = [pc.dictionary_encode(c, null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in columns]
+    return np.stack(coded, axis=1).astype(np.int64)
+
+
+def differences(t: pa.Table, fields: list[str]) -> list[tuple[str, str, int]]:
+    """(field, diff, n) of one key's left-over rows: the fields, and n_left and n_right, one of which is zero."""
+    t = t.combine_chunks()
+    l, r = (t.column(c).to_numpy() for c in ("n_left", "n_right"))  # noqa: E741
+    codes = _codes([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t.column(f) for f in fields)])
+    at, bt = np.flatnonzero(l), np.flatnonzero(r)
+    count = dict.fromkeys(fields, 0)
+    paired = 0
+    for i, j, n in transport(codes[at], codes[bt], l[at], r[bt]):
+        paired += n
+        for k in np.flatnonzero(codes[at[i]] != codes[bt[j]]):
+            count[fields[k]] += n
+    alone = [("*", "left_only", int(l.sum()) - paired), ("*", "right_only", int(r.sum()) - paired)]
+    return [x for x in [*((f, "differs", n) for f, n in count.items()), *alone] if x[2]]
+
+
+def _solving(fields: list[str]):
+    """Batches come sorted by key and row; each key's rows are gathered and solved."""
+
+    def run(batches):
+        held: list[pa.Table] = []
+        out: list[tuple] = []
+
+        def solve():
+            t = pa.concat_tables(held)
+            key = t.column("key")[0].as_py()
+            out.extend((key, *x) for x in differences(t, fields))
+            held.clear()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            key = b.column(b.schema.names.index("key"))
+            turns = np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)) + 1
+            edges = [0, *turns.tolist(), b.num_rows]
+            for s, e in zip(edges, edges[1:]):
+                if held and held[-1].column("key")[0] != key[s]:
+                    solve()
+                held.append(t.slice(s, e - s))
+            if out:
+                yield _result(out)
+                out = []
+        if held:
+            solve()
+        if out:
+            yield _result(out)
 
     return run
 
 
-def reconcile(left: DataFrame, right: DataFrame, key: str, fields: list[str], one_record: bool = False) -> DataFrame:
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "field", "diff", "n"])
+
+
+def _plain(df: DataFrame, field: str) -> Column:
+    """A field of the row as a value that Arrow can number: nested ones as JSON text, null staying null."""
+    kind = df.schema["row"].dataType[field].dataType
+    c = F.col("row")[field]
+    nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
+    return F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"})).alias(field) if nested else c.alias(field)
+
+
+def reconcile(left: DataFrame, right: DataFrame, key: str, fields: list[str], records: bool = False) -> DataFrame:
     """(key, field, diff, n): n rows of the key that differ in a field, or that one side has alone (field ``*``).
 
-    left, right: the key and the fields, normalised to comparable values. Other columns are ignored.
+    left, right: the BINARY key and the fields, normalised to comparable values. Other columns are ignored.
     """
     side = lambda df, l, r: df.select(F.col(key).alias("key"), F.struct(*fields).alias("row"), F.lit(l).alias("l"), F.lit(r).alias("r"))  # noqa: E731, E741
     both = side(left, 1, 0).unionByName(side(right, 0, 1))
     counted = both.filter("key IS NOT NULL").groupBy("key", "row").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    if one_record:
-        counted = counted.withColumns({"l": F.least("l", F.lit(1)), "r": F.least("r", F.lit(1))})
-    row = F.struct("row", F.abs(F.col("l") - F.col("r")).cast("int").alias("n"))
+    counted = counted.withColumns({"n_left": F.greatest(F.col("l") - F.col("r"), F.lit(0)), "n_right": F.greatest(F.col("r") - F.col("l"), F.lit(0))})
+    over = lambda c: F.when(F.col(c) > 0, F.col("row"))
     by_key = counted.groupBy("key").agg(
-        F.max("l").alias("in_left"),
-        F.max("r").alias("in_right"),
-        F.collect_list(F.when(F.col("l") > F.col("r"), row)).alias("left_rows"),
-        F.collect_list(F.when(F.col("r") > F.col("l"), row)).alias("right_rows"),
-    ).filter("size(left_rows) > 0 OR size(right_rows) > 0")
-    n = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x["n"])
-    by_key = by_key.withColumns({"nl": n("left_rows"), "nr": n("right_rows")})
-    a, b = F.col("left_rows")[0]["row"], F.col("right_rows")[0]["row"]
-    fields_apart = F.array_compact(F.array(*(F.when(~a[c].eqNullSafe(b[c]), F.lit(c)) for c in fields)))
-    single = by_key.filter("nl = 1 AND nr = 1").select("key", F.explode(fields_apart).alias("field"), F.lit("differs").alias("diff"), F.lit(1).cast("bigint").alias("n"))
-    alone = by_key.filter("nl = 0 OR nr = 0").select("key", F.lit("*").alias("field"), F.when(F.col("nr") == 0, "left_only").otherwise("right_only").alias("diff"), F.greatest("nl", "nr").cast("bigint").alias("n"), "in_left", "in_right")
-    many = by_key.filter("nl > 0 AND nr > 0 AND nl + nr > 2").select("key", "left_rows", "right_rows").mapInPandas(_pairing(fields), "key binary, field string, diff string, n bigint")
-    if one_record:
-        alone = alone.filter("in_left = 0 OR in_right = 0")
-        many = many.filter("diff = 'differs'")
-    return single.unionByName(alone.drop("in_left", "in_right")).unionByName(many)
+        F.sum("l").alias("in_left"),
+        F.sum("r").alias("in_right"),
+        F.count_if(F.col("n_left") > 0).alias("kinds_left"),
+        F.count_if(F.col("n_right") > 0).alias("kinds_right"),
+        F.sum("n_left").alias("n_left"),
+        F.sum("n_right").alias("n_right"),
+        F.max(over("n_left")).alias("a"),
+        F.max(over("n_right")).alias("b"),
+    ).filter("kinds_left + kinds_right > 0")
+    single = "kinds_left <= 1 AND kinds_right <= 1 OR kinds_left = 0 OR kinds_right = 0"
+    n, met = F.least("n_left", "n_right"), F.col("kinds_left") * F.col("kinds_right") > 0
+    cell = lambda when, field, diff, n: F.when(when, F.struct(F.lit(field).alias("field"), F.lit(diff).alias("diff"), n.alias("n")))
+    cells = [cell(met & ~F.col("a")[f].eqNullSafe(F.col("b")[f]), f, "differs", n) for f in fields]
+    cells += [cell(F.col("n_left") > n, "*", "left_only", F.col("n_left") - n), cell(F.col("n_right") > n, "*", "right_only", F.col("n_right") - n)]
+    plain = by_key.filter(single).select("key", "in_left", "in_right", F.explode(F.array_compact(F.array(*cells))).alias("x")).select("key", "x.*", "in_left", "in_right")
+    many = by_key.filter(f"NOT ({single})").select("key")
+    rest = counted.filter("l <> r").join(many, "key", "left_semi")
+    rest = rest.repartition(parallelism(left.sparkSession), "key").sortWithinPartitions("key", "row")
+    solved = rest.select("key", *(_plain(rest, f) for f in fields), "n_left", "n_right").mapInArrow(_solving(fields), "key binary, field string, diff string, n bigint")
+    if records:
+        plain = plain.filter("diff = 'differs' OR in_left = 0 OR in_right = 0")
+        solved = solved.filter("diff = 'differs'")
+    return plain.drop("in_left", "in_right").unionByName(solved)

@@ -156,23 +156,23 @@ def _event_rows(spark: SparkSession, d: str, name: str) -> DataFrame:
     )
 
 
-def _copies(spark: SparkSession, d: str, one_record: bool) -> DataFrame:
+def _copies(spark: SparkSession, d: str, records: bool) -> DataFrame:
     out = None
     for name, rows in (("manifest", _manifest_rows), ("provenance", _event_rows)):
         left, right = rows(spark, d, name), rows(spark, d, f"{name}_mirror")
-        apart = reconcile.reconcile(left, right, "key", left.columns[1:], one_record)
+        apart = reconcile.reconcile(left, right, "key", left.columns[1:], records)
         part = apart.select(F.lit(name).alias("table_name"), uuid_text("key").alias("key_id"), "field", "diff", "n")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _copies(spark, d, one_record=True).select("table_name", "key_id", "field", "diff")
+    return _copies(spark, d, records=True).select("table_name", "key_id", "field", "diff")
 
 
 def p5_rows(spark: SparkSession, d: str) -> DataFrame:
     """The same with repeated deliveries as rows of their own: how often each key is short on one side, and what differs."""
-    return _copies(spark, d, one_record=False)
+    return _copies(spark, d, records=False)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_circles, p2_found, p2_versions, p2_table, p3_found, p3_cascade, p3_report, p4_found, p4_state, p4_watermarks, p5_found, p5_rows)}

@@ -2,6 +2,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import digest_key, instant_ms, uuid_key, uuid_text
@@ -73,34 +74,47 @@ def test_orphans_and_cascade(spark):
     assert lev == want
 
 
-def test_assignment_is_of_least_cost():
+def least_cost(a, b, supply, demand):
+    rows, cols = ([i for i, n in enumerate(x) for _ in range(n)] for x in (supply, demand))
+    if len(rows) > len(cols):
+        return least_cost(b, a, demand, supply)
+    return min(sum(sum(x != y for x, y in zip(a[i], b[j])) for i, j in zip(rows, p)) for p in set(itertools.permutations(cols, len(rows))))
+
+
+def test_transport_is_of_least_cost():
     r = random.Random(3)
-    for n, m in ((1, 1), (2, 4), (4, 4), (5, 6)):
-        for _ in range(20):
-            c = [[r.randrange(5) for _ in range(m)] for _ in range(n)]
-            a = reconcile.assign(c)
-            assert len(set(a)) == n
-            assert sum(c[i][j] for i, j in enumerate(a)) == min(sum(c[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+    for _ in range(300):
+        n, m, f = r.randrange(1, 5), r.randrange(1, 4), r.randrange(1, 5)
+        a, b = ([[r.randrange(3) for _ in range(f)] for _ in range(k)] for k in (n, m))
+        s, d = ([r.randrange(1, 3) for _ in range(k)] for k in (n, m))
+        out = reconcile.transport(np.array(a), np.array(b), np.array(s), np.array(d))
+        assert sum(k for *_, k in out) == min(sum(s), sum(d))
+        assert all(sum(k for i, _, k in out if i == x) <= s[x] for x in range(n)) and all(sum(k for _, j, k in out if j == y) <= d[y] for y in range(m))
+        assert sum(k * sum(x != y for x, y in zip(a[i], b[j])) for i, j, k in out) == least_cost(a, b, s, d)
 
 
 def test_reconcile(spark):
     kind = "k string, a string, l int, t array<string>, extra int"
-    left = spark.createDataFrame([("1", "x", 1, ["u"], 0), ("1", "x", 1, ["u"], 9), ("2", None, 1, None, 0), ("3", "q", 1, None, 0), ("3", "q", 2, None, 0), (None, "x", 1, None, 0), ("5", "", 1, [], 0)], kind)
-    right = spark.createDataFrame([("1", "x", 1, ["u"], 0), ("2", "", 1, None, 0), ("3", "q", 3, None, 0), ("3", "w", 1, None, 0), ("4", "x", 1, None, 0), ("5", None, 1, None, 0)], kind)
+    left = spark.createDataFrame([("1", "x", 1, ["u"], 0), ("1", "x", 1, ["u"], 9), ("2", None, 1, None, 0), ("3", "q", 1, ["v", "w"], 0), ("3", "q", 2, ["u"], 0), (None, "x", 1, None, 0), ("5", "", 1, [], 0), ("6", "x", 1, ["u"], 0), ("6", "x", 1, ["u"], 0)], kind)
+    right = spark.createDataFrame([("1", "x", 1, ["u"], 0), ("2", "", 1, None, 0), ("3", "q", 3, ["u"], 0), ("3", "w", 1, ["v", "w"], 0), ("4", "x", 1, None, 0), ("5", None, 1, None, 0), ("6", "x", 1, ["w"], 0), ("6", "x", 1, ["w"], 0), ("6", "x", 1, ["w"], 0)], kind)
     left, right = (d.withColumn("k", F.col("k").cast("binary")) for d in (left, right))
-    run = lambda one: sorted((bytes(r["key"]).decode(), r["field"], r["diff"], r["n"]) for r in reconcile.reconcile(left, right, "k", ["a", "l", "t"], one).collect())
-    rest = [("2", "a", "differs", 1), ("3", "a", "differs", 1), ("3", "l", "differs", 1), ("4", "*", "right_only", 1), ("5", "a", "differs", 1), ("5", "t", "differs", 1)]
-    assert run(False) == [("1", "*", "left_only", 1), *rest]
+    run = lambda records: sorted((bytes(r["key"]).decode(), r["field"], r["diff"], r["n"]) for r in reconcile.reconcile(left, right, "k", ["a", "l", "t"], records).collect())
+    rest = [("2", "a", "differs", 1), ("3", "a", "differs", 1), ("3", "l", "differs", 1), ("4", "*", "right_only", 1), ("5", "a", "differs", 1), ("5", "t", "differs", 1), ("6", "t", "differs", 2)]
+    assert run(False) == sorted([("1", "*", "left_only", 1), ("6", "*", "right_only", 1), *rest])
     assert run(True) == rest
     assert reconcile.reconcile(left.limit(0), right.limit(0), "k", ["a"]).collect() == []
 
 
-def test_many_left_over_rows_pair_up(monkeypatch):
-    monkeypatch.setattr(reconcile, "MAX_ASSIGN", 3)
-    left = [(str(i), "a", None) for i in range(10)]
-    right = [(str(i), "b", None) for i in range(12)]
-    pairs, a, b = reconcile.pair_rows(left, right)
-    assert len(pairs) == 10 and not a and len(b) == 2 and all(x[0] == y[0] for x, y in pairs)
+def test_a_key_with_a_thousand_left_over_rows(spark):
+    """Half of all rows have one key; each differs in one field from its partner, and an array tells the partners."""
+    row = lambda i, x: ("hot", f"{i % 7}", x, [str(i), "t"], {"m": i})
+    kind = "k string, a string, s string, t array<string>, m map<string,int>"
+    both = [(f"k{i}", "a", "b", ["c"], None) for i in range(1000)]
+    left = spark.createDataFrame([*both, *(row(i, "old") for i in range(1000)), row(-1, "x"), row(-1, "x")], kind)
+    right = spark.createDataFrame([*both, *(row(i, "new") for i in range(1000)), row(-1, "x")], kind)
+    left, right = (d.select(F.col("k").cast("binary").alias("k"), "a", "s", "t", F.array_sort(F.map_entries("m")).alias("m")) for d in (left, right))
+    got = {(bytes(r["key"]), r["field"], r["diff"], r["n"]) for r in reconcile.reconcile(left, right, "k", ["a", "s", "t", "m"]).collect()}
+    assert got == {(b"hot", "s", "differs", 1000), (b"hot", "*", "left_only", 1)}
 
 
 def lines(spark, files):

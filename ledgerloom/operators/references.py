@@ -40,17 +40,35 @@ def orphans(children: DataFrame, references: dict[str, DataFrame]) -> DataFrame:
 def cascade(direct: DataFrame, links: DataFrame) -> DataFrame:
     """(id, level) of all orphans: level 0 for the ids of ``direct``, else the steps to the nearest orphaned ancestor.
 
-    links (id, parent): each record's parent in the foreign-key graph, at most one; circles are allowed.
+    links (id, parent): each record's parent in the foreign-key graph, at most one; circles are allowed. A record that is not
+    yet known to be orphaned points to an ancestor, with no orphan before it; where that is an orphan, so is the record, else
+    it takes over the ancestor's pointer. What points nowhere is no orphan; once a round settles nothing, only circles are left.
     """
-    reached = cut(direct.select("id").distinct().withColumn("level", F.lit(0)))
-    open_links = cut(links.filter("parent IS NOT NULL").join(reached, "id", "left_anti").select("id", "parent"))
-    step = 1
-    while True:
-        new = open_links.join(reached.select(F.col("id").alias("parent"), "level"), "parent").select("id", (F.col("level") + step).alias("level"))
-        new = cut(new)
-        if not new.count():
-            return reached
-        reached = cut(reached.unionByName(new))
-        ahead = open_links.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
-        open_links = cut(open_links.join(new, "id", "left_anti").join(ahead, "parent").select("id", F.col("next").alias("parent")))
-        step *= 2
+    known = cut(direct.select("id").distinct().withColumn("level", F.lit(0)))
+    away = cut(links.filter("parent IS NOT NULL").join(known, "id", "left_anti").select("id", F.col("parent").alias("ptr"), F.lit(1).alias("level")))
+    left = away.count()
+    while left:
+        there = known.select(F.col("id").alias("ptr"), F.col("level").alias("more"), F.lit(None).cast(away.schema["ptr"].dataType).alias("next"), F.lit(True).alias("hit"))
+        there = there.unionByName(away.select(F.col("id").alias("ptr"), F.col("level").alias("more"), F.col("ptr").alias("next"), F.lit(False).alias("hit")))
+        moved = cut(away.join(there, "ptr").select("id", F.col("next").alias("ptr"), (F.col("level") + F.col("more")).alias("level"), "hit"))
+        known = known.unionByName(moved.filter("hit").select("id", "level"))
+        away = moved.filter("NOT hit").select("id", "ptr", "level")
+        if (now := away.count()) == left:
+            break
+        left = now
+    return known
+
+
+def orphan_rows(children: DataFrame, direct: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, arrival, field, kind, level): the rows of ``direct`` with level 0, and one row per inherited orphan with its level.
+
+    children (id, arrival, ...), direct as ``orphans`` gives it, links as for ``cascade``. Inherited orphans have no field and
+    no kind of their own.
+    """
+    direct = cut(direct)
+    reached = cascade(direct, links)
+    below = reached.filter("level > 0").join(children.select("id", "arrival"), "id")
+    none = F.lit(None).cast("string")
+    inherited = below.select("id", "arrival", none.alias("field"), none.alias("kind"), "level")
+    mine = direct.join(reached.filter("level = 0"), "id")
+    return mine.select("id", "arrival", "field", "kind", "level").unionByName(inherited)

@@ -7,20 +7,23 @@ a key are composed in order. A key that holds a third of all changes is thus spr
 
 Commit order and holds: each change carries its log and its line there. The changes of one log with the same instant are one
 transaction, complete once the log has no gap up to its last line. A log's watermark is the last line before its first gap;
-transactions beyond it are held. On a closed feed (``held=False``) nothing is waited for and all changes count.
+transactions beyond it are held until the feed is closed, when gaps are given up and what was held falls into its place.
+Lines count as delivered whatever they carry, so a row that makes no change (no key, no instant, a repeated id) leaves no gap.
 
 Defined cases: repeated deliveries of an id are one change, the first to arrive; ties in the instant go by id; changes without
-key, id or instant are dropped; types that the table does not allow in a state (null and unknown ones included) change nothing.
+key, id or instant are dropped; types that the table does not allow in a state (null and unknown ones included) change nothing;
+changes without log or line are never held.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import parallelism
+from ..session import cut, parallelism
 
 # The lifecycle's transition table, (state, change) -> next state; "new" is the state before any change.
 LIFECYCLE = {
@@ -66,56 +69,90 @@ def changes(df: DataFrame, *, id: str, key: str, code: Column, ms: str, arrival:
     return one.select("id", *(f"r.{c}" for c in kept)).filter("key IS NOT NULL AND ms IS NOT NULL")
 
 
-def watermarks(changes: DataFrame, first_line: int = 1) -> DataFrame:
-    """(log, watermark): the last line of each log before its first gap, first_line - 1 if the log's start is missing.
+def _log_ends(delivered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct lines (log, seq), and per log (log, first, last, n): a log without gap has as many lines as it is long."""
+    lines = delivered.filter("log IS NOT NULL AND seq IS NOT NULL").select("log", "seq").distinct()
+    return lines, lines.groupBy("log").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
 
-    Gaps are found by joining each line to the next, which spreads a hot log over all tasks.
-    """
-    lines = changes.filter("log IS NOT NULL AND seq IS NOT NULL").select("log", "seq").distinct()
-    ends = lines.join(lines.select("log", (F.col("seq") - 1).alias("seq")), ["log", "seq"], "left_anti")
-    started = lines.groupBy("log").agg(F.min("seq").alias("start"))
-    return ends.groupBy("log").agg(F.min("seq").alias("end")).join(started, "log").select("log", F.when(F.col("start") == first_line, F.col("end")).otherwise(first_line - 1).alias("watermark"))
+
+def _before_gap(lines: DataFrame, broken: DataFrame, first_line: int) -> DataFrame:
+    """(log, watermark) of logs with gaps. Each line is joined to the next, which spreads a hot log over all tasks."""
+    mine = lines.join(broken.select("log"), "log", "left_semi")
+    ends = mine.join(mine.select("log", (F.col("seq") - 1).alias("seq")), ["log", "seq"], "left_anti").groupBy("log").agg(F.min("seq").alias("end"))
+    return ends.join(broken, "log").select("log", F.when(F.col("first") == first_line, F.col("end")).otherwise(first_line - 1).alias("watermark"))
+
+
+def watermarks(delivered: DataFrame, first_line: int = 1) -> DataFrame:
+    """(log, watermark) of delivered rows (log, seq): the last line of each log before its first gap, first_line - 1 if the log's
+    start is missing."""
+    lines, logs = _log_ends(delivered)
+    whole = (F.col("first") == first_line) & (F.col("last") - F.col("first") + 1 == F.col("n"))
+    return logs.filter(whole).select("log", F.col("last").alias("watermark")).unionByName(_before_gap(lines, logs.filter(~whole), first_line))
 
 
-def mark_held(changes: DataFrame) -> DataFrame:
-    """Adds ``held``: whether the change's transaction reaches beyond its log's watermark. Changes without log are never held."""
-    last = changes.groupBy("log", "ms").agg(F.max("seq").alias("last_line"))
-    beyond = last.join(watermarks(changes), "log").filter("last_line > watermark").select("log", "ms", F.lit(True).alias("held"))
+def mark_held(changes: DataFrame, delivered: DataFrame, first_line: int = 1) -> DataFrame:
+    """Adds ``held``: whether the change's transaction reaches beyond its log's watermark.
+
+    delivered (log, seq): all lines that arrived, whatever they carry. Only changes of logs with gaps are looked at again.
+    """
+    lines, logs = _log_ends(delivered)
+    broken = cut(logs.filter((F.col("first") != first_line) | (F.col("last") - F.col("first") + 1 != F.col("n"))))
+    if broken.isEmpty():
+        return changes.withColumn("held", F.lit(False))
+    marks = _before_gap(lines, broken, first_line)
+    last = changes.join(broken.select("log"), "log", "left_semi").groupBy("log", "ms").agg(F.max("seq").alias("last_line"))
+    beyond = last.join(marks, "log").filter("last_line > watermark").select("log", "ms", F.lit(True).alias("held"))
     return changes.join(beyond, ["log", "ms"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
 def _folder(machine: Machine, held: bool):
-    moves, n_states = machine.moves, len(machine.states)
+    """Composes each key's run of changes into one function on states. Functions are numbered as they turn up, at most one for
+    every map of states to states, so a change is one look-up."""
+    identity = tuple(range(len(machine.states)))
 
     def fold(batches):
+        functions, number = [identity], {identity: 0}
+        after: dict[tuple[int, int], int] = {}
+
+        def then(f: int, code: int) -> int:
+            if (f, code) not in after:
+                g = tuple(machine.moves[code][s] for s in functions[f])
+                if g not in number:
+                    number[g] = len(functions)
+                    functions.append(g)
+                after[f, code] = number[g]
+            return after[f, code]
+
         key = first = None
-        f: list[int] = []
-        g: list[int] = []
-        n = m = 0
+        f = g = n = m = 0
         out: dict[str, list] = {c: [] for c in ("key", "ms", "id", "f", "g", "n", "n_held")}
 
         def close():
-            for c, v in zip(out, (key, *first, f, g, n, m)):
+            for c, v in zip(out, (key, *first, functions[f], functions[g], n, m)):
                 out[c].append(v)
 
         for b in batches:
+            if not b.num_rows:
+                continue
             c = {x: b.column(i) for i, x in enumerate(b.schema.names)}
-            keys, codes = c["key"].to_pylist(), c["code"].to_pylist()
-            holds = c["held"].to_pylist() if held else None
-            for i, k in enumerate(keys):
+            turns = np.flatnonzero(pc.not_equal(c["key"][1:], c["key"][:-1]).to_numpy(zero_copy_only=False)) + 1
+            codes = c["code"].to_numpy(zero_copy_only=False)
+            holds = c["held"].to_numpy(zero_copy_only=False) if held else None
+            for s, e in zip([0, *turns.tolist()], [*turns.tolist(), b.num_rows]):
+                k = c["key"][s].as_py()
                 if k != key or first is None:
                     if first is not None:
                         close()
-                    key, first = k, (c["ms"][i].as_py(), c["id"][i].as_py())
-                    f, g, n, m = list(range(n_states)), list(range(n_states)), 0, 0
-                n += 1
-                wait = holds[i] if held else False
-                m += wait
-                if codes[i] >= 0:
-                    move = moves[codes[i]]
-                    f = [move[s] for s in f]
-                    if held and not wait:
-                        g = [move[s] for s in g]
+                    key, first = k, (c["ms"][s].as_py(), c["id"][s].as_py())
+                    f = g = n = m = 0
+                n += e - s
+                moving = codes[s:e] >= 0
+                for x in codes[s:e][moving].tolist():
+                    f = then(f, x)
+                if held:
+                    m += int(holds[s:e].sum())
+                    for x in codes[s:e][moving & ~holds[s:e]].tolist():
+                        g = then(g, x)
             if len(out["key"]) > 50_000:
                 yield pa.RecordBatch.from_pydict(out, schema=RUNS)
                 out = {c: [] for c in out}

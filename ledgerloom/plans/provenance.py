@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import digest_key, folded, instant_ms, uuid_key, uuid_text
 from ..operators import drift, reconcile, references, replay
 from ..operators import hierarchy as hier
+from ..session import cut
 from ..sources.tables import table
 
 
@@ -72,65 +73,71 @@ def _orphans(spark: SparkSession, d: str, events: DataFrame) -> DataFrame:
     return references.orphans(events, {"claim_id": references.records(m, "claim", "received_at", "deleted_at"), "target_claim_instance_id": references.records(i, "instance", "received_at")})
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d, _referring(spark, d)).select(uuid_text("id").alias("event_id"), "field", "kind")
-
-
-def _inherited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Direct orphans, and all orphans with their level: an event inherits from the event that first introduced its target."""
-    events = _referring(spark, d)
-    direct = _orphans(spark, d, events)
+def _inherited(spark: SparkSession, d: str) -> DataFrame:
+    """(id, arrival, field, kind, level): an event inherits from the event that first introduced its target."""
+    events = cut(_referring(spark, d))
     introduces = events.filter("instance IS NOT NULL").groupBy("instance").agg(F.min(F.struct("arrival", "id"))["id"].alias("parent"))
     links = events.join(introduces.withColumnRenamed("instance", "target_claim_instance_id"), "target_claim_instance_id").select("id", "parent")
-    return direct, references.cascade(direct, links)
+    return references.orphan_rows(events, _orphans(spark, d, events), links)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The direct orphans of the cascade."""
+    return _inherited(spark, d).filter("level = 0").select(uuid_text("id").alias("event_id"), "field", "kind")
 
 
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Every orphaned event: level 0 direct, else the steps down from the nearest orphan."""
-    _, reached = _inherited(spark, d)
+    reached = _inherited(spark, d).select("id", "level").distinct()
     return reached.select(uuid_text("id").alias("event_id"), "level", F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("orphan"))
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per table and month of arrival: direct ones by field and kind, inherited ones with field and kind ``*``."""
-    direct, reached = _inherited(spark, d)
-    arrivals = _referring(spark, d).select("id", "arrival")
-    rows = direct.select("arrival", "field", "kind").unionByName(reached.filter("level > 0").join(arrivals, "id").select("arrival", F.lit("*").alias("field"), F.lit("*").alias("kind")))
-    return rows.groupBy(F.lit("provenance").alias("table_name"), F.date_format("arrival", "yyyy-MM").alias("period"), "field", "kind").agg(F.count("*").alias("n_references"))
+    rows = _inherited(spark, d).select(F.date_format("arrival", "yyyy-MM").alias("period"), F.coalesce("field", F.lit("*")).alias("field"), F.coalesce("kind", F.lit("*")).alias("kind"))
+    return rows.groupBy(F.lit("provenance").alias("table_name"), "period", "field", "kind").agg(F.count("*").alias("n_references"))
 
 
 LIFECYCLE = replay.Machine()
 
 
-def _claim_changes(spark: SparkSession, d: str, logs: bool) -> DataFrame:
+def _claim_changes(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "provenance").select(
         uuid_key("event_id").alias("id"),
         uuid_key("claim_id").alias("key"),
         folded("event_type").alias("event_type"),
         instant_ms("timestamp").alias("ms"),
         "received_at",
-        *([uuid_key("package_id").alias("log"), F.col("line_no").alias("seq")] if logs else []),
+        uuid_key("package_id").alias("log"),
+        F.col("line_no").alias("seq"),
     )
-    return replay.changes(p, id="id", key="key", code=LIFECYCLE.code(F.col("event_type")), ms="ms", arrival="received_at", **({"log": "log", "seq": "seq"} if logs else {}))
+    return replay.changes(p, id="id", key="key", code=LIFECYCLE.code(F.col("event_type")), ms="ms", arrival="received_at", log="log", seq="seq")
+
+
+def _delivered(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "provenance").select(uuid_key("package_id").alias("log"), F.col("line_no").alias("seq"))
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    return replay.replay(replay.mark_held(_claim_changes(spark, d), _delivered(spark, d)), LIFECYCLE, held=True)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    reached = replay.replay(_claim_changes(spark, d, logs=False), LIFECYCLE).filter("state > 0")
+    """The feed is closed here: changes that were held beyond a gap count too, in their place."""
+    reached = _states(spark, d).filter("state > 0").select("key", LIFECYCLE.name(F.col("state")).alias("state"))
     m = table(spark, d, "manifest").select(uuid_key("claim_id").alias("key"), folded("state").alias("said"), "received_at")
     said = m.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("received_at").isNull(), "received_at", F.col("said").isNull(), "said"))["said"].alias("said"))
-    apart = reached.withColumn("state", LIFECYCLE.name(F.col("state"))).join(said.filter("said IS NOT NULL"), "key").filter("said <> state")
+    apart = reached.join(said.filter("said IS NOT NULL"), "key").filter("said <> state")
     return apart.select(uuid_text("key").alias("claim_id"), "state")
 
 
 def p4_state(spark: SparkSession, d: str) -> DataFrame:
     """Every claim's state after all events, and after those up to the committed watermarks of the package logs."""
-    states = replay.replay(replay.mark_held(_claim_changes(spark, d, logs=True)), LIFECYCLE, held=True)
-    return states.select(uuid_text("key").alias("claim_id"), LIFECYCLE.name(F.col("state")).alias("state"), LIFECYCLE.name(F.col("committed_state")).alias("committed_state"), "n_changes", "n_held")
+    return _states(spark, d).select(uuid_text("key").alias("claim_id"), LIFECYCLE.name(F.col("state")).alias("state"), LIFECYCLE.name(F.col("committed_state")).alias("committed_state"), "n_changes", "n_held")
 
 
 def p4_watermarks(spark: SparkSession, d: str) -> DataFrame:
-    w = replay.watermarks(_claim_changes(spark, d, logs=True))
-    return w.select(uuid_text("log").alias("package_id"), "watermark")
+    return replay.watermarks(_delivered(spark, d)).select(uuid_text("log").alias("package_id"), "watermark")
 
 
 def _manifest_rows(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -29,6 +29,10 @@ def changes(spark, rows):
     return replay.changes(df, id="id", key="key", code=replay.Machine().code(F.col("kind")), ms="ms", arrival="at", log="log", seq="seq")
 
 
+def delivered(spark, rows):
+    return spark.createDataFrame([(x[5], x[6]) for x in rows], "log string, seq long").select(F.col("log").cast("binary").alias("log"), "seq")
+
+
 def test_replay_equals_a_plain_fold(spark):
     r, m = random.Random(4), replay.Machine()
     kinds = [*m.types, None, "unknown"]
@@ -47,11 +51,23 @@ def test_replay_equals_a_plain_fold(spark):
 def test_gaps_hold_changes(spark):
     rows = [("a", "k", "create", 1, 0, "L", 1, ""), ("b", "k", "withdraw", 5, 0, "L", 3, ""), ("c", "j", "create", 2, 0, None, None, ""), ("d", "i", "create", 2, 0, "M", 2, ""), (None, "k", "create", 1, 0, "L", 4, ""), ("z", None, "create", 1, 0, "L", 9, "")]
     m = replay.Machine()
-    got = {bytes(x["key"]).decode(): (m.states[x["state"]], m.states[x["committed_state"]], x["n_held"]) for x in replay.replay(replay.mark_held(changes(spark, rows)), m, held=True).collect()}
+    got = {bytes(x["key"]).decode(): (m.states[x["state"]], m.states[x["committed_state"]], x["n_held"]) for x in replay.replay(replay.mark_held(changes(spark, rows), delivered(spark, rows)), m, held=True).collect()}
     assert got == {"k": ("withdrawn", "active", 1), "j": ("active", "active", 0), "i": ("active", "new", 1)}
     assert replay.replay(changes(spark, rows[:0]), m).collect() == []
 
 
+def test_lines_without_a_change_leave_no_gap(spark):
+    """Line 2 has no instant, line 3 no key, line 4 repeats an event: nothing is held. A late transaction fills its place."""
+    rows = [("a", "k", "create", 1, 0, "L", 1, ""), ("b", "k", "revise", None, 0, "L", 2, ""), ("c", None, "revise", 3, 0, "L", 3, ""), ("a", "k", "create", 1, 5, "L", 4, ""), ("d", "k", "withdraw", 9, 0, "L", 5, "")]
+    rows += [("e", "j", "supersede", 8, 9, "M", 2, ""), ("f", "j", "create", 2, 99, "M", 1, "")]
+    rows += [("g", "i", "create", 4, 0, "N", 1, ""), ("h", "i", "revise", 4, 0, "N", 2, ""), ("p", "i", "withdraw", 4, 0, "N", 4, "")]  # one transaction, cut by a gap
+    m = replay.Machine()
+    got = {bytes(x["key"]).decode(): (m.states[x["state"]], m.states[x["committed_state"]], x["n_held"]) for x in replay.replay(replay.mark_held(changes(spark, rows), delivered(spark, rows)), m, held=True).collect()}
+    assert got == {"k": ("withdrawn", "withdrawn", 0), "j": ("superseded", "superseded", 0), "i": ("withdrawn", "new", 3)}
+    marks = {bytes(r["log"]).decode(): r["watermark"] for r in replay.watermarks(delivered(spark, rows)).collect()}
+    assert marks == {"L": 5, "M": 2, "N": 2}
+
+
 def test_orphans_and_cascade(spark):
     b = lambda df, *cs: df.withColumns({c: F.col(c).cast("binary") for c in cs})
     kids = b(spark.createDataFrame([("a", 5, "p", "x"), ("b", 5, None, "x"), ("c", 5, "q", "x"), ("d", 5, "r", "x"), ("e", 5, "s", "x")], "id string, arrival int, ref string, kind string"), "id", "ref")
@@ -72,6 +88,10 @@ def test_orphans_and_cascade(spark):
         if y in direct:
             want[x] = n
     assert lev == want
+    named = spark.createDataFrame([(5, 1, "f", "missing"), (5, 1, "f", "late"), (40, 2, "f", "missing"), (201, 3, "g", "late")], "id int, arrival int, field string, kind string")
+    rows = references.orphan_rows(spark.createDataFrame([(x, x) for x in par], "id int, arrival int"), named, links).collect()
+    assert sorted((r["id"], r["kind"]) for r in rows if r["level"] == 0) == [(5, "late"), (5, "missing"), (40, "missing"), (201, "late")]
+    assert {r["id"]: r["level"] for r in rows} == want and all(r["arrival"] == r["id"] for r in rows if r["level"])
 
 
 def least_cost(a, b, supply, demand):

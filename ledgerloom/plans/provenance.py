@@ -46,16 +46,17 @@ def p1_circles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.changes(table(spark, d, "manifest_raw")).select("file_name", "field", "change")
+    return drift.changes(drift.registry(table(spark, d, "manifest_raw"))).select("file_name", "field", "change")
 
 
 def p2_versions(spark: SparkSession, d: str) -> DataFrame:
-    return drift.versions(table(spark, d, "manifest_raw"))
+    r = drift.registry(table(spark, d, "manifest_raw"))
+    return r.select("feed", "file_seq", "file_name", F.size("fields").alias("n_fields"), "fingerprint", "version", F.size("steps").alias("n_steps"))
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     t = drift.consistent_table(table(spark, d, "manifest_raw"))
-    return t.withColumns({"package_id": uuid_text(uuid_key("package_id")), "fields": F.to_json("fields")})
+    return t.withColumns({"package_id": uuid_text(uuid_key("package_id")), "fields": F.to_json("fields", {"ignoreNullFields": "false"}), "changes": F.to_json("changes")})
 
 
 def _referring(spark: SparkSession, d: str) -> DataFrame:

@@ -146,21 +146,38 @@ def test_drift(spark):
     old = [{"package_id": f"p{i}", "a": i, "b": "x", "n": 1.0, "extensions": {"k": True}} for i in range(4)]
     new = [{"package_id": f"p{i}", "c": i, "b": ["x"], "n": 1, "extensions": {"j": None}} for i in range(4)]
     raw = lines(spark, [[*old, "{cut", None, "[1]", '{"z": NaN}'], new, [], new[:0] + ["bad"]])
-    got = {(r["file_name"], r["field"], r["change"]) for r in drift.changes(raw).collect()}
+    got = {(r["file_name"], r["field"], r["change"]) for r in drift.changes(drift.registry(raw)).collect()}
     gone = {("f/3", f, "removed") for f in ("package_id", "c", "b", "n", "extensions")}
     assert got == {("f/1", "c", "renamed"), ("f/1", "b", "retyped"), ("f/1", "extensions.k", "removed")} | gone
-    assert drift.changes(raw.limit(0)).collect() == []
+    assert drift.changes(drift.registry(raw.limit(0))).collect() == []
 
 
 def test_two_packages_make_no_rename(spark):
     raw = lines(spark, [[{"package_id": f"p{i}", "a": i} for i in range(2)], [{"package_id": f"p{i}", "c": i} for i in range(2)]])
-    assert {(r["field"], r["change"]) for r in drift.changes(raw).collect()} == {("a", "removed"), ("c", "added")}
+    assert {(r["field"], r["change"]) for r in drift.changes(drift.registry(raw)).collect()} == {("a", "removed"), ("c", "added")}
 
 
-def test_records_are_routed_into_the_latest_schema(spark):
-    files = [[{"package_id": f"p{i}", "a": i} for i in range(3)], [{"package_id": f"p{i}", "b": i} for i in range(3)], [{"package_id": f"p{i}", "c": i, "d": "1"} for i in range(3)]]
+def test_records_are_routed_into_one_schema(spark):
+    pk = [f"p{i}" for i in range(3)]
+    files = [[{"package_id": p, "a": i} for i, p in enumerate(pk)], [{"package_id": p, "b": i} for i, p in enumerate(pk)], [{"package_id": p, "c": i, "d": "1"} for i, p in enumerate(pk)], [{"package_id": "p0", "c": "x", "a": "7"}]]
     got = drift.consistent_table(lines(spark, files)).collect()
-    assert len(got) == 9 and all(set(r["fields"]) == {"package_id", "c", "d"} for r in got)
-    assert {r["fields"]["c"] for r in got} == {"0", "1", "2"}
-    assert drift.cast_json("7", "number") == 7 and drift.cast_json("seven", "number") == "seven" and drift.cast_json(7, "string") == "7"
-    assert drift.value_key(1) == drift.value_key(drift._DECODER.decode("1.0")) != drift.value_key(True)
+    assert len(got) == 10 and all(set(r["fields"]) == {"package_id", "a", "d", "a@2"} for r in got)
+    assert [r["fields"]["a"] for r in sorted(got, key=lambda r: r["raw_id"])] == ["0", "1", "2"] * 3 + ['"x"']
+    last = next(r for r in got if r["file_seq"] == 3)
+    assert {tuple(x) for x in last["changes"]} == {("a", "renamed from c"), ("a", "kept as string, not number"), ("a@2", "renamed from a")}
+    other = lines(spark, files).withColumns({"feed": F.lit("g"), "file_name": F.concat(F.lit("g"), "file_name")}).filter("file_seq < 1")
+    both = drift.consistent_table(lines(spark, files).unionByName(other)).collect()
+    assert len(both) == 13 and all(set(r["fields"]) == {"package_id", "a", "d", "a@2"} for r in both)
+
+
+def test_json_values():
+    n = lambda x: drift._DECODER.decode(x)
+    assert drift.json_text(drift.cast_json("7", "number")) == "7" and drift.cast_json("seven", "number") is drift._FAILED and drift.cast_json(n("7"), "string") == "7"
+    assert drift.value_key(n("1")) == drift.value_key(n("1.0")) == drift.value_key(n("10e-1")) != drift.value_key(True)
+    assert drift.value_key(n("-0")) == drift.value_key(n("0.00")) == drift.value_key(n("0e9"))
+    assert drift.value_key(n("1e5000")) == drift.value_key(n("10e4999")) != drift.value_key(n("1e5001"))
+    a, b = "1234567890123456789012345678901234567890.1", "1234567890123456789012345678901234567890.2"
+    assert drift.value_key(n(a)) != drift.value_key(n(b)) and drift.json_text(n(a)) == a
+    long = "9" * 6000
+    assert drift.parse_object('{"a": ' + long + "}")["a"].text == long
+    assert drift.value_key(n('{"a": 1, "b": [2.50]}')) == drift.value_key(n('{"b": [25e-1], "a": 1.0}'))

@@ -19,14 +19,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Decodes every document's ids: the digest of what comes back, and the number of ids."""
+    """Decodes every document's ids: the digest of what comes back."""
     coded = encoding.encode_corpus(table(spark, d, "documents"), TOKENIZERS)
     return encoding.decode_corpus(coded, TOKENIZERS).select(F.col("id").alias("doc_id"), F.sha2(F.encode("text", "utf-8"), 256).alias("digest"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve equal words in a row score 24 at least; the run itself is checked on the words."""
     pairs = leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return pairs.filter("longest_run >= 12").select(F.col("id").alias("doc_id"), "item_id")
+    return pairs.filter("score >= 24 AND longest_run >= 12").select(F.col("id").alias("doc_id"), "item_id")
 
 
 def p7_alignments(spark: SparkSession, d: str) -> DataFrame:

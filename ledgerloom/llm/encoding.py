@@ -1,17 +1,20 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer, by monoid tree reduction.
 
-A text is halved until its parts are short; each leaf is encoded; neighbours are joined by encoding a window around the seam
-again. The window grows on either side to a stable cut: a position between a character that is no white space and a following
-blank. The tokenizer's pattern splits there whatever surrounds it (only white space may precede a piece, no piece goes on into
-white space, and the one look-ahead is for white space), and merges never cross pieces, so tokens outside the window cannot
-change. Decoding concatenates the bytes up the same tree.
+A text is halved until its parts are short; each leaf is encoded; neighbours are joined by encoding a window around their seam
+again. The window grows fourfold on either side until its ends are stable and are ends of tokens in both halves, so that the
+tokens outside provably stay. A stable position is one where the tokenizer's pattern splits whatever surrounds it, and merges
+never cross a split: no piece goes on into white space (so white space after anything else is a split), a letter run ends at a
+digit, and so on for other changes of class between ASCII characters, but for what may be a contraction. A stretch without
+stable position cannot be divided: it is a leaf, however long. Decoding concatenates the bytes up the same tree.
 
 Defined cases: empty and null texts give an empty list; special tokens' strings are ordinary text.
 """
 
 from __future__ import annotations
 
+import ast
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -20,19 +23,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a leaf; longer texts are halved.
-LEAF = 65_536
+LEAF = 4_096
 #: First window on either side of a seam, in characters; it grows fourfold.
-SEAM = 64
+SEAM = 16
+
+#: Positions where the pattern splits in any context, after what is matched before them.
+_STABLE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\r\n])|(?<=[A-Za-z])(?=[0-9!-/:-@\[-`{-~])|(?<=[0-9])(?=[A-Za-z!-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z0-9])")
+
+
+def pattern_of(folder: str) -> str:
+    """The splitting pattern that the tokenizers' folder publishes as PATTERN, read as a literal; nothing there is run."""
+    with open(f"{folder}/__init__.py", encoding="utf-8") as f:
+        for node in ast.parse(f.read()).body:
+            if isinstance(node, ast.Assign) and getattr(node.targets[0], "id", None) == "PATTERN":
+                return ast.literal_eval(node.value)
+    raise ValueError(f"no PATTERN in {folder}")
 
 
 @lru_cache
 def tokenizer(name: str, folder: str):
     """The tiktoken encoding of ranks file ``folder/name.tiktoken``, with the pattern published beside it."""
-    import runpy
-
     import tiktoken
 
-    pattern = runpy.run_path(f"{folder}/__init__.py")["PATTERN"]
+    pattern = pattern_of(folder)
     with open(f"{folder}/{name}.tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -44,60 +57,68 @@ def leaf_ids(enc, text: str) -> np.ndarray:
     return np.frombuffer(enc._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32) if hasattr(enc._core_bpe, "encode_to_tiktoken_buffer") else np.array(enc.encode_ordinary(text), np.uint32)
 
 
-def _cut_before(text: str, at: int) -> int:
-    """The nearest stable cut at or before ``at``, 0 if there is none."""
+def _last_stable(text: str, at: int, least: int) -> int:
+    """The last stable position in (least, at], else least."""
     span = SEAM
-    while True:
-        lo = max(0, at - span)
-        for i in range(at, max(lo, 1) - 1, -1):
-            if i < len(text) and text[i] == " " and not text[i - 1].isspace() and text[i - 1] not in "\x1c\x1d\x1e\x1f\x85":
-                return i
-        if lo == 0:
-            return 0
-        at, span = lo, span * 4
-
-
-def _cut_after(text: str, at: int) -> int:
-    """The nearest stable cut at or after ``at``, the end if there is none."""
-    i = max(at, 1)
-    while (i := text.find(" ", i)) >= 0:
-        if not text[i - 1].isspace() and text[i - 1] not in "\x1c\x1d\x1e\x1f\x85":
-            return i
-        i += 1
-    return len(text)
-
-
-def _tail(enc, ids: np.ndarray, n_bytes: int) -> int:
-    """Number of the last tokens that hold exactly n_bytes bytes."""
-    size, k = 0, 0
-    while size < n_bytes:
-        k += 1
-        size += len(enc.decode_single_token_bytes(int(ids[-k])))
-    if size != n_bytes:
-        raise ValueError("a stable cut lies inside a token")
-    return k
-
-
-def _head(enc, ids: np.ndarray, n_bytes: int) -> int:
-    size, k = 0, 0
-    while size < n_bytes:
-        size += len(enc.decode_single_token_bytes(int(ids[k])))
-        k += 1
-    if size != n_bytes:
-        raise ValueError("a stable cut lies inside a token")
-    return k
-
-
-def encode(enc, text: str, leaf: int = LEAF) -> np.ndarray:
+    while at > least:
+        lo = max(least + 1, at - span)
+        found = -1
+        for m in _STABLE.finditer(text, lo, min(at + 1, len(text))):
+            if m.start() <= at:
+                found = m.start()
+        if found >= 0:
+            return found
+        at, span = lo - 1, span * 4
+    return least
+
+
+def _next_stable(text: str, at: int, most: int) -> int:
+    """The first stable position in [at, most), else most."""
+    m = _STABLE.search(text, at, most)
+    return m.start() if m else most
+
+
+@lru_cache
+def token_sizes(enc) -> np.ndarray:
+    """Bytes of each token."""
+    sizes = np.zeros(enc.n_vocab, np.int64)
+    for i in enc._mergeable_ranks.values():
+        sizes[i] = len(enc.decode_single_token_bytes(i))
+    return sizes
+
+
+def _tokens_of(sizes: np.ndarray, n_bytes: int) -> int:
+    """How many of the first tokens hold exactly n_bytes bytes, -1 if that lies inside a token."""
+    if not n_bytes:
+        return 0
+    total = np.cumsum(sizes)
+    k = int(np.searchsorted(total, n_bytes))
+    return k + 1 if total[k] == n_bytes else -1
+
+
+def encode(enc, text: str, leaf: int | None = None) -> np.ndarray:
     """Ids of the whole text."""
-    if len(text) <= leaf:
-        return leaf_ids(enc, text)
-    mid = len(text) // 2
-    left, right = encode(enc, text[:mid], leaf), encode(enc, text[mid:], leaf)
-    lo, hi = _cut_before(text, mid - 1), _cut_after(text, mid + 1)
-    keep = len(left) - _tail(enc, left, len(text[lo:mid].encode("utf-8")))
-    skip = _head(enc, right, len(text[mid:hi].encode("utf-8")))
-    return np.concatenate([left[:keep], encode(enc, text[lo:hi], leaf) if hi - lo < len(text) else leaf_ids(enc, text[lo:hi]), right[skip:]])
+    leaf = leaf or LEAF
+    sizes = token_sizes(enc)
+    n_bytes = lambda lo, hi: len(text[lo:hi].encode("utf-8"))
+
+    def join(lo: int, mid: int, hi: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        span = SEAM
+        while True:
+            a, b = _last_stable(text, max(mid - span, lo), lo), _next_stable(text, min(mid + span, hi), hi)
+            n_left, n_right = n_bytes(a, mid), n_bytes(mid, b)
+            drop, skip = _tokens_of(sizes[left[::-1][:n_left]], n_left), _tokens_of(sizes[right[:n_right]], n_right)
+            if drop >= 0 and skip >= 0:
+                return np.concatenate([left[: len(left) - drop], leaf_ids(enc, text[a:b]), right[skip:]])
+            span *= 4
+
+    def part(lo: int, hi: int) -> np.ndarray:
+        if hi - lo <= leaf or _next_stable(text, lo + 1, hi) == hi:
+            return leaf_ids(enc, text[lo:hi])
+        mid = (lo + hi) // 2
+        return join(lo, mid, hi, part(lo, mid), part(mid, hi))
+
+    return part(0, len(text))
 
 
 def decode(enc, ids: list[int]) -> bytes:

@@ -1,18 +1,19 @@
 """Evaluation texts leaking into training text.
 
-1. Every n-gram of words that the test items have is counted over all documents.
+1. The n-grams of words that the test items have are counted over all documents.
 2. In each window of ``min_run`` words of an item its rarest n-gram becomes a seed. Any run of min_run words that a document
    shares with the item holds that seed, so the seeds lose no such run, and common phrases are seeds nowhere. Edited copies
-   may have no such run, nor a document the rarest n-gram of another; for them every n-gram that a document has is a seed.
+   may have no such run, nor a document the rarest n-gram of another; for them every n-gram of ``SEED`` words that a document
+   has is a seed, and so are those of ``SHORT`` words where a document has a share of them (``SHORT_SHARE``) of one item.
 3. Seeds found in documents mark passages, wide enough for every alignment of positive score through the seed; each is aligned
    with its item by Smith-Waterman on words, which scores copies that were paraphrased or edited, and the longest run of equal
    words is measured on the words themselves. Passages whose words cannot reach the score asked for are not aligned.
 
 The items are the stated query set; they are taken in blocks of bounded size, and every block meets all documents in a map
-over whole texts. Words are the maximal runs of Unicode letters and digits of the lower-cased text.
+over whole texts, once to count and once to align. Words are the maximal runs of Unicode letters and digits of the lower-cased text.
 
-Defined cases: null and empty texts have no words; items of fewer than ``SEED`` words have no seed and are found nowhere; rows
-without id are dropped; repeated rows of one id count once, with their best alignment.
+Defined cases: null and empty texts have no words; items of fewer than ``SEED`` words (``SHORT`` for edited copies) have no seed
+and are found nowhere; rows without id are dropped; repeated rows of one id count once, with their best alignment.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 from .rolling import code_points, prefix, windows
 
 SEED = 5
+#: Short seeds of edited copies: their words, and the part of an item's n-grams of that length that a document must have, two
+#: at least. A copy with one word in four changed keeps a quarter of them.
+SHORT, SHORT_SHARE = 3, 1 / 8
 #: Characters of test items that one pass over the documents takes.
 BLOCK_CHARS = 4_000_000
 SLICE = 1_000_000
@@ -59,12 +63,13 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(len(parts) + 1))
 
     def grams(self, n: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-        """(position, hash) of the n-grams inside one text."""
+        """(position, hash) of the n-grams inside one text; those of other lengths than SEED hash apart."""
         m = len(self.hash) - n + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.doc[:m] == self.doc[n - 1 :])
-        return at, windows(prefix(self.hash), at, n)
+        h = windows(prefix(self.hash), at, n)
+        return at, h if n == SEED else h * np.uint64(2 * n + 1)
 
     def words(self, lo: int, hi: int) -> list[str]:
         return [self.text[s:e] for s, e in zip(self.start[lo:hi], self.end[lo:hi])]
@@ -78,12 +83,14 @@ class Member:
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def find(self, h: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are members, and each one's number among the sorted members."""
         at = np.flatnonzero(self.table[(h >> np.uint64(44)).astype(np.int64)])
         if not len(self.keys):
-            return at[:0]
+            return at[:0], at[:0]
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        return at[self.keys[k] == h[at]]
+        hit = self.keys[k] == h[at]
+        return at[hit], k[hit]
 
 
 def _slices(batches):
@@ -98,14 +105,15 @@ def _slices(batches):
                 lo, n = i + 1, 0
 
 
-def _counting(keys: np.ndarray):
+def _counting(keys: np.ndarray, lengths: list[int]):
     def run(batches):
         member, total = Member(keys), defaultdict(int)
         for _, w in _slices(batches):
-            _, h = w.grams()
-            found, n = np.unique(h[member.find(h)], return_counts=True)
-            for k, c in zip(found.tolist(), n.tolist()):
-                total[k] += c
+            for length in lengths:
+                _, h = w.grams(length)
+                found, n = np.unique(h[member.find(h)[0]], return_counts=True)
+                for k, c in zip(found.tolist(), n.tolist()):
+                    total[k] += c
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(total), np.uint64).view(np.int64)), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
@@ -135,14 +143,14 @@ def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
-def _passages(found: list[tuple[int, int]], n: int, first: int, last: int) -> list[tuple[int, int]]:
-    """Spans of the document's words [first, last) that hold every alignment with an item of n words through a seed (i, j).
+def _passages(found: list[tuple[int, int, int]], n: int, first: int, last: int) -> list[tuple[int, int]]:
+    """Spans of the document's words [first, last) that hold every alignment with an item of n words through a seed (i, j, words).
 
     Before the seed at most j words match, so an alignment that scores there has fewer than 2 j gaps; the same holds after it.
     """
     out: list[tuple[int, int]] = []
     reach = 1 + MATCH // -GAP
-    for lo, hi in sorted((max(first, i - reach * j), min(last, i + SEED + reach * (n - j - SEED))) for i, j in found):
+    for lo, hi in sorted((max(first, i - reach * j), min(last, i + k + reach * (n - j - k))) for i, j, k in found):
         if out and lo <= out[-1][1]:
             out[-1] = out[-1][0], max(hi, out[-1][1])
         else:
@@ -159,25 +167,61 @@ def _ceiling(item: np.ndarray, doc: np.ndarray) -> int:
 FOUND = "item_id bigint, score int, n_words int, longest_run int, start_word int, end_word int"
 
 
-def _aligning(seeds: dict[int, list[tuple[int, int]]], items: list[tuple[int, list[str], np.ndarray]], id_type: pa.DataType, min_run: int, edited: bool):
+class Seeds:
+    """Seeds by hash, each with its places (item, word) in the items."""
+
+    def __init__(self, seeds: dict[int, set[tuple[int, int]]]):
+        keys = np.sort(np.fromiter(seeds, np.uint64, len(seeds)))
+        flat = [sorted(seeds[k]) for k in keys.tolist()]
+        self.member = Member(keys)
+        self.start = np.cumsum([0, *map(len, flat)])
+        places = np.array([x for xs in flat for x in xs], np.int64).reshape(-1, 2)
+        self.item, self.word = places[:, 0], places[:, 1]
+
+    def hits(self, w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, document's word, item's word) of all seeds found."""
+        at, h = w.grams(length)
+        found, k = self.member.find(h)
+        n = self.start[k + 1] - self.start[k]
+        flat = np.repeat(self.start[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        i = np.repeat(at[found], n)
+        return w.doc[i], self.item[flat], i, self.word[flat]
+
+
+def _candidates(w: Words, seeds: dict[int, Seeds], wanted: np.ndarray):
+    """(document, item, [(document's word, item's word, words)]) of the pairs to align; wanted: distinct short seeds by item."""
+    parts = []
+    for length, known in seeds.items():
+        doc, item, i, j = known.hits(w, length)
+        pair = doc * len(wanted) + item
+        if length != SEED and len(pair):
+            place = np.unique(np.stack([pair, j]), axis=1)
+            own, n = np.unique(place[0], return_counts=True)
+            keep = np.isin(pair, own[n >= wanted[own % len(wanted)]])
+            pair, i, j = pair[keep], i[keep], j[keep]
+        parts.append((pair, i, j, np.full(len(pair), length)))
+    pair, i, j, length = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((j, i, pair))
+    pair, places = pair[order], np.stack([i, j, length], axis=1)[order]
+    edges = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1], True]) if len(pair) else []
+    for s, e in zip(edges, edges[1:]):
+        yield int(pair[s]) // len(wanted), int(pair[s]) % len(wanted), places[s:e].tolist()
+
+
+def _aligning(by_length: dict[int, dict[int, set[tuple[int, int]]]], items: list[tuple[int, list[str], np.ndarray]], id_type: pa.DataType, min_run: int, edited: bool):
     def run(batches):
-        member = Member(np.fromiter(seeds, np.uint64, len(seeds)))
+        seeds = {n: Seeds(x) for n, x in by_length.items()}
+        wanted_short = np.array([max(2, int((len(words) - SHORT + 1) * SHORT_SHARE)) for _, words, _ in items])
         for ids, w in _slices(batches):
-            at, h = w.grams()
-            hits = member.find(h)
-            places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for i, k in zip(at[hits].tolist(), h[hits].tolist()):
-                for item, j in seeds[k]:
-                    places[int(w.doc[i]), item].append((i, j))
             rows = []
-            for (d, item), found in places.items():
+            for d, item, found in _candidates(w, seeds, wanted_short):
                 if ids[d] is None:
                     continue
                 item_id, words, hashes = items[item]
                 first, last = int(w.first[d]), int(w.first[d + 1])
                 longest, best = 0, (0, 0, 0)
                 done: dict[int, int] = {}
-                for i, j in found:
+                for i, j, _ in found:
                     if done.get(i - j, -1) < i:  # longest run of equal words on this diagonal
                         lo, hi = i, i
                         while lo > first and j - (i - lo) > 0 and w.text[w.start[lo - 1] : w.end[lo - 1]] == words[j - (i - lo) - 1]:
@@ -201,13 +245,22 @@ def _aligning(seeds: dict[int, list[tuple[int, int]]], items: list[tuple[int, li
     return run
 
 
+def _seeds_of(own: dict[int, int], rarity: dict[int, int], min_run: int, edited: bool) -> set[int]:
+    """Places of an item's n-grams (by place: their hash) that are seeds, all of which some document has."""
+    if not edited:
+        per_window = max(1, min(min_run, len(own) + SEED - 1) - SEED + 1)
+        own_rarest = {min(range(s, s + per_window), key=lambda x: (rarity.get(own[x], 0), own[x])) for s in range(len(own) - per_window + 1)}
+        return {j for j in own_rarest if own[j] in rarity}
+    return {j for j in own if own[j] in rarity}
+
+
 def leaked(docs: DataFrame, items: DataFrame, min_run: int = 12, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edited: bool = False) -> DataFrame:
     """(id, item_id, score, n_words, longest_run, start_word, end_word): one row per document and item that share a seed.
 
     score is the Smith-Waterman score of the best passage (2 a word, -1 a mismatch or gap), which spans words
     [start_word, end_word) of the document; n_words are the item's words. Every pair with min_run equal consecutive words is there.
-    With ``edited`` there is also every pair that shares ``SEED`` consecutive words and whose score reaches n_words, half of the
-    item's best score, and no other.
+    With ``edited`` there is also every pair that shares ``SEED`` consecutive words, or enough n-grams of ``SHORT`` words, and
+    whose score reaches n_words, half of the item's best score, and no other.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
     kind = rows.dtypes[0][1]
@@ -218,28 +271,23 @@ def leaked(docs: DataFrame, items: DataFrame, min_run: int = 12, id_col: str = "
     for b in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         w = Words([r["text"] for r in block])
-        at, h = w.grams()
+        lengths = [SEED, SHORT] if edited else [SEED]
+        grams = {n: w.grams(n) for n in lengths}
         # bounded by the block: at most one row per n-gram of its items
-        counted = rows.mapInArrow(_counting(np.unique(h)), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+        counting = _counting(np.unique(np.concatenate([h for _, h in grams.values()])), lengths)
+        counted = rows.mapInArrow(counting, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
         rarity = {r["gram"] & (1 << 64) - 1: r["n"] for r in counted}
-        grams: dict[int, dict[int, int]] = defaultdict(dict)
-        for i, k in zip(at.tolist(), h.tolist()):
-            d = int(w.doc[i])
-            grams[d][i - int(w.first[d])] = k
-        seeds: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for d, own in grams.items():
-            if edited:
-                for j, k in own.items():
-                    if k in rarity:
-                        seeds[k].add((d, j))
-                continue
-            per_window = max(1, min(min_run, len(own) + SEED - 1) - SEED + 1)
-            for s in range(len(own) - per_window + 1):
-                j = min(range(s, s + per_window), key=lambda x: (rarity.get(own[x], 0), own[x]))  # noqa: B023
-                if own[j] in rarity:
-                    seeds[own[j]].add((d, j))
+        seeds: dict[int, dict[int, set[tuple[int, int]]]] = {n: defaultdict(set) for n in lengths}
+        for n, (at, h) in grams.items():
+            by_item: dict[int, dict[int, int]] = defaultdict(dict)
+            for i, k in zip(at.tolist(), h.tolist()):
+                d = int(w.doc[i])
+                by_item[d][i - int(w.first[d])] = k
+            for d, own in by_item.items():
+                for j in _seeds_of(own, rarity, min_run, edited):
+                    seeds[n][own[j]].add((d, j))
         known = [(r["item_id"], w.words(int(w.first[d]), int(w.first[d + 1])), w.hash[w.first[d] : w.first[d + 1]]) for d, r in enumerate(block)]
-        part = rows.mapInArrow(_aligning({k: sorted(v) for k, v in seeds.items()}, known, pa.int64() if kind == "bigint" else pa.string(), min_run, edited), f"id {kind}, {FOUND}")
+        part = rows.mapInArrow(_aligning(seeds, known, pa.int64() if kind == "bigint" else pa.string(), min_run, edited), f"id {kind}, {FOUND}")
         out = part if out is None else out.unionByName(part)
     best = F.max(F.struct("score", "n_words", F.col("start_word"), "end_word"))
     return out.groupBy("id", "item_id").agg(best.alias("x"), F.max("longest_run").alias("longest_run")).select("id", "item_id", "x.score", "x.n_words", "longest_run", "x.start_word", "x.end_word")

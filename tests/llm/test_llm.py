@@ -108,6 +108,21 @@ def test_tree_encoding_is_exact():
     assert encoding.encode(enc, t, 100).tolist() == enc.encode_ordinary(t)
 
 
+@needs_files
+def test_long_texts_are_joined_over_growing_windows(monkeypatch):
+    enc = encoding.tokenizer("byte_bpe_50k", TOKENIZERS)
+    direct = []
+    monkeypatch.setattr(encoding, "leaf_ids", lambda e, t, f=encoding.leaf_ids: (direct.append(len(t)), f(e, t))[1])
+    run, lines = "漢字" * 35_000, ("漢字仮名、" * 30 + "\n") * 450  # 200 kB each in UTF-8, without and with places to cut
+    for t in (run, lines, run + " " + lines, "it's 'x're" * 3000, lines + run + lines):
+        direct.clear()
+        assert encoding.encode(enc, t).tolist() == enc.encode_ordinary(t)
+        assert sum(direct) < 3 * len(t)  # an indivisible run is not encoded again on every level
+    direct.clear()
+    encoding.encode(enc, "word " * 10_000)
+    assert max(direct) <= encoding.LEAF and len(direct) > 20
+
+
 @needs_files
 def test_encoding_a_table(spark):
     df = spark.createDataFrame([(1, "Hello world", 0), (2, "", 0), (3, None, 0), (4, "a " * 100_000, 0), (None, "x", 0)], "doc_id long, text string, ids int")
@@ -172,6 +187,7 @@ def test_edited_copies_are_aligned(spark, tmp_path):
     items = [(i, make(r.randrange(16, 60))) for i in range(12)]
     docs = [(i, make(30) + w + make(30)) for i, w in items[:6]]
     docs += [(100 + i, make(30) + w[5:10] + make(8) + [x if k % 8 else "new" for k, x in enumerate(w)] + make(30)) for i, w in items]
+    docs += [(150 + i, make(20) + [x if k % 4 else "new" for k, x in enumerate(w)] + make(30)) for i, w in items]
     docs += [(200 + i, make(30) + [y for k, x in enumerate(w) for y in ([x] if k % 6 else [x, "more", "words"])]) for i, w in items]
     docs += [(300 + i, make(30) + w[: len(w) // 3]) for i, w in items]
     spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -183,3 +199,18 @@ def test_edited_copies_are_aligned(spark, tmp_path):
     want = {(d, i): score[d, i] for d, t in docs for i, w in items if score[d, i] >= len(w) or run(w, t)}
     assert len(want) > 28
     assert {(x["doc_id"], x["item_id"]): x["score"] for x in catalogue.p7_alignments(spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("every", range(4, 11))
+def test_recall_of_planted_edits(spark, every):
+    """Copies with one word in four to ten changed, among documents of common words: nine in ten or more are found."""
+    r = random.Random(every)
+    common = [f"c{i}" for i in range(60)]
+    make = lambda n: [r.choice(common) if r.random() < 0.7 else f"w{r.randrange(500)}" for _ in range(n)]
+    items = [(i, make(r.randrange(15, 60))) for i in range(60)]
+    docs = [(i, make(40) + [x if (k + i) % every else f"e{r.randrange(10**6)}" for k, x in enumerate(w)] + make(40)) for i, w in items]
+    docs += [(1000 + i, make(20) + w + make(20)) for i, w in items[::2]]  # whole copies elsewhere make every n-gram occur
+    docs += [(5000 + k, make(200)) for k in range(200)]
+    text = lambda rows, c: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{c} long, text string")
+    got = {(x["id"], x["item_id"]) for x in leakage.leaked(text(docs, "doc_id"), text(items, "item_id"), edited=True).collect()}
+    assert sum((i, i) in got for i, _ in items) >= 0.9 * len(items)

@@ -9,7 +9,9 @@ with shorter chains are extended on their texts.
 Sizes: records with one text are one class, so copies cost nothing and pairs are between classes. Anchors travel as packed
 binary columns of about 8 bytes an anchor. A window that more than ``HOT`` places have makes no pairs; its places go through
 ``_hot_pairs``, which hashes all windows of ``min_length`` around them and pairs records only where these agree, at the left
-end of each shared span, so boilerplate shorter than ``min_length`` yields no pair however common it is.
+end of each shared span, so boilerplate shorter than ``min_length`` yields no pair however common it is. A window that is hot
+within one batch of a map task is known to be so at once: one marked place stands for it in its bucket, and the others are
+spread over all buckets, so that the task of a window which a third of all records have does not grow with them.
 
 Defined cases: null texts, and texts shorter than ``min_length``, share nothing; lengths count code points; nothing is
 normalised; records without id are dropped, repeated rows of one id and text are one record.
@@ -17,6 +19,7 @@ normalised; records without id are dropped, repeated rows of one id and text are
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 from itertools import chain
 
@@ -117,6 +120,8 @@ def anchors(texts: list[str], v: int, cover: np.ndarray, width: int) -> tuple[np
 
 
 BLOB = "bucket int, blob binary"
+#: In a place: its window is hot, and other places of it are elsewhere. In a blob's count: all its places are of hot windows.
+MARK = 1 << 31
 
 
 def _pack(classes: np.ndarray, doc: np.ndarray, pos: np.ndarray, h: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> pa.RecordBatch:
@@ -142,6 +147,43 @@ def _pack(classes: np.ndarray, doc: np.ndarray, pos: np.ndarray, h: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], ["bucket", "blob"])
 
 
+def _pack_hot(classes: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places of hot windows as one marked row, in a bucket that does not depend on the windows."""
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    once = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
+    doc, pos = doc[once], pos[once]
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    planes = [np.array([len(doc) | MARK, len(first)], "<u4"), classes[doc[first]], np.diff(np.r_[first, len(doc)]).astype("<u4"), pos.astype("<u4")]
+    blob = b"".join(np.ascontiguousarray(a).tobytes() for a in planes)
+    bucket = int.from_bytes(hashlib.blake2b(blob[:4096], digest_size=8).digest(), "big") % buckets
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+
+def _unpack_hot(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, and per place its class number and position."""
+    n, m = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+    n -= MARK
+    at = 8 + 16 * m
+    return np.frombuffer(blob, "V16", m, 8), np.repeat(np.arange(m), np.frombuffer(blob, "<u4", m, at)), np.frombuffer(blob, "<u4", n, at + 4 * m).astype(np.int64)
+
+
+def _split_hot(doc: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places to send to their buckets, places to send anywhere) of one batch; the former marked where they stand for others."""
+    order = np.lexsort((pos, doc, h))
+    start, size = _groups(h[order])
+    hot = size > HOT
+    hot[hot] = doc[order[start[hot]]] != doc[order[start[hot] + size[hot] - 1]]
+    if not hot.any():
+        return pos, np.zeros(0, np.int64)
+    stands, others = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    others[order[np.repeat(hot, size)]] = True
+    stands[order[start[hot]]] = True
+    pos = np.where(stands, pos | MARK, pos)
+    pos[others & ~stands] = -1
+    return pos, np.flatnonzero(others & ~stands)
+
+
 def _unpack(blobs: list[tuple[int, bytes]], extra: np.dtype | None = None):
     """Classes (V16 each), and per anchor its class number, position and hash with the bucket above bit 40."""
     classes, owner, pos, h, more = [], [], [], [], []
@@ -186,9 +228,15 @@ def _anchoring(min_length: int, buckets: int):
         n = 0
 
         def flush():
-            cls = np.concatenate([x[0] for x in held])
+            cls, number = _dense(np.concatenate([x[0] for x in held]))  # copies of a class in one batch are one
             base = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
-            return _pack(cls, np.concatenate([x[1] + b for x, b in zip(held, base)]), np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held]), buckets)
+            doc, pos, h = (np.concatenate(x) for x in ([number[x[1] + b] for x, b in zip(held, base)], [x[2] for x in held], [x[3] for x in held]))
+            marked, hot = _split_hot(doc, pos, h)
+            if len(hot):
+                yield _pack_hot(cls, doc[hot], pos[hot], buckets)
+            here = np.flatnonzero(marked >= 0)
+            here = here[np.argsort(doc[here], kind="stable")]
+            yield _pack(cls, doc[here], marked[here], h[here], buckets)
 
         for b in batches:
             cls, text = b.column(0), b.column(1)
@@ -199,10 +247,10 @@ def _anchoring(min_length: int, buckets: int):
                     held.append((np.frombuffer(b"".join(part), "V16"), d, p, h))
                     n += len(d)
                 if n > PACK:
-                    yield flush()
+                    yield from flush()
                     held, n = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -235,39 +283,50 @@ def _pairs_within(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
     return later, np.repeat(np.repeat(start, size), rank) + back
 
 
+def _hot_rows(table: np.ndarray, who: np.ndarray, pos: np.ndarray):
+    for s in range(0, len(who), 200_000):
+        w, p = who[s : s + 200_000], pos[s : s + 200_000]
+        batch = _matches(table, w, w, p, p)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(w), pa.binary()), batch.column(2), batch.column(3)], ["a", "b", "pa", "pb"])
+
+
 def _matching(batches):
     """Pairs of places with one window, a < b; places of hot windows as rows with b null."""
-    blobs = _blobs(batches)
+    blobs = []
+    for bucket, blob in _blobs(batches):
+        if int.from_bytes(blob[:4], "little") & MARK:
+            yield from _hot_rows(*_unpack_hot(blob))
+        else:
+            blobs.append((bucket, blob))
     if not blobs:
         return
     classes, owner, pos, h, _ = _unpack(blobs)
     blobs.clear()
     table, number = _dense(classes)
     who = number[owner]
+    marked, pos = pos >= MARK, pos & (MARK - 1)
     order = np.argsort(h, kind="stable")
-    h, who, pos = h[order], who[order], pos[order]
+    h, who, pos, marked = h[order], who[order], pos[order], marked[order]
     start, size = _groups(h)
-    keep = np.repeat(size > 1, size)
-    h, who, pos = h[keep], who[keep], pos[keep]
-    order = np.lexsort((pos, who, h))
-    h, who, pos = h[order], who[order], pos[order]
+    keep = np.repeat((size > 1) | np.logical_or.reduceat(marked, start), size) if len(h) else np.zeros(0, bool)
+    h, who, pos, marked = h[keep], who[keep], pos[keep], marked[keep]
+    order = np.lexsort((~marked, pos, who, h))
+    h, who, pos, marked = h[order], who[order], pos[order], marked[order]
     once = np.r_[True, (h[1:] != h[:-1]) | (who[1:] != who[:-1]) | (pos[1:] != pos[:-1])] if len(h) else np.zeros(0, bool)
-    h, who, pos = h[once], who[once], pos[once]  # copies of one class in several tasks
+    h, who, pos, marked = h[once], who[once], pos[once], marked[once]  # copies of one class in several tasks
     start, size = _groups(h)
     mixed_ = who[start] != who[start + size - 1] if len(start) else np.zeros(0, bool)
-    few = mixed_ & (size <= HOT)
-    many = mixed_ & (size > HOT)
+    known = np.logical_or.reduceat(marked, start) if len(start) else mixed_
+    few = mixed_ & (size <= HOT) & ~known
+    many = mixed_ & (size > HOT) | known
     j, i = _pairs_within(start[few], size[few])
     apart = who[i] != who[j]
     i, j = i[apart], j[apart]
     for s in range(0, len(i), 200_000):
         a, b = i[s : s + 200_000], j[s : s + 200_000]
         yield _matches(table, who[a], who[b], pos[a], pos[b])
-    hot = np.flatnonzero(np.repeat(many, size))
-    for s in range(0, len(hot), 200_000):
-        x = hot[s : s + 200_000]
-        batch = _matches(table, who[x], who[x], pos[x], pos[x])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(x), pa.binary()), batch.column(2), batch.column(3)], ["a", "b", "pa", "pb"])
+    hot = np.repeat(many, size)
+    yield from _hot_rows(table, who[hot], pos[hot])
 
 
 def _matched(texts: DataFrame, min_length: int, keep_all: bool) -> DataFrame:
@@ -281,7 +340,7 @@ def _matched(texts: DataFrame, min_length: int, keep_all: bool) -> DataFrame:
     buckets = max(parallelism(texts.sparkSession), 1 + chars * len(cover) // v // BUCKET)
     blobs = texts.select("class", "text").mapInArrow(_anchoring(min_length, buckets), BLOB)
     places = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_matching, MATCH)
-    grouped = places.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct((F.col("pb") - F.col("pa")).alias("diag"), "pa"))).alias("at"))
+    grouped = places.groupBy("a", "b").agg(F.array_sort(F.collect_set(F.struct((F.col("pb") - F.col("pa")).alias("diag"), "pa"))).alias("at"))
     none = F.struct(F.lit(None).cast("int").alias("diag"), F.lit(0).alias("start"), F.lit(0).alias("last"), F.lit(0).alias("best"))
 
     def step(s: Column, x: Column) -> Column:

@@ -79,6 +79,28 @@ def test_shared_pairs_equal_brute_force(spark, extra):
         assert (cover[i]["n_chars"], cover[i]["shared_chars"], cover[i]["n_links"]) == (len(t or ""), len(mark), sum((min(i, j), max(i, j)) in want for j, _ in rows if j != i)), i
 
 
+@pytest.mark.parametrize("slices", [2, 6])
+def test_one_window_in_many_records_does_not_fill_its_bucket(monkeypatch, slices):
+    """A stretch that every record has: its bucket gets one place a batch, whatever the number of records."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ss, "PACK", 40_000)
+    block = "".join(random.Random(1).choice("klmnopq") for _ in range(60))
+    buckets, rows = 16, slices * 3000
+    texts = [f"{i:06d}" + block for i in range(rows)]
+    classes = [i.to_bytes(16, "big") for i in range(rows)]
+    batches = [pa.record_batch([pa.array(classes[i : i + 1000]), pa.array(texts[i : i + 1000])], ["class", "text"]) for i in range(0, rows, 1000)]
+    out = [x for b in ss._anchoring(40, buckets)(batches) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    own = [len(ss._unpack([x])[1]) for x in out if not int.from_bytes(x[1][:4], "little") & ss.MARK]
+    spread = [x for x in out if int.from_bytes(x[1][:4], "little") & ss.MARK]
+    v, cover = ss.difference_cover(40)
+    assert len(spread) >= slices - 1 and sum(own) < 0.6 * rows * len(ss.anchors(texts[:1], v, cover, 41 - v)[0])
+    rows_out = [r for b in ss._matching([pa.record_batch([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], ["bucket", "blob"])]) for r in b.to_pylist()]
+    hot = {(r["a"], r["pa"]) for r in rows_out if r["b"] is None}
+    want = {(c, int(p)) for c, t in zip(classes, texts) for p in ss.anchors([t], v, cover, 41 - v)[1] if p >= 6}
+    assert want <= hot and all(r["b"] is None or r["pa"] < 6 for r in rows_out)
+
+
 def test_shared_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ss.shared_pairs(df).collect() == [] and ss.shared_coverage(df).collect() == []

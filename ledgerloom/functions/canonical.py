@@ -144,3 +144,32 @@ def three_places(x: float) -> str:
     if not 0 <= x <= 1:
         raise Refused("PX_E_4102")
     return format(round(x, 3), ".3f")
+
+
+KINDS = {bool: "boolean", str: "string", dict: "object", list: "array", int: "number", float: "number", type(None): "null"}
+PART = "struct<kind:string,text:string>"
+SHAPE = f"code string, kind string, fields map<string,{PART}>, items array<{PART}>"
+
+
+def _part(v: object) -> dict:
+    return {"kind": KINDS[type(v)], "text": v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)}
+
+
+def shape(c: Column) -> Column:
+    """struct<code, kind, fields, items> of JSON texts under the strict reader: what is wrong with it, or the value's kind and
+    its parts, each with kind and text (strings as they are, other values as JSON). Null gives nulls."""
+
+    @F.pandas_udf(SHAPE)
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            try:
+                v = None if x is None else load_strict(x)
+            except Refused as e:
+                rows.append((str(e), None, None, None))
+                continue
+            fields = {k: _part(y) for k, y in v.items()} if isinstance(v, dict) else None
+            rows.append((None, None if x is None else KINDS[type(v)], fields, [_part(y) for y in v] if isinstance(v, list) else None))
+        return pd.DataFrame(rows, columns=["code", "kind", "fields", "items"])
+
+    return run(c)

@@ -14,28 +14,35 @@ from pyspark.sql import functions as F
 STARTERS, TERMINAL = ("create", "publish"), ("supersede", "withdraw")
 
 
+def bad_target(event_type: Column, has_target: Column) -> Column:
+    """Whether an event lacks the target that its type must name, or names one that its type must not."""
+    return F.when(event_type.isin(*STARTERS), has_target).otherwise(~has_target)
+
+
 def lifecycle(events: DataFrame, illegal: Column | None = None) -> DataFrame:
-    """(claim_id, final_state, first_illegal) of events (claim_id, ms, event_id, event_type), folded in order until one is illegal.
+    """(claim_id, final_state, first_illegal, code) of events (claim_id, ms, event_id, event_type), folded in order until one is illegal.
 
-    An event is illegal if it comes first and starts nothing, starts a claim again, follows a terminal event, or meets the
-    condition ``illegal``. The fold is expressed by minima of (ms, event_id), so it needs no ordered list of a claim's events.
+    An event is illegal if it meets the condition ``illegal`` (see ``bad_target``), comes first and starts nothing, starts a claim
+    again, or follows a terminal event; code is 5102 for a reaffirmation that meets the condition, else 5101. The fold is
+    expressed by minima of (ms, event_id), so it needs no ordered list of a claim's events.
     """
-    k = F.struct("ms", "event_id")
-    at = events.withColumns({"k": k, "starts": F.col("event_type").isin(*STARTERS), "ends": F.col("event_type").isin(*TERMINAL), "bad": illegal if illegal is not None else F.lit(False)})
+    bad = illegal if illegal is not None else F.lit(False)
+    at = events.withColumns({"starts": F.col("event_type").isin(*STARTERS), "ends": F.col("event_type").isin(*TERMINAL), "bad": bad})
+    at = at.withColumn("k", F.struct("ms", "event_id", F.when(F.col("bad") & (F.col("event_type") == "reaffirm"), "PX_E_5102").otherwise("PX_E_5101").alias("code")))
     at = at.withColumn("bad", F.coalesce("bad", F.lit(True)) | F.col("event_type").isNull() | ~F.col("event_type").isin("create", "publish", "reaffirm", "revise", "supersede", "withdraw"))
-    first = at.groupBy("claim_id").agg(F.min("k").alias("k1"), F.min_by("starts", "k").alias("starts1"), F.min(F.when(F.col("ends"), F.col("k"))).alias("end1"), F.min(F.when(F.col("bad"), F.col("k"))).alias("bad1"))
+    first = at.groupBy("claim_id").agg(F.min("k").alias("k1"), F.min_by("starts", "k").alias("starts1"), F.min(F.when(F.col("ends"), F.struct("k", "event_type"))).alias("end1"), F.min(F.when(F.col("bad"), F.col("k"))).alias("bad1"))
     later = at.join(first, "claim_id").groupBy("claim_id").agg(
-        F.first("k1").alias("k1"),
-        F.first("starts1").alias("starts1"),
-        F.first("end1").alias("end1"),
-        F.first("bad1").alias("bad1"),
+        F.min("k1").alias("k1"),
+        F.bool_and("starts1").alias("starts1"),
+        F.min("end1").alias("end1"),
+        F.min("bad1").alias("bad1"),
         F.min(F.when(F.col("starts") & (F.col("k") > F.col("k1")), F.col("k"))).alias("again"),
-        F.min(F.when(F.col("k") > F.col("end1"), F.col("k"))).alias("after"),
-        F.max_by("event_type", F.when(F.col("k") == F.col("end1"), F.col("k"))).alias("end_type"),
+        F.min(F.when(F.col("k") > F.col("end1.k"), F.col("k"))).alias("after"),
     )
     wrong = F.least(F.when(~F.col("starts1"), F.col("k1")), "bad1", "again", "after")
-    state = F.when(wrong.isNull() | (wrong > F.col("k1")), F.when(F.col("end1").isNotNull() & (wrong.isNull() | (F.col("end1") < wrong)), F.when(F.col("end_type") == "supersede", "superseded").otherwise("withdrawn")).otherwise("active"))
-    return later.select("claim_id", state.alias("final_state"), wrong["event_id"].alias("first_illegal"))
+    ended = F.col("end1").isNotNull() & (wrong.isNull() | (F.col("end1.k") < wrong))
+    state = F.when(wrong.isNull() | (wrong > F.col("k1")), F.when(ended, F.when(F.col("end1.event_type") == "supersede", "superseded").otherwise("withdrawn")).otherwise("active"))
+    return later.select("claim_id", state.alias("final_state"), wrong["event_id"].alias("first_illegal"), wrong["code"].alias("code"))
 
 
 def event_chain(events: DataFrame) -> DataFrame:
@@ -45,7 +52,7 @@ def event_chain(events: DataFrame) -> DataFrame:
     p = events.select("claim_id", F.col("event_id").alias("prev_event_id"), F.col("line").alias("p_line"), (F.col("event_type") == "create").alias("p_create"))
     linked = events.filter("event_type <> 'create'").join(p, ["claim_id", "prev_event_id"], "left")
     lost = linked.filter("p_line IS NULL OR (p_line >= line AND NOT p_create)").select("claim_id", "event_id", F.lit("no_prev").alias("problem"))
-    forks = events.filter("prev_event_id IS NOT NULL").groupBy("claim_id", "prev_event_id").agg(F.count("*").alias("n")).filter("n > 1").select("claim_id", F.col("prev_event_id").alias("event_id"), F.lit("fork").alias("problem"))
+    forks = events.filter("prev_event_id IS NOT NULL AND event_type <> 'create'").groupBy("claim_id", "prev_event_id").agg(F.count("*").alias("n")).filter("n > 1").select("claim_id", F.col("prev_event_id").alias("event_id"), F.lit("fork").alias("problem"))
     creates = events.groupBy("claim_id").agg(F.count_if(F.col("event_type") == "create").alias("n")).filter("n <> 1").select("claim_id", F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit("creates").alias("problem"))
     return lost.unionByName(forks).unionByName(creates)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +13,95 @@ from ..functions.text import bounded_by_words, tokens
 K1, B = 1.5, 0.75
 
 
+#: Postings of queries (query, term) that one pass over the documents takes.
+BLOCK_POSTINGS = 2_000_000
+
+
+class _Queries:
+    """Postings of a block of queries: sorted terms, and per term the queries that have it with their counts."""
+
+    def __init__(self, rows: list):
+        self.ids = sorted({r["query_id"] for r in rows})
+        number = {q: i for i, q in enumerate(self.ids)}
+        self.terms = sorted({r["term"] for r in rows})
+        at = {t: i for i, t in enumerate(self.terms)}
+        flat = sorted((at[r["term"]], number[r["query_id"]], r["qtf"]) for r in rows)
+        self.start = np.searchsorted([x[0] for x in flat], np.arange(len(self.terms) + 1))
+        self.query, self.qtf = np.array([x[1] for x in flat], np.int64), np.array([x[2] for x in flat], float)
+
+    def postings(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) of the queries' terms in lists of tokens."""
+        code = pc.fill_null(pc.index_in(tokens.flatten(), value_set=pa.array(self.terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+        row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
+        pair, n = np.unique((row * len(self.terms) + code)[code >= 0], return_counts=True)
+        return pair // max(1, len(self.terms)), pair % max(1, len(self.terms)), n
+
+
+def _frequencies(known: _Queries):
+    def run(batches):
+        df = np.zeros(len(known.terms), np.int64)
+        for b in batches:
+            df += np.bincount(known.postings(b.column(0))[1], minlength=len(df))
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(df[seen], pa.int64())], ["term", "df"])
+
+    return run
+
+
+def _best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best documents of each query, each once with its best score; ties go to the smaller id."""
+    order = np.lexsort((-score, doc, query))
+    query, doc, score = query[order], doc[order], score[order]
+    once = np.r_[True, (query[1:] != query[:-1]) | (doc[1:] != doc[:-1])][: len(query)]
+    query, doc, score = query[once], doc[once], score[once]
+    order = np.lexsort((doc, -score, query))
+    query, doc, score = query[order], doc[order], score[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[rank < k], doc[rank < k], score[rank < k]
+
+
+def _scoring(known: _Queries, idf: np.ndarray, average: float, k: int):
+    def run(batches):
+        none = np.zeros(0, np.int64)
+        held = (none, none, np.zeros(0))
+        for b in batches:
+            doc = b.column(0).to_numpy(zero_copy_only=False)
+            length = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            row, term, tf = known.postings(b.column(1))
+            w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / average))
+            n = known.start[term + 1] - known.start[term]
+            flat = np.repeat(known.start[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pair = np.repeat(row, n) * len(known.ids) + known.query[flat]
+            own, at = np.unique(pair, return_inverse=True)
+            score = np.round(np.bincount(at, weights=np.repeat(w, n) * known.qtf[flat], minlength=len(own)), 6)
+            held = _best(*(np.concatenate(x) for x in zip(held, (own % len(known.ids), doc[own // len(known.ids)], score))), k)
+        if len(held[0]):
+            ids = pa.array(known.ids).take(pa.array(held[0]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(held[1]), pa.array(held[2])], ["query_id", "doc_id", "score"])
+
+    return run
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents per query; docs (doc_id, text), queries (query_id, text).
+    """(query_id, doc_id, score, rank): the k best documents per query; docs (doc_id, text), queries (query_id, text), BIGINT ids.
 
     Documents without a query term score 0 and fill up by id; ties go by id; scores are rounded to 6 places; a term repeated in
-    a query counts again. Only postings of query terms leave the scan; counts cover all documents.
+    a query counts again; counts cover all documents, and a repeated doc_id counts each time and is listed once, at its best.
+    Documents are scored where they lie, and a task hands on its k best per query only. Queries go in blocks of bounded size.
     """
     toks = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    stats = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
+    n_docs, average = toks.agg(F.count("*"), F.avg(F.size("t"))).first()
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    vocabulary = terms.select("term").distinct()
-    postings = toks.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(vocabulary, "term").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = postings.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", (idf * tf).alias("w"))  # stats is one row
-    hits = weights.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
+    blocks = 1 + terms.count() // BLOCK_POSTINGS
+    hits = docs.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double")
+    for b in range(blocks if n_docs else 0):
+        known = _Queries(terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect())  # bounded by the block
+        df = np.zeros(len(known.terms))
+        for r in toks.select("t").mapInArrow(_frequencies(known), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
+            df[r["term"]] = r["df"]
+        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        hits = hits.unionByName(toks.mapInArrow(_scoring(known, idf, average or 1.0, k), "query_id bigint, doc_id bigint, score double"))
+    hits = hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     fill = docs.select("doc_id").distinct().orderBy("doc_id").limit(k)  # k rows: the smallest ids can fill any query
     zero = queries.select("query_id").distinct().crossJoin(F.broadcast(fill)).withColumn("score", F.lit(0.0))
     scored = hits.unionByName(zero.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))
@@ -68,7 +144,7 @@ def vocabulary_before(mints: DataFrame) -> DataFrame:
     return mints.select("scope", "session").distinct().join(new, ["scope", "session"], "left").select("scope", "session", F.coalesce(F.sum(F.coalesce("n_new", F.lit(0))).over(w), F.lit(0)).alias("n_known"))
 
 
-def bootstrap_contrast(pairs: DataFrame, replicates: int = 1000, seed: int = 7) -> DataFrame:
+def bootstrap_contrast(pairs: DataFrame, replicates: int = 10_000, seed: int = 7) -> DataFrame:
     """(delta_pp, low_pp, high_pp): difference of two paired rates in percent points with its 95 % percentile interval.
 
     pairs: (id, a, b) with 0/1 outcomes. A pair's difference is -1, 0 or 1, so a resample of n pairs is a multinomial draw of
@@ -93,8 +169,10 @@ def bootstrap_contrast(pairs: DataFrame, replicates: int = 1000, seed: int = 7)
 
 
 def sign_test(up: int, down: int) -> float:
-    """Two-sided exact p-value of up against down; 1 without discordant pairs."""
-    from math import comb
-
+    """Two-sided exact p-value of up against down; 1 without discordant pairs. Binomials are summed by their logarithms."""
     n, k = up + down, min(up, down)
-    return min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+    if not n:
+        return 1.0
+    i = np.arange(1, k + 1)
+    logs = np.r_[0.0, np.cumsum(np.log(n - i + 1) - np.log(i))] - n * np.log(2)
+    return float(min(1.0, 2 * np.exp(logs).sum()))

@@ -31,6 +31,7 @@ def events_of(spark: SparkSession, d: str, *cols: str) -> DataFrame:
         "prev_event_id": uuid_key("prev_event_id"),
         "package_id": uuid_key("package_id"),
         "event_type": folded("event_type"),
+        "has_target": F.col("target_claim_instance_id").isNotNull(),
         "ms": instant_ms("timestamp"),
     }
     order = ["received_at", "line_no", *(c for c in cols if c not in ("received_at", "line_no"))]
@@ -41,99 +42,30 @@ def events_of(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 
 
 def lifecycle_fold(spark: SparkSession, d: str) -> DataFrame:
-    return ops.lifecycle(events_of(spark, d, "claim_id", "ms", "event_type"))
+    e = events_of(spark, d, "claim_id", "ms", "event_type", "has_target")
+    return ops.lifecycle(e, ops.bad_target(F.col("event_type"), F.col("has_target")))
 
 
 LIFECYCLE_SQL = f"""WITH {_EV}, o AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY ms, event_id) AS n FROM ev),
  e AS (SELECT *, count(*) FILTER (event_type IN ('supersede', 'withdraw')) OVER (PARTITION BY claim_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM o),
- x AS (SELECT *, (n = 1 AND event_type NOT IN ('create', 'publish')) OR (n > 1 AND event_type IN ('create', 'publish')) OR ended > 0 AS bad FROM e),
+ x AS (SELECT *, (event_type IN ('create', 'publish')) = (target IS NOT NULL) OR (n = 1 AND event_type NOT IN ('create', 'publish')) OR (n > 1 AND event_type IN ('create', 'publish')) OR ended > 0 AS bad FROM e),
  f AS (SELECT claim_id, min(n) FILTER (bad) AS wrong FROM x GROUP BY claim_id)
- SELECT x.claim_id, CASE max(CASE WHEN wrong IS NULL OR n < wrong THEN n END) WHEN NULL THEN NULL ELSE max_by(CASE event_type WHEN 'supersede' THEN 'superseded' WHEN 'withdraw' THEN 'withdrawn' ELSE 'active' END, n) FILTER (wrong IS NULL OR n < wrong) END AS final_state,
- max(event_id) FILTER (n = wrong) AS first_illegal FROM x JOIN f USING (claim_id) GROUP BY x.claim_id"""
+ SELECT x.claim_id, max_by(CASE event_type WHEN 'supersede' THEN 'superseded' WHEN 'withdraw' THEN 'withdrawn' ELSE 'active' END, n) FILTER (wrong IS NULL OR n < wrong) AS final_state,
+ max(event_id) FILTER (n = wrong) AS first_illegal, max(CASE WHEN event_type = 'reaffirm' AND target IS NULL THEN 'PX_E_5102' ELSE 'PX_E_5101' END) FILTER (n = wrong) AS code FROM x JOIN f USING (claim_id) GROUP BY x.claim_id"""
 
 
 def events_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    """The same over the stream table: users as claims, from each user's first sign-up on."""
+    """The same over the stream table: users as claims, with all their events."""
     kind = F.element_at(F.create_map(*(F.lit(x) for p in (("signup", "create"), ("view", "reaffirm"), ("click", "revise"), ("purchase", "supersede"), ("error", "withdraw")) for x in p)), F.col("event_type"))
-    e = table(spark, d, "events").select(F.col("user_id").alias("claim_id"), "ts", "event_id", kind.alias("event_type"))
-    first = e.filter("event_type = 'create'").groupBy("claim_id").agg(F.min(F.struct("ts", "event_id")).alias("s"))
-    legal = e.join(first, "claim_id").filter(F.struct("ts", "event_id") >= F.col("s")).select("claim_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ms"), "event_id", "event_type")
-    return ops.lifecycle(legal)
+    e = table(spark, d, "events").select(F.col("user_id").alias("claim_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ms"), "event_id", kind.alias("event_type"))
+    return ops.lifecycle(e).drop("code")
 
 
-EVENTS_SQL = """WITH e AS (SELECT user_id AS claim_id, ts, event_id, event_type AS t FROM events), s AS (SELECT claim_id, min((ts, event_id)) AS s FROM e WHERE t = 'signup' GROUP BY 1),
- o AS (SELECT e.*, row_number() OVER (PARTITION BY e.claim_id ORDER BY ts, event_id) AS n FROM e JOIN s USING (claim_id) WHERE (ts, event_id) >= s.s),
- x AS (SELECT *, (n > 1 AND t = 'signup') OR coalesce(bool_or(t IN ('purchase', 'error')) OVER (PARTITION BY claim_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS bad FROM o),
+EVENTS_SQL = """WITH o AS (SELECT user_id AS claim_id, ts, event_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ x AS (SELECT *, (n = 1) <> (t = 'signup') OR coalesce(bool_or(t IN ('purchase', 'error')) OVER (PARTITION BY claim_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS bad FROM o),
  f AS (SELECT claim_id, min(n) FILTER (bad) AS wrong FROM x GROUP BY 1)
  SELECT x.claim_id, max_by(CASE t WHEN 'purchase' THEN 'superseded' WHEN 'error' THEN 'withdrawn' ELSE 'active' END, n) FILTER (wrong IS NULL OR n < wrong) AS final_state, max(event_id) FILTER (n = wrong) AS first_illegal FROM x JOIN f USING (claim_id) GROUP BY 1"""
 
-_V7 = "^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-_STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$"
-
-
-def event_rules() -> list[tuple[str, object]]:
-    c = F.col
-    targeted = c("event_type").isin("reaffirm", "revise", "supersede", "withdraw")
-    return [
-        ("PX_E_2001", c("actor").isNull()),
-        ("PX_E_4001", ~c("event_id").rlike(_V7)),
-        ("PX_E_4001", ~c("claim_id").rlike(_V7)),
-        ("PX_E_4001", ~c("timestamp").rlike(_STAMP)),
-        ("PX_E_4002", ~c("event_type").isin("create", "publish", "reaffirm", "revise", "supersede", "withdraw")),
-        ("PX_E_2001", c("event_type").isin("create", "revise", "supersede") & c("claim_instance_id").isNull()),
-        ("PX_E_2004", (c("event_type") == "create") & c("prev_event_id").isNotNull()),
-        ("PX_E_2001", (c("event_type") != "create") & c("prev_event_id").isNull()),
-        ("PX_E_2001", targeted & c("target_claim_instance_id").isNull()),
-        ("PX_E_2001", (c("event_type") == "supersede") & c("superseded_by_claim_id").isNull()),
-    ]
-
-
-def event_violations(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "provenance").withColumn("row", F.concat_ws("|", "package_id", "line_no", "event_id", F.col("received_at").cast("string")))
-    v = ops.violations(p, event_rules(), "row")
-    return v.groupBy("seq", "code").agg(F.count("*").alias("n_rows"))
-
-
-EVENT_RULES_SQL = f"""WITH r AS (SELECT unnest([CASE WHEN actor IS NULL THEN 0 END, CASE WHEN NOT regexp_matches(event_id, '{_V7}') THEN 1 END, CASE WHEN NOT regexp_matches(claim_id, '{_V7}') THEN 2 END,
- CASE WHEN NOT regexp_matches("timestamp", '{_STAMP}') THEN 3 END, CASE WHEN event_type NOT IN ('create','publish','reaffirm','revise','supersede','withdraw') THEN 4 END,
- CASE WHEN event_type IN ('create','revise','supersede') AND claim_instance_id IS NULL THEN 5 END, CASE WHEN event_type = 'create' AND prev_event_id IS NOT NULL THEN 6 END,
- CASE WHEN event_type <> 'create' AND prev_event_id IS NULL THEN 7 END, CASE WHEN event_type IN ('reaffirm','revise','supersede','withdraw') AND target_claim_instance_id IS NULL THEN 8 END,
- CASE WHEN event_type = 'supersede' AND superseded_by_claim_id IS NULL THEN 9 END]) AS seq FROM provenance)
- SELECT CAST(seq AS INTEGER) AS seq, ['PX_E_2001','PX_E_4001','PX_E_4001','PX_E_4001','PX_E_4002','PX_E_2001','PX_E_2004','PX_E_2001','PX_E_2001','PX_E_2001'][seq + 1] AS code, count(*) AS n_rows FROM r WHERE seq IS NOT NULL GROUP BY 1, 2"""
-
-
-def manifest_rules(spec_version: str) -> list[tuple[str, object]]:
-    c = F.col
-    tags = F.coalesce("tags", F.array().cast("array<string>"))
-    return [
-        ("PX_E_3003", ~c("format_version").isin("2.0")),
-        ("PX_E_2001", c("format_version").isNull() | c("license").isNull() | c("producer").isNull()),
-        ("PX_E_4001", ~c("created_at").rlike(_STAMP)),
-        ("PX_E_3004", ~c(spec_version).rlike(r"^\d+\.\d+\.\d+(?:-[A-Za-z0-9.-]+)?$")),
-        ("PX_E_4001", ~c("claim_id").rlike(_V7)),
-        ("PX_E_4001", ~c("hash").rlike("^[0-9a-f]{64}$")),
-        ("PX_E_4001", ~c("path").rlike("^claims/" + _V7[1:-1] + r"\.md$")),
-        ("PX_E_4002", ~c("state").isin("draft", "active", "superseded", "withdrawn")),
-        ("PX_E_2001", (c("state") == "superseded") & c("superseded_by_claim_id").isNull()),
-        ("PX_E_2003", F.array_contains(tags, "")),
-        ("PX_E_4005", F.size(F.array_distinct(tags)) < F.size(tags)),
-    ]
-
-
-def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
-    """First violation of each entry, counted by code."""
-    m = table(spark, d, "manifest")
-    spec_version = next(c for c in m.columns if c.endswith("_spec_version"))
-    m = m.withColumn("row", F.xxhash64("package_id", "claim_id", "received_at", "hash", "state"))
-    return ops.first_violation(ops.violations(m.dropDuplicates(["row"]), manifest_rules(spec_version), "row")).groupBy("seq", "code").agg(F.count("*").alias("n_entries"))
-
-
-MANIFEST_RULES_SQL = f"""WITH m AS (SELECT DISTINCT ON (package_id, claim_id, received_at, hash, state) * FROM manifest), r AS (SELECT CASE WHEN format_version NOT IN ('2.0') THEN 0 WHEN format_version IS NULL OR license IS NULL OR producer IS NULL THEN 1
- WHEN NOT regexp_matches(created_at, '{_STAMP}') THEN 2 WHEN NOT regexp_matches(COLUMNS('_spec_version$'), '^\\d+\\.\\d+\\.\\d+(?:-[A-Za-z0-9.-]+)?$') THEN 3 WHEN NOT regexp_matches(claim_id, '{_V7}') THEN 4
- WHEN NOT regexp_matches(hash, '^[0-9a-f]{{64}}$') THEN 5 WHEN NOT regexp_matches(path, '^claims/{_V7[1:-1]}\\.md$') THEN 6 WHEN state NOT IN ('draft','active','superseded','withdrawn') THEN 7
- WHEN state = 'superseded' AND superseded_by_claim_id IS NULL THEN 8 WHEN list_contains(tags, '') THEN 9 WHEN len(list_distinct(tags)) < len(tags) THEN 10 END AS seq FROM m)
- SELECT CAST(seq AS INTEGER) AS seq, ['PX_E_3003','PX_E_2001','PX_E_4001','PX_E_3004','PX_E_4001','PX_E_4001','PX_E_4001','PX_E_4002','PX_E_2001','PX_E_2003','PX_E_4005'][seq + 1] AS code, count(*) AS n_entries FROM r WHERE seq IS NOT NULL GROUP BY 1, 2"""
-
 
 def event_chain_check(spark: SparkSession, d: str) -> DataFrame:
     e = events_of(spark, d, "claim_id", "event_type", "prev_event_id", "package_id", "line_no").select("claim_id", "event_id", "event_type", "prev_event_id", F.struct("package_id", "line_no").alias("line"))
@@ -142,7 +74,7 @@ def event_chain_check(spark: SparkSession, d: str) -> DataFrame:
 
 CHAIN_SQL = f"""WITH {_EV}, e AS (SELECT * REPLACE (line_no AS line_no), row(package_id, line_no) AS line FROM ev)
  SELECT e.claim_id, e.event_id, 'no_prev' AS problem FROM e LEFT JOIN e p ON e.claim_id = p.claim_id AND e.prev_event_id = p.event_id WHERE e.event_type <> 'create' AND (p.event_id IS NULL OR (p.line >= e.line AND p.event_type <> 'create'))
- UNION ALL SELECT claim_id, prev_event_id, 'fork' FROM e WHERE prev_event_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1
+ UNION ALL SELECT claim_id, prev_event_id, 'fork' FROM e WHERE prev_event_id IS NOT NULL AND event_type <> 'create' GROUP BY 1, 2 HAVING count(*) > 1
  UNION ALL SELECT claim_id, NULL, 'creates' FROM e GROUP BY 1 HAVING count(*) FILTER (event_type = 'create') <> 1"""
 
 
@@ -333,15 +265,13 @@ def _p5_sql() -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        lifecycle_fold, events_lifecycle, event_violations, manifest_violations, claim_violations, event_chain_check, dangling_refs, fileset_divergence, hash_verify, snapshot_diff_set, snapshot_diff_fields,
+        lifecycle_fold, events_lifecycle, claim_violations, event_chain_check, dangling_refs, fileset_divergence, hash_verify, snapshot_diff_set, snapshot_diff_fields,
         snapshot_diff_timeline, valid_time_active, r4_resolve, supersession_dangling, recency_primary, structured_linker, exact_linker,
     )
 }
 ORACLE = {
     "lifecycle_fold": LIFECYCLE_SQL,
     "events_lifecycle": EVENTS_SQL,
-    "event_violations": EVENT_RULES_SQL,
-    "manifest_violations": MANIFEST_RULES_SQL,
     "claim_violations": CLAIM_RULES_SQL,
     "event_chain_check": CHAIN_SQL,
     "dangling_refs": f"WITH {_EV} SELECT event_id, claim_id FROM ev WHERE claim_id NOT IN (SELECT {_u('claim_id')} FROM manifest WHERE claim_id IS NOT NULL)",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import claims, evaluation, packages, provenance
+from .plans import claims, evaluation, packages, provenance, verification
 
-MODULES = (provenance, claims, evaluation, packages)
+MODULES = (provenance, claims, verification, evaluation, packages)
 
 
 def queries() -> dict:

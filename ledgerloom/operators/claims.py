@@ -57,42 +57,6 @@ def event_chain(events: DataFrame) -> DataFrame:
     return lost.unionByName(forks).unionByName(creates)
 
 
-def violations(rows: DataFrame, rules: list[tuple[str, Column]], id_col: str) -> DataFrame:
-    """(id, seq, code): one row per rule broken, in the order in which the rules stand; a null condition breaks nothing."""
-    hits = F.array_compact(F.array(*(F.when(broken, F.struct(F.lit(i).alias("seq"), F.lit(code).alias("code"))) for i, (code, broken) in enumerate(rules))))
-    return rows.select(F.col(id_col).alias("id"), F.explode(hits).alias("v")).select("id", "v.seq", "v.code")
-
-
-def first_violation(found: DataFrame) -> DataFrame:
-    return found.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by("code", "seq").alias("code"))
-
-
-_DAY = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
-
-
-def claim_rules() -> list[tuple[str, Column]]:
-    """Rules of claim fields in the order in which they fire, over columns claim_id, subject, confidence (text as written),
-    valid_from, valid_until, polarity, supersedes (array) and keys (the fields present, in their order)."""
-    c = F.col
-    number = c("confidence").try_cast("double")
-    day = lambda x: c(x).isNull() | (c(x).rlike(_DAY) & F.try_to_timestamp(c(x), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).isNotNull())
-    over = c("supersedes")
-    return [
-        ("PX_E_4141", F.array_contains("keys", "conflict_class")),
-        ("PX_E_4101", c("confidence").isNotNull() & number.isNull()),
-        ("PX_E_4102", (number < 0) | (number > 1)),
-        ("PX_E_4103", ~c("confidence").rlike(r"^-?\d+\.\d{3}$")),
-        ("PX_E_4112", ~day("valid_from")),
-        ("PX_E_4112", ~day("valid_until")),
-        ("PX_E_4113", c("valid_from") > c("valid_until")),
-        ("PX_E_4122", ~c("polarity").isin("affirm", "negate", "unknown")),
-        ("PX_E_4132", F.array_contains(over, c("claim_id"))),
-        ("PX_E_4133", F.size(F.array_distinct(over)) < F.size(over)),
-        ("PX_E_4144", F.arrays_overlap("keys", F.array(*map(F.lit, ("polarity", "supersedes", "valid_from", "valid_until")))) & (F.trim(F.coalesce("subject", F.lit(""))) == "")),
-        ("PX_E_4143", ~(c("keys") == F.array_sort("keys"))),
-    ]
-
-
 def set_diff(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, change): ``added``, ``removed`` or ``changed`` between snapshots with unique keys; equal rows are left out."""
     x = a.select(key, F.lit(True).alias("_a"), F.struct(*fields).alias("_x"))
@@ -173,39 +137,3 @@ def link(records: DataFrame) -> DataFrame:
     out = records.withColumn("minted", minted)
     before = F.last(F.when(F.col("minted"), F.col("seq")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return out.withColumn("supersedes_seq", F.when(F.col("minted") & F.col("subject").isNotNull(), before))
-
-
-def link_exact(records: DataFrame) -> DataFrame:
-    """(scope, seq, node, supersedes): lineages of records (scope, subject, seq, body, value) where bodies may come back.
-
-    A body seen before on its subject is its old node: a restatement if that is still the head, else a revert that mints a node
-    superseding the head. An unseen body with the head's value reuses the head, any other mints. Null subjects give one node per
-    body. State of the walk is one entry per body of a scope; scopes are independent conversations, so a scope fits a task.
-    """
-    import pandas as pd
-
-    def walk(pdf):
-        head: dict[str, tuple[int, object]] = {}
-        bodies: dict[tuple, int] = {}
-        n, nodes, over = 0, [], []
-        pdf = pdf.sort_values(["seq", "body"])
-        for s, b, v in zip(pdf["subject"], pdf["body"], pdf["value"]):
-            s = None if pd.isna(s) else s
-            old = bodies.get((s, b))
-            h = head.get(s) if s is not None else None
-            if old is not None and (s is None or h[0] == old):
-                node, sup = old, None
-            elif old is None and h is not None and h[1] == v:
-                node, sup = h[0], None
-                bodies[s, b] = node
-            else:
-                node, sup, n = n, h[0] if h else None, n + 1
-                bodies[s, b] = node
-                if s is not None:
-                    head[s] = (node, v)
-            nodes.append(node)
-            over.append(sup)
-        return pd.DataFrame({"scope": pdf["scope"], "seq": pdf["seq"], "node": nodes, "supersedes": pd.array(over, "Int64")})
-
-    kind = {f.name: f.dataType.simpleString() for f in records.schema}
-    return records.groupBy("scope").applyInPandas(walk, f"scope {kind['scope']}, seq {kind['seq']}, node bigint, supersedes bigint")

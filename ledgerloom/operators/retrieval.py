@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bounded_by_words, tokens
+from ..session import cut
 
 K1, B = 1.5, 0.75
 
@@ -39,9 +40,10 @@ class _Queries:
 
 def _frequencies(known: _Queries):
     def run(batches):
-        df = np.zeros(len(known.terms), np.int64)
+        df = np.zeros(len(known.terms) + 2, np.int64)  # the last two: documents and tokens
         for b in batches:
             df += np.bincount(known.postings(b.column(0))[1], minlength=len(df))
+            df[-2:] += b.num_rows, len(b.column(0).flatten())
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(df[seen], pa.int64())], ["term", "df"])
 
@@ -90,18 +92,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     Documents are scored where they lie, and a task hands on its k best per query only. Queries go in blocks of bounded size.
     """
     toks = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    n_docs, average = toks.agg(F.count("*"), F.avg(F.size("t"))).first()
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     blocks = 1 + terms.count() // BLOCK_POSTINGS
     hits = docs.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double")
-    for b in range(blocks if n_docs else 0):
+    for b in range(blocks):
         known = _Queries(terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect())  # bounded by the block
-        df = np.zeros(len(known.terms))
+        df = np.zeros(len(known.terms) + 2)
         for r in toks.select("t").mapInArrow(_frequencies(known), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
             df[r["term"]] = r["df"]
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        hits = hits.unionByName(toks.mapInArrow(_scoring(known, idf, average or 1.0, k), "query_id bigint, doc_id bigint, score double"))
-    hits = hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+        n_docs, n_tokens = df[-2:]
+        idf = np.log(1 + (n_docs - df[:-2] + 0.5) / (df[:-2] + 0.5))
+        hits = hits.unionByName(toks.mapInArrow(_scoring(known, idf, n_tokens / n_docs if n_tokens else 1.0, k), "query_id bigint, doc_id bigint, score double"))
+    hits = cut(hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")))
     fill = docs.select("doc_id").distinct().orderBy("doc_id").limit(k)  # k rows: the smallest ids can fill any query
     zero = queries.select("query_id").distinct().crossJoin(F.broadcast(fill)).withColumn("score", F.lit(0.0))
     scored = hits.unionByName(zero.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"))

@@ -1,7 +1,9 @@
 """Signatures over packages and attestations over signers. Each chain of rules gives the code of the first rule broken, or null.
 
-Envelopes meet signers and packages in joins; the keyed hashes run in Arrow batches. Of the two algorithms only hmac-sha256 can
-be verified here; ed25519 envelopes that pass all other rules give E_SIGNER_ALGORITHM_UNAVAILABLE.
+Envelopes meet signers and packages in joins, and the rules are built-in expressions; only signatures that have passed all other
+rules go to Python, in Arrow batches, for the keyed hash (hmac-sha256) or the curve (ed25519).
+
+Base64 is read strictly: text that is no whole base64 is malformed. Null fields are malformed or missing, never a crash.
 """
 
 from __future__ import annotations
@@ -9,13 +11,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import hmac
-import json
-import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ed25519
+
 ALGORITHMS = ("hmac-sha256", "ed25519")
 
 
@@ -31,13 +33,6 @@ def package_hash(claims: DataFrame) -> DataFrame:
     return g.select("package_id", F.sha2(F.encode(body, "utf-8"), 256).alias("package_hash"))
 
 
-def _bytes(text: str | None, strict: bool = False) -> bytes | None:
-    try:
-        return base64.b64decode(text or "", validate=strict)
-    except ValueError:
-        return None
-
-
 def fingerprint(key: bytes) -> str:
     return hashlib.sha256(key).hexdigest()
 
@@ -46,83 +41,147 @@ def sign_hmac(key: bytes, digest_hex: str) -> str:
     return base64.b64encode(hmac.new(key, bytes.fromhex(digest_hex), hashlib.sha256).digest()).decode()
 
 
-def _verified(key: bytes, digest_hex: str, signature: str, algorithm: str) -> str | None:
+def _signature_code(key: bytes, digest_hex: str, signature: bytes, algorithm: str) -> str | None:
+    message = bytes.fromhex(digest_hex)
     if algorithm == "ed25519":
-        return "E_SIGNER_ALGORITHM_UNAVAILABLE"
-    given = _bytes(signature)
-    if given is None:
-        return "E_SIGNATURE_MALFORMED"
-    want = hmac.new(key, bytes.fromhex(digest_hex), hashlib.sha256).digest()
-    return None if hmac.compare_digest(given, want) else "E_SIGNATURE_INVALID"
-
-
-def _is_digest(x: object) -> bool:
-    return isinstance(x, str) and re.fullmatch("[0-9a-f]{64}", x) is not None
-
-
-def envelope_code(e: dict) -> str | None:
-    if e["s_signer"] is None:
-        return "E_SIGNER_MISSING"
-    if e["algorithm"] not in ALGORITHMS:
-        return "E_SIGNER_ALGORITHM_UNKNOWN"
-    if e["algorithm"] != e["s_algorithm"]:
-        return "E_SIGNER_ALGORITHM_MISMATCH"
-    if not _is_digest(e["package_canonical_hash"]):
-        return "E_SIGNATURE_MALFORMED"
-    if (key := _bytes(e["s_key"])) is None:
-        return "E_SIGNER_MALFORMED"
-    if fingerprint(key) != e["s_fingerprint"]:
-        return "E_SIGNER_FINGERPRINT_MISMATCH"
-    if e["package_canonical_hash"] != e["package_hash"]:
-        return "E_SIGNATURE_HASH_MISMATCH"
-    return _verified(key, e["package_hash"], e["signature_b64"], e["algorithm"])
-
-
-def attestation_digest(signer_id: str, notary_id: str, key_fingerprint: str) -> str:
-    """SHA-256 of the canonical JSON object that a notary signs."""
-    body = json.dumps({"key_fingerprint": key_fingerprint, "notary_id": notary_id, "signer_id": signer_id}, sort_keys=True, ensure_ascii=False, separators=(",", ":")) + "\n"
-    return hashlib.sha256(body.encode()).hexdigest()
-
+        if ed25519.point(key) is None:
+            return "E_SIGNER_MALFORMED"
+        return None if ed25519.verify(key, message, signature) else "E_SIGNATURE_INVALID"
+    return None if hmac.compare_digest(signature, hmac.new(key, message, hashlib.sha256).digest()) else "E_SIGNATURE_INVALID"
 
-def attestation_code(a: dict) -> str | None:
-    if a["s_signer"] is None or not _is_digest(a["key_fingerprint"]) or a["key_fingerprint"] != a["s_fingerprint"] or a["n_signer"] is None:
-        return "E_SIGNER_NOTARY_INVALID"
-    if a["algorithm"] not in ALGORITHMS:
-        return "E_SIGNER_ALGORITHM_UNKNOWN"
-    if a["algorithm"] != a["n_algorithm"]:
-        return "E_SIGNER_ALGORITHM_MISMATCH"
-    if (key := _bytes(a["n_key"], strict=True)) is None:
-        return "E_SIGNER_MALFORMED"
-    if fingerprint(key) != a["n_fingerprint"]:
-        return "E_SIGNER_FINGERPRINT_MISMATCH"
-    return _verified(key, attestation_digest(a["signer_id"], a["notary_id"], a["key_fingerprint"]), a["signature_b64"], a["algorithm"])
 
+def _signed(passed: Column, key: Column, digest_hex: Column, signature: Column, algorithm: Column) -> Column:
+    """Code of signatures where ``passed``; null elsewhere."""
 
-def _coded(rule, *cols: str) -> Column:
     @F.pandas_udf("string")
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([rule(dict(zip(cols, (None if x is pd.NA else x for x in row)))) for row in zip(*series)], dtype=object)
+    def run(k: pd.Series, d: pd.Series, s: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else _signature_code(x, y, z, w) for x, y, z, w in zip(k, d, s, a)], dtype=object)
+
+    return run(F.when(passed, key), digest_hex, signature, algorithm)
+
+
+def _first(rules: list[tuple[str, Column]]) -> Column:
+    """Code of the first rule broken; a null condition breaks its rule."""
+    out = F.lit(None).cast("string")
+    for code, bad in reversed(rules):
+        out = F.when(F.coalesce(bad, F.lit(True)), code).otherwise(out)
+    return out
+
+
+def is_digest(c: Column) -> Column:
+    return c.rlike("^[0-9a-f]{64}$")
+
 
-    return run(*cols)
+def _base64(c: Column) -> Column:
+    return F.try_to_binary(c, F.lit("base64"))
+
+
+def attestation_digest(signer_id: Column, notary_id: Column, key_fingerprint: Column) -> Column:
+    """SHA-256 of the canonical JSON object that a notary signs."""
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"^\{\"x\":(.*)\}$", 1)
+    body = F.concat(F.lit('{"key_fingerprint":'), text(key_fingerprint), F.lit(',"notary_id":'), text(notary_id), F.lit(',"signer_id":'), text(signer_id), F.lit("}\n"))
+    return F.sha2(F.encode(body, "utf-8"), 256)
 
 
 def _signers(signers: DataFrame, p: str, key: str) -> DataFrame:
-    return signers.select(F.col("signer_id").alias(key), F.col("signer_id").alias(f"{p}_signer"), F.col("algorithm").alias(f"{p}_algorithm"), F.col("public_key_b64").alias(f"{p}_key"), F.col("key_fingerprint").alias(f"{p}_fingerprint"))
+    cols = {"signer": "signer_id", "algorithm": "algorithm", "key": "public_key_b64", "fingerprint": "key_fingerprint"}
+    return signers.select(F.col("signer_id").alias(key), *(F.col(c).alias(f"{p}_{k}") for k, c in cols.items()))
 
 
 def verify_envelopes(envelopes: DataFrame, signers: DataFrame, packages: DataFrame) -> DataFrame:
     """(package_id, signer_id, code) of envelopes (package_id, signer_id, algorithm, signed_at_iso, package_canonical_hash,
     signature_b64) against signer manifests and package hashes."""
     j = envelopes.join(_signers(signers, "s", "signer_id"), "signer_id", "left").join(packages, "package_id", "left")
-    code = _coded(envelope_code, "algorithm", "package_canonical_hash", "signature_b64", "package_hash", "s_signer", "s_algorithm", "s_key", "s_fingerprint")
-    return j.select("package_id", "signer_id", code.alias("code"))
+    c = F.col
+    key, given = _base64(c("s_key")), _base64(c("signature_b64"))
+    plain = _first([
+        ("E_SIGNER_MISSING", c("s_signer").isNull()),
+        ("E_SIGNER_MALFORMED", key.isNull()),
+        ("E_SIGNER_FINGERPRINT_MISMATCH", F.sha2(key, 256) != c("s_fingerprint")),
+        ("E_SIGNATURE_HASH_MISMATCH", c("package_canonical_hash") != c("package_hash")),
+        ("E_SIGNER_ALGORITHM_UNKNOWN", ~c("algorithm").isin(*ALGORITHMS)),
+        ("E_SIGNER_ALGORITHM_MISMATCH", c("algorithm") != c("s_algorithm")),
+        ("E_SIGNATURE_MALFORMED", given.isNull()),
+    ])
+    return j.select("package_id", "signer_id", F.coalesce(plain, _signed(plain.isNull(), key, c("package_hash"), given, c("algorithm"))).alias("code"))
 
 
 def verify_attestations(attestations: DataFrame, signers: DataFrame, notaries: DataFrame) -> DataFrame:
     """(signer_id, notary_id, code) of attestations (notary_id, signer_id, key_fingerprint, algorithm, signature_b64)."""
     j = attestations.join(_signers(signers, "s", "signer_id"), "signer_id", "left").join(_signers(notaries, "n", "notary_id"), "notary_id", "left")
-    code = _coded(attestation_code, "signer_id", "notary_id", "key_fingerprint", "algorithm", "signature_b64", "s_signer", "s_fingerprint", "n_signer", "n_algorithm", "n_key", "n_fingerprint")
-    return j.select("signer_id", "notary_id", code.alias("code"))
+    c = F.col
+    key, given = _base64(c("n_key")), _base64(c("signature_b64"))
+    plain = _first([
+        ("E_SIGNER_NOTARY_INVALID", c("s_signer").isNull()),
+        ("E_SIGNER_NOTARY_INVALID", ~is_digest(c("key_fingerprint"))),
+        ("E_SIGNER_NOTARY_INVALID", c("key_fingerprint") != c("s_fingerprint")),
+        ("E_SIGNER_NOTARY_INVALID", c("n_signer").isNull()),
+        ("E_SIGNER_ALGORITHM_UNKNOWN", ~c("algorithm").isin(*ALGORITHMS)),
+        ("E_SIGNER_ALGORITHM_MISMATCH", c("algorithm") != c("n_algorithm")),
+        ("E_SIGNER_MALFORMED", key.isNull()),
+        ("E_SIGNER_FINGERPRINT_MISMATCH", ~is_digest(c("n_fingerprint"))),
+        ("E_SIGNER_FINGERPRINT_MISMATCH", F.sha2(key, 256) != c("n_fingerprint")),
+        ("E_SIGNATURE_MALFORMED", given.isNull()),
+    ])
+    digest = attestation_digest(c("signer_id"), c("notary_id"), c("key_fingerprint"))
+    return j.select("signer_id", "notary_id", F.coalesce(plain, _signed(plain.isNull(), key, digest, given, c("algorithm"))).alias("code"))
+
+
+def acceptable(attestation: Column, notarised: bool) -> Column:
+    """Whether an attestation meets a caller's demand for a notary; without the demand any does."""
+    return F.coalesce(attestation == "verified-by-notary", F.lit(False)) if notarised else F.lit(True)
+
+
+# The fields of one line.
+ENVELOPE = ("algorithm", "package_canonical_hash", "signature_b64", "signed_at_iso", "signer_id")
+ATTESTATION = ("algorithm", "key_fingerprint", "notary_id", "signature_b64", "signed_at_iso", "signer_id")
+
+
+def parsed_line(line: Column, fields: tuple[str, ...]) -> Column:
+    """struct<code, the fields> of a JSON line that must be an object with exactly these fields, all of them strings."""
+    from ..functions import canonical
+
+    doc = canonical.shape(line)
+    keys = F.array_sort(F.map_keys(doc["fields"]))
+    good = (doc["kind"] == "object") & (keys == F.array(*map(F.lit, sorted(fields)))) & F.forall(F.map_values(doc["fields"]), lambda p: p["kind"] == "string")
+    value = lambda f: F.try_element_at(doc["fields"], F.lit(f))["text"].alias(f)
+    return F.struct(F.when(~F.coalesce(good, F.lit(False)), "E_SIGNATURE_MALFORMED").alias("code"), *map(value, fields))
+
+
+def read_signatures(files: DataFrame) -> DataFrame:
+    """(key, line, code, the fields of ENVELOPE) of signature files (key, content): one row per line.
+
+    A file must end in one line feed; else, and for a line that is no envelope, the code is E_SIGNATURE_MALFORMED. A line that
+    sorts before the one above it, by signer and time, is E_SIGNATURE_ORDER.
+    """
+    ends = F.endswith("content", F.lit("\n")) & ~F.endswith("content", F.lit("\n\n"))
+    bare = F.when(ends, F.expr("left(content, char_length(content) - 1)"))
+    lines = files.filter("content IS NOT NULL").select("key", F.posexplode(F.split(F.coalesce(bare, F.lit("")), "\n")).alias("i", "text"))
+    e = lines.select("key", (F.col("i") + 1).alias("line"), parsed_line(F.col("text"), ENVELOPE).alias("e")).select("key", "line", "e.*")
+    w = Window.partitionBy("key").orderBy("line")  # the lines of one file
+    own = F.struct("signer_id", "signed_at_iso")
+    return e.withColumn("code", F.coalesce("code", F.when(F.lag(own).over(w) > own, "E_SIGNATURE_ORDER")))
+
+
+def signature_file_codes(files: DataFrame) -> DataFrame:
+    """(key, code): what a reader of the file reports, a malformed line before any line out of order; null for a good file."""
+    return read_signatures(files).groupBy("key").agg(F.coalesce(F.max(F.when(F.col("code") == "E_SIGNATURE_MALFORMED", F.col("code"))), F.max("code")).alias("code"))
+
+
+def read_signers(files: DataFrame) -> DataFrame:
+    """(signer_id, algorithm, public_key_b64, key_fingerprint, notary_uri, code) of signer manifests (name, content)."""
+    from ..functions import canonical
+
+    s = files.select("name", canonical.shape(F.col("content")).alias("doc"))
+    value = lambda f: F.try_element_at(F.col("doc.fields"), F.lit(f))["text"]
+    needed = ("signer_id", "algorithm", "public_key_b64", "key_fingerprint")
+    have = F.forall(F.array(*map(F.lit, needed)), lambda f: F.map_contains_key(F.col("doc.fields"), f))
+    return s.select("name", *(value(f).alias(f) for f in (*needed, "notary_uri")), F.when(~F.coalesce((F.col("doc.kind") == "object") & have, F.lit(False)), "E_SIGNER_MALFORMED").alias("code"))
+
+
+def merge_envelopes(have: DataFrame, new: DataFrame) -> DataFrame:
+    """The envelopes of both, each once; ``signature_lines`` puts them in order."""
+    return have.unionByName(new).distinct()
 
 
 def signature_lines(envelopes: DataFrame) -> DataFrame:

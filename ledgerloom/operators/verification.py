@@ -132,6 +132,40 @@ def event_rules(e: Document) -> Rules:
     return out + [e.pattern(n, UUID7) for n in ("prev_event_id", "claim_instance_id", "superseded_by_claim_id", "target_claim_instance_id")]
 
 
+DAY = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
+CONFLICT_FIELDS = ("polarity", "supersedes", "valid_from", "valid_until")
+POLARITIES = ("affirm", "negate", "unknown")
+
+
+def claim_document_rules(c: Document, supersedes: Column) -> Rules:
+    """Rules of a claim's frontmatter, over ``sources.packages.frontmatter``; supersedes: the elements of that field as parts."""
+    number = F.when(c.kind("confidence") == "number", F.try_element_at(c.column["fields"], F.lit("confidence"))["text"])
+    out = [("PX_E_4141", c.has("conflict_class")), ("PX_E_4101", c.kind("confidence") != "number")]
+    out += [("PX_E_4102", ~number.try_cast("double").between(0, 1)), ("PX_E_4103", ~number.rlike(r"^-?\d+\.\d{3}$"))]
+    for name in ("valid_from", "valid_until"):
+        t = c.text(name)
+        out += [("PX_E_4111", c.kind(name) != "string"), ("PX_E_4112", ~t.rlike(DAY) | F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).isNull() & t.isNotNull())]
+    out += [("PX_E_4113", c.text("valid_from") > c.text("valid_until")), ("PX_E_4121", c.kind("polarity") != "string"), ("PX_E_4122", ~c.text("polarity").isin(*POLARITIES))]
+    elements = F.transform(
+        supersedes,
+        lambda e, i: F.when((e["kind"] != "string") | ~e["text"].rlike(UUID7), "PX_E_4131").when(e["text"] == c.text("claim_id"), "PX_E_4132").when(F.exists(F.slice(supersedes, 1, i), lambda u: u["text"] == e["text"]), "PX_E_4133"),
+    )
+    first = F.get(F.array_compact(elements), F.lit(0))
+    out += [("PX_E_4131", c.kind("supersedes") != "array"), *((x, first == x) for x in ("PX_E_4131", "PX_E_4132", "PX_E_4133"))]
+    blank = F.coalesce(F.trim(c.text("subject")) == "", F.lit(True))
+    return out + [("PX_E_4144", F.arrays_overlap(c.keys, F.array(*map(F.lit, CONFLICT_FIELDS))) & blank), ("PX_E_4143", c.keys != F.array_sort(c.keys))]
+
+
+def claim_document_violations(documents: DataFrame) -> DataFrame:
+    """Broken rules of claim documents (key, doc), doc being a frontmatter."""
+    from ..functions import canonical
+
+    listed = F.try_element_at(F.col("doc")["fields"], F.lit("supersedes"))
+    rows = documents.withColumn("over", canonical.shape(F.when(listed["kind"] == "array", listed["text"]))["items"])
+    unread = rows.filter("doc.code IS NOT NULL").select("key", F.lit(UNREADABLE).alias("stage"), F.lit(0).cast("bigint").alias("line"), F.lit(0).alias("seq"), F.col("doc.code").alias("code"))
+    return unread.unionByName(broken(rows, claim_document_rules(Document("doc"), F.col("over")), HEAD))
+
+
 def broken(rows: DataFrame, rules: Rules, stage: int, line: Column | int = 0) -> DataFrame:
     """(key, stage, line, seq, code): one row per rule broken by rows with a column key."""
     hits = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(i).alias("seq"), F.lit(code).alias("code"))) for i, (code, bad) in enumerate(rules))))

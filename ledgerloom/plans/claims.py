@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import folded, instant_ms, uuid_key, uuid_text
 from ..operators import claims as ops
+from ..operators import linking
 from ..sources.tables import table
 
 
@@ -190,30 +191,6 @@ def recency_primary(spark: SparkSession, d: str) -> DataFrame:
     return c.join(newest, "subject").filter(F.coalesce("created_at", F.lit("")) == F.col("at")).groupBy("subject").agg(F.min("claim_id").alias("claim_id"))
 
 
-def claim_violations(spark: SparkSession, d: str) -> DataFrame:
-    """First broken rule of each claim, over stream events as claims with faults worked in."""
-    e = table(spark, d, "events")
-    fault = lambda n, bad, good: F.when(F.col("event_id") % n == 0, bad).otherwise(good)
-    words = lambda *w: F.array(*map(F.lit, w))
-    claims = e.select(
-        F.col("event_id").cast("string").alias("claim_id"),
-        fault(43, F.lit(" "), F.lit("s")).alias("subject"),
-        fault(11, F.lit("high"), fault(13, F.lit("1.500"), fault(17, F.lit("0.25"), F.lit("0.500")))).alias("confidence"),
-        fault(19, F.lit("2024-02-30T00:00:00Z"), fault(23, F.lit("yesterday"), F.lit("2024-01-01T00:00:00Z"))).alias("valid_from"),
-        fault(29, F.lit("2000-01-01T00:00:00Z"), F.lit(None)).alias("valid_until"),
-        fault(31, F.lit("maybe"), F.lit("affirm")).alias("polarity"),
-        fault(37, F.array(F.col("event_id").cast("string")), fault(41, words("a", "a"), words("a"))).alias("supersedes"),
-        fault(53, words("claim_id", "conflict_class"), fault(47, words("polarity", "claim_id"), words("claim_id", "polarity"))).alias("keys"),
-    )
-    first = ops.first_violation(ops.violations(claims, ops.claim_rules(), "claim_id"))
-    return first.select(F.col("id").alias("claim_id"), "code")
-
-
-CLAIM_RULES_SQL = """WITH x AS (SELECT event_id AS e FROM events) SELECT CAST(e AS VARCHAR) AS claim_id, CASE WHEN e % 53 = 0 THEN 'PX_E_4141' WHEN e % 11 = 0 THEN 'PX_E_4101' WHEN e % 13 = 0 THEN 'PX_E_4102' WHEN e % 17 = 0 THEN 'PX_E_4103'
- WHEN e % 19 = 0 OR e % 23 = 0 THEN 'PX_E_4112' WHEN e % 29 = 0 THEN 'PX_E_4113' WHEN e % 31 = 0 THEN 'PX_E_4122' WHEN e % 37 = 0 THEN 'PX_E_4132' WHEN e % 41 = 0 THEN 'PX_E_4133' WHEN e % 43 = 0 THEN 'PX_E_4144' WHEN e % 47 = 0 THEN 'PX_E_4143' END AS code
- FROM x WHERE code IS NOT NULL"""
-
-
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select((F.col("user_id") % 50).alias("scope"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("subject"), F.col("event_id").alias("seq"), F.floor(F.col("value") / 20).alias("value"))
 
@@ -226,9 +203,37 @@ LINK_SQL = """WITH f AS (SELECT user_id % 50 AS scope, user_id || ':' || event_t
  SELECT scope, subject, seq, minted, CASE WHEN minted THEN last_value(CASE WHEN minted THEN seq END IGNORE NULLS) OVER (PARTITION BY scope, subject ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS supersedes_seq FROM g"""
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Stream events as statements: two kinds with subject and value, the others as free text."""
+    e = table(spark, d, "events")
+    given = F.col("event_type").isin("click", "view")
+    value = F.floor(F.col("value") / 20).cast("string")
+    subject = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
+    return e.select(
+        F.concat(F.lit("q"), (F.col("user_id") % 50).cast("string")).alias("scope"), F.col("event_id").alias("seq"), F.when(given, F.concat_ws(" ", subject, F.col("event_id").cast("string"))).otherwise(F.concat_ws(" ", subject, F.lit("is"), value)).alias("body"),
+        F.when(given, subject).alias("subject"), F.when(given, value).alias("value"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred_at"),
+    )
+
+
 def exact_linker(spark: SparkSession, d: str) -> DataFrame:
-    """Lineages with bodies that come back; rows only."""
-    return ops.link_exact(_facts(spark, d).withColumn("body", F.concat_ws("|", "subject", F.col("value").cast("string"))))
+    """Lineages of all statements, with edges and instants."""
+    return linking.with_edges(linking.link(_records(spark, d))).select("scope", "seq", "claim_id", "subject", "object", "supersedes", "valid_from", "minted")
+
+
+def linker_stats(spark: SparkSession, d: str) -> DataFrame:
+    return linking.stats(linking.link(_records(spark, d)))
+
+
+#: With a body a value, a record of either kind is new iff its value is not the one before it on its subject.
+_LINKED = """r AS (SELECT 'q' || user_id % 50 AS scope, event_id AS seq, user_id || ':' || event_type || CASE WHEN event_type IN ('click', 'view') THEN '' ELSE ' is' END AS subject, CAST(CAST(floor("value" / 20) AS BIGINT) AS VARCHAR) AS v, event_type IN ('click', 'view') AS given, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events),
+ m AS (SELECT *, coalesce(lag(v) OVER w <> v, true) AS minted, lag(v) OVER w IS NULL AS opens FROM r WINDOW w AS (PARTITION BY scope, subject ORDER BY seq)),
+ n AS (SELECT *, scope || '#C' || lpad(CAST(count(*) OVER (PARTITION BY scope ORDER BY seq) - 1 AS VARCHAR), 5, '0') AS claim_id FROM m WHERE minted),
+ e AS (SELECT *, lag(claim_id) OVER (PARTITION BY scope, subject ORDER BY seq) AS supersedes FROM n),
+ l AS (SELECT m.scope, m.seq, m.subject, m.minted, m.v, m.given, last_value(e.claim_id IGNORE NULLS) OVER w AS claim_id, last_value(CASE WHEN m.minted THEN coalesce(e.supersedes, '-') END IGNORE NULLS) OVER w AS s, last_value(CASE WHEN m.minted THEN CASE WHEN e.supersedes IS NULL THEN '-' ELSE e.at END END IGNORE NULLS) OVER w AS f
+ FROM m LEFT JOIN e USING (scope, seq) WINDOW w AS (PARTITION BY m.scope, m.subject ORDER BY m.seq ROWS UNBOUNDED PRECEDING))"""
+EXACT_SQL = f"WITH {_LINKED} SELECT scope, seq, claim_id, subject, CASE WHEN given THEN v ELSE subject || ' ' || v END AS object, nullif(s, '-') AS supersedes, nullif(f, '-') AS valid_from, minted FROM l"
+STATS_SQL = f"""WITH {_LINKED}, b AS (SELECT scope, count(*) AS restatement_groups FROM (SELECT scope FROM r WHERE NOT given GROUP BY scope, subject, v HAVING count(*) > 1) GROUP BY 1)
+ SELECT scope, count(*) AS records, count(*) FILTER (minted) AS lineages, count(*) FILTER (minted AND s = '-') AS subjects, count(*) FILTER (minted AND s <> '-') AS supersedes_edges, count(DISTINCT CASE WHEN minted AND s <> '-' THEN subject END) AS updated_subjects, coalesce(any_value(restatement_groups), 0) AS restatement_groups FROM l LEFT JOIN b USING (scope) GROUP BY 1"""
 
 
 def p3_found_sql() -> str:
@@ -265,14 +270,13 @@ def _p5_sql() -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        lifecycle_fold, events_lifecycle, claim_violations, event_chain_check, dangling_refs, fileset_divergence, hash_verify, snapshot_diff_set, snapshot_diff_fields,
-        snapshot_diff_timeline, valid_time_active, r4_resolve, supersession_dangling, recency_primary, structured_linker, exact_linker,
+        lifecycle_fold, events_lifecycle, event_chain_check, dangling_refs, fileset_divergence, hash_verify, snapshot_diff_set, snapshot_diff_fields,
+        snapshot_diff_timeline, valid_time_active, r4_resolve, supersession_dangling, recency_primary, structured_linker, exact_linker, linker_stats,
     )
 }
 ORACLE = {
     "lifecycle_fold": LIFECYCLE_SQL,
     "events_lifecycle": EVENTS_SQL,
-    "claim_violations": CLAIM_RULES_SQL,
     "event_chain_check": CHAIN_SQL,
     "dangling_refs": f"WITH {_EV} SELECT event_id, claim_id FROM ev WHERE claim_id NOT IN (SELECT {_u('claim_id')} FROM manifest WHERE claim_id IS NOT NULL)",
     "fileset_divergence": "SELECT path, CASE WHEN b.x IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT DISTINCT path, 1 AS x FROM manifest) a FULL JOIN (SELECT DISTINCT path, 1 AS x FROM manifest_mirror) b USING (path) WHERE a.x IS NULL OR b.x IS NULL",
@@ -285,6 +289,8 @@ ORACLE = {
     "supersession_dangling": f'WITH {_TIMED} SELECT subject, "by", claim_id FROM edges WHERE claim_id NOT IN (SELECT claim_id FROM c)',
     "recency_primary": f"WITH {_TIMED} SELECT subject, first(claim_id ORDER BY created_at DESC, claim_id) AS claim_id FROM c GROUP BY 1",
     "structured_linker": LINK_SQL,
+    "exact_linker": EXACT_SQL,
+    "linker_stats": STATS_SQL,
     "p3_found": p3_found_sql(),
     "p4_found": P4_SQL,
     "p5_found": _p5_sql(),

@@ -6,10 +6,11 @@ import base64
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import canonical
+from ..functions import canonical, ed25519
 from ..functions.keys import folded, instant_ms, uuid_key, uuid_text
 from ..operators import trust
 from ..operators.replay import Machine
@@ -41,18 +42,36 @@ def package_canonical_hash(spark: SparkSession, d: str) -> DataFrame:
     return trust.package_hash(m.filter("hash IS NOT NULL").distinct())
 
 
+def _digit(c: str) -> Column:
+    """First four digits of a text's MD5, as a number."""
+    return F.conv(F.substring(F.md5(F.encode(F.col(c), "utf-8")), 1, 4), 16, 10).cast("int")
+
+
 def _signed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Packages, their envelopes by five signers, and the signers: one with a wrong fingerprint, one unknown to the manifests."""
-    keys = {f"signer-{i}": f"secret {i}".encode() for i in range(5)}
-    signers = spark.createDataFrame([(s, "ed25519" if i == 3 else "hmac-sha256", base64.b64encode(k).decode(), "0" * 64 if i == 2 else trust.fingerprint(k)) for i, (s, k) in enumerate(keys.items()) if i != 4], "signer_id string, algorithm string, public_key_b64 string, key_fingerprint string")
+    """Packages, their envelopes, and the signers. Signer 2's manifest has a wrong fingerprint, signer 4 has none, signer 5's key
+    is no base64, signer 6 names another algorithm; some envelopes carry another digest, algorithm or signature."""
+    secrets = {f"signer-{i}": f"secret {i}".encode().ljust(32, b".") for i in range(8)}
+    curve = "signer-3"
+    keys = {s: ed25519.public_key(k) if s == curve else k for s, k in secrets.items()}
+    rows = [(s, "ed25519" if s in (curve, "signer-6") else "hmac-sha256", "no base64!" if s == "signer-5" else base64.b64encode(k).decode(), "0" * 64 if s == "signer-2" else trust.fingerprint(k)) for s, k in keys.items() if s != "signer-4"]
+    signers = spark.createDataFrame(rows, "signer_id string, algorithm string, public_key_b64 string, key_fingerprint string")
     packages = package_canonical_hash(spark, d)
-    who = F.concat(F.lit("signer-"), F.pmod(F.xxhash64("package_id"), F.lit(5)).cast("string"))
 
     @F.pandas_udf("string")
-    def sign(digest, signer):
-        return digest.combine(signer, lambda h, s: trust.sign_hmac(keys[s], h))
-
-    e = packages.withColumn("signer_id", who).select("package_id", "signer_id", F.when(F.col("signer_id") == "signer-3", "ed25519").otherwise("hmac-sha256").alias("algorithm"), F.lit("2031-01-01T00:00:00Z").alias("signed_at_iso"), F.col("package_hash").alias("package_canonical_hash"), sign("package_hash", "signer_id").alias("signature_b64"))
+    def sign(digest: pd.Series, signer: pd.Series) -> pd.Series:
+        one = lambda h, s: base64.b64encode(ed25519.sign(secrets[s], bytes.fromhex(h))).decode() if s == curve else trust.sign_hmac(secrets[s], h)
+        return digest.combine(signer, one)
+
+    x = packages.withColumns({"n": _digit("package_id"), "signer_id": F.concat(F.lit("signer-"), F.pmod(_digit("package_id"), F.lit(8)).cast("string"))})
+    right = sign("package_hash", "signer_id")
+    e = x.select(
+        "package_id",
+        "signer_id",
+        F.when(F.col("n") % 9 == 0, "rot13").when(F.col("signer_id") == curve, "ed25519").otherwise("hmac-sha256").alias("algorithm"),
+        F.lit("2031-01-01T00:00:00Z").alias("signed_at_iso"),
+        F.when(F.col("n") % 7 == 0, F.sha2("package_hash", 256)).otherwise(F.col("package_hash")).alias("package_canonical_hash"),
+        F.when(F.col("n") % 11 == 0, "*").when(F.col("n") % 5 == 0, sign(F.sha2("package_hash", 256), "signer_id")).otherwise(right).alias("signature_b64"),
+    )
     return packages, e, signers
 
 
@@ -61,8 +80,37 @@ def hmac_verify(spark: SparkSession, d: str) -> DataFrame:
     return trust.verify_envelopes(envelopes, signers, packages)
 
 
+def attestation_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Courts vouched for by the supreme courts' notary: (signer_id, notary_id, code). Keys are made of the courts' fields."""
+    secret = b"notary".ljust(32, b".")
+    c = table(spark, d, "courts").select("court_id", "court_name", "level", _digit("court_id").alias("n"))
+    key = F.encode("court_name", "utf-8")
+    signers = c.select(F.col("court_id").alias("signer_id"), F.lit("hmac-sha256").alias("algorithm"), F.base64(key).alias("public_key_b64"), F.sha2(key, 256).alias("key_fingerprint"))
+    notaries = spark.createDataFrame([("n-3", "hmac-sha256", base64.b64encode(secret).decode(), trust.fingerprint(secret)), ("n-2", "ed25519", base64.b64encode(ed25519.public_key(secret)).decode(), trust.fingerprint(ed25519.public_key(secret)))], "signer_id string, algorithm string, public_key_b64 string, key_fingerprint string")
+    a = c.select(F.col("court_id").alias("signer_id"), F.concat(F.lit("n-"), F.col("level").cast("string")).alias("notary_id"), F.when(F.col("n") % 5 == 0, F.upper(F.sha2(key, 256))).when(F.col("n") % 6 == 0, F.sha2(F.col("court_id"), 256)).otherwise(F.sha2(key, 256)).alias("key_fingerprint"), F.when(F.col("n") % 4 == 0, "hmac-sha256").when(F.col("level") == 2, "ed25519").otherwise("hmac-sha256").alias("algorithm"), "n")
+
+    @F.pandas_udf("string")
+    def sign(digest: pd.Series, algorithm: pd.Series) -> pd.Series:
+        return digest.combine(algorithm, lambda h, x: base64.b64encode(ed25519.sign(secret, bytes.fromhex(h))).decode() if x == "ed25519" else trust.sign_hmac(secret, h))
+
+    digest = trust.attestation_digest(F.col("signer_id"), F.col("notary_id"), F.col("key_fingerprint"))
+    a = a.withColumn("signature_b64", sign(F.when(F.col("n") % 3 == 0, F.sha2(digest, 256)).otherwise(digest), F.col("algorithm")))
+    return trust.verify_attestations(a.drop("n"), signers, notaries)
+
+
 def signature_lines(spark: SparkSession, d: str) -> DataFrame:
-    return trust.signature_lines(_signed(spark, d)[1])
+    """Unsigned envelopes of every manifest delivery, merged with themselves, as the lines of each package's file."""
+    m = table(spark, d, "manifest").select(uuid_text(uuid_key("package_id")).alias("package_id"), F.lit("hmac-sha256").alias("algorithm"), F.coalesce(F.col("hash"), F.lit("")).alias("package_canonical_hash"), F.lit("").alias("signature_b64"), F.coalesce("created_at", F.lit("")).alias("signed_at_iso"), F.coalesce("producer", F.lit("")).alias("signer_id"))
+    m = m.filter("package_id IS NOT NULL")
+    return trust.signature_lines(trust.merge_envelopes(m, m))
+
+
+def signature_files(spark: SparkSession, d: str) -> DataFrame:
+    """The code of each package's signature file, its lines being the package's entries as they arrived; null fields are left out."""
+    m = table(spark, d, "manifest").select("package_id", "received_at", "claim_id", F.to_json(F.struct(F.lit("x").alias("algorithm"), F.col("hash").alias("package_canonical_hash"), F.lit("").alias("signature_b64"), F.col("created_at").alias("signed_at_iso"), F.col("license").alias("signer_id"))).alias("line"))
+    files = m.groupBy(F.col("package_id").alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("received_at", "claim_id", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    ended = F.concat("content", F.when(F.substring("key", -1, 1) == "0", "\n\n").otherwise("\n"))
+    return trust.signature_file_codes(files.select("key", ended.alias("content"))).withColumnRenamed("key", "package_id")
 
 
 def tar_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +141,7 @@ def _folder_stream(spark: SparkSession, src: str, schema) -> DataFrame:
     return reader.option("pathGlobFilter", os.path.basename(src)).parquet(os.path.dirname(src)) if os.path.isfile(src) else reader.parquet(src)
 
 
-QUERIES = {f.__name__: f for f in (nfc_digest, identity_hash, strict_json, package_canonical_hash, hmac_verify, signature_lines, tar_roundtrip, stream_states)}
+QUERIES = {f.__name__: f for f in (nfc_digest, identity_hash, strict_json, package_canonical_hash, hmac_verify, attestation_verify, signature_lines, signature_files, tar_roundtrip, stream_states)}
 ORACLE = {
     "nfc_digest": "SELECT doc_id, sha256(nfc_normalize(text)) AS digest FROM documents",
     "identity_hash": """SELECT doc_id, sha256('{"locale":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || ',"type":"decision"}') AS content_hash FROM documents""",
@@ -107,6 +155,16 @@ def _package_sql() -> str:
 
 
 ORACLE["package_canonical_hash"] = _package_sql()
+_N = lambda c: f"CAST('0x' || left(md5({c}), 4) AS INT)"
+ORACLE["hmac_verify"] = f"""WITH x AS (SELECT package_id, {_N('package_id')} AS n FROM ({_package_sql()})) SELECT package_id, 'signer-' || n % 8 AS signer_id, CASE WHEN n % 8 = 4 THEN 'E_SIGNER_MISSING' WHEN n % 8 = 5 THEN 'E_SIGNER_MALFORMED' WHEN n % 8 = 2 THEN 'E_SIGNER_FINGERPRINT_MISMATCH'
+ WHEN n % 7 = 0 THEN 'E_SIGNATURE_HASH_MISMATCH' WHEN n % 9 = 0 THEN 'E_SIGNER_ALGORITHM_UNKNOWN' WHEN n % 8 = 6 THEN 'E_SIGNER_ALGORITHM_MISMATCH' WHEN n % 11 = 0 THEN 'E_SIGNATURE_MALFORMED' WHEN n % 5 = 0 THEN 'E_SIGNATURE_INVALID' END AS code FROM x"""
+ORACLE["attestation_verify"] = f"""WITH x AS (SELECT court_id, level, {_N('court_id')} AS n FROM courts) SELECT court_id AS signer_id, 'n-' || level AS notary_id, CASE WHEN n % 5 = 0 OR n % 6 = 0 OR level NOT IN (2, 3) THEN 'E_SIGNER_NOTARY_INVALID'
+ WHEN (level = 2) = (n % 4 = 0) AND level = 2 THEN 'E_SIGNER_ALGORITHM_MISMATCH' WHEN n % 3 = 0 THEN 'E_SIGNATURE_INVALID' END AS code FROM x"""
+ORACLE["signature_lines"] = f"""WITH m AS (SELECT DISTINCT {_u('package_id')} AS package_id, coalesce(producer, '') AS s, coalesce(created_at, '') AS t, coalesce(hash, '') AS h FROM manifest WHERE package_id IS NOT NULL),
+ l AS (SELECT *, '{{"algorithm":"hmac-sha256","package_canonical_hash":' || CAST(to_json(h) AS VARCHAR) || ',"signature_b64":"","signed_at_iso":' || CAST(to_json(t) AS VARCHAR) || ',"signer_id":' || CAST(to_json(s) AS VARCHAR) || '}}' AS line FROM m)
+ SELECT package_id, string_agg(line, chr(10) ORDER BY s, t, line) || chr(10) AS lines FROM l GROUP BY 1"""
+ORACLE["signature_files"] = """WITH m AS (SELECT package_id, license AS s, created_at AS t, hash, row_number() OVER w AS n, lag(license) OVER w AS s0, lag(created_at) OVER w AS t0 FROM manifest
+ WINDOW w AS (PARTITION BY package_id ORDER BY received_at, claim_id, to_json({'algorithm': 'x', 'h': hash, 's': created_at, 'l': license}))) SELECT package_id, CASE WHEN right(package_id, 1) = '0' OR bool_or(hash IS NULL OR t IS NULL OR s IS NULL) THEN 'E_SIGNATURE_MALFORMED' WHEN bool_or(n > 1 AND (s0 > s OR (s0 = s AND t0 > t))) THEN 'E_SIGNATURE_ORDER' END AS code FROM m GROUP BY 1"""
 ORACLE["stream_states"] = f"""WITH {_EV}, s AS (SELECT claim_id, min((ms, event_id)) AS s FROM ev WHERE event_type IN ('create', 'publish') GROUP BY 1),
  t AS (SELECT ev.claim_id, min_by(event_type, (ms, event_id)) AS e FROM ev JOIN s USING (claim_id) WHERE event_type IN ('supersede', 'withdraw') AND (ms, event_id) > s GROUP BY 1)
  SELECT c.claim_id, CASE WHEN s.claim_id IS NULL THEN NULL WHEN e = 'supersede' THEN 'superseded' WHEN e = 'withdraw' THEN 'withdrawn' ELSE 'active' END AS state FROM (SELECT DISTINCT claim_id FROM ev) c LEFT JOIN s USING (claim_id) LEFT JOIN t USING (claim_id)"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical
 from ..functions.keys import digest_key, folded, instant_ms, uuid_key, uuid_text
 from ..operators import verification as ops
+from ..sources import packages
 from ..sources.tables import table
 from .claims import _EV, _u
 
@@ -210,5 +211,59 @@ PATHS_SQL = f"""WITH x AS (SELECT doc_id, [concat_ws('/', source, docket_no), '/
  y AS (SELECT doc_id, CAST(unnest(range(7)) AS INT) AS n, unnest(ns) AS name FROM x) SELECT doc_id, n, {_first(_PATHS)} AS code FROM y WHERE name IS NOT NULL"""
 
 
-QUERIES = {f.__name__: f for f in (event_verdict, entry_verdict, manifest_rules, package_verdict, package_codes, timestamp_codes, archive_paths)}
-ORACLE = {"event_verdict": EVENT_SQL, "entry_verdict": ENTRY_SQL, "manifest_rules": _json_sql(), "package_verdict": VERDICT_SQL, "package_codes": CODES_SQL, "timestamp_codes": STAMPS_SQL, "archive_paths": PATHS_SQL}
+def _claim_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest entries as claim documents: confidence is the format version, polarity the state, and so on; as dirty as they are."""
+    m = table(spark, d, "manifest")
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\n"))
+    id_line, confidence = line("claim_id", F.col("claim_id")), line("confidence", F.col("format_version"))
+    over = F.array_compact(F.array("superseded_by_claim_id", F.when(F.col("license").isNull(), F.col("claim_id"))))
+    head = F.concat_ws(
+        "", F.when(F.col("tags").isNull(), F.concat(confidence, id_line)).otherwise(F.concat(id_line, confidence)), line("polarity", F.col("state")), line("subject", F.col("producer")),
+        F.when(F.size(over) > 0, F.concat(F.lit("supersedes:\n"), F.array_join(F.transform(over, lambda x: F.concat(F.lit("  - "), x, F.lit("\n"))), ""))), line("valid_from", F.col("created_at")), line("valid_until", F.date_format("deleted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+    )
+    return m.filter("claim_id IS NOT NULL AND format_version IS NOT NULL").select(F.struct("package_id", "claim_id", "received_at", "hash").alias("key"), F.concat(F.lit("---\n"), head, F.lit("---\nbody\n")).alias("text"))
+
+
+def claim_violations(spark: SparkSession, d: str) -> DataFrame:
+    """All broken rules of manifest entries as claim documents."""
+    docs = _claim_documents(spark, d).select("key", packages.frontmatter(F.col("text")).alias("doc"))
+    return ops.claim_document_violations(docs).select("key.*", "seq", "code").distinct()
+
+
+_SUP = "list_filter([superseded_by_claim_id, CASE WHEN license IS NULL THEN claim_id END], lambda x: x IS NOT NULL)"
+_ELEMENT = f"list_filter(list_transform({_SUP}, lambda e, i: CASE WHEN NOT regexp_full_match(trim(e), '{ops.UUID7.strip('^$')}') THEN 15 WHEN trim(e) = trim(claim_id) THEN 16 WHEN list_contains(list_transform({_SUP}[1:i-1], lambda q: trim(q)), trim(e)) THEN 17 END), lambda x: x IS NOT NULL)[1]"
+_ISO = "trim(created_at)"
+_UNTIL = "strftime(deleted_at, '%Y-%m-%dT%H:%M:%SZ')"
+_OPENS = " OR ".join(f"coalesce(regexp_matches(trim({c}), '^[\\[{{&*!]'), false)" for c in ("claim_id", "format_version", "state", "producer", "created_at", "superseded_by_claim_id"))
+CLAIM_SQL = f"""WITH a AS (SELECT *, {_OPENS} AS unread FROM manifest WHERE claim_id IS NOT NULL AND format_version IS NOT NULL), m AS (SELECT * FROM a WHERE NOT unread), n AS (SELECT *, regexp_full_match(trim(format_version), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') AS num FROM m),
+ x AS (SELECT package_id, claim_id, received_at, hash, unnest(list_filter([CASE WHEN NOT num THEN 1 END, CASE WHEN num AND CAST(trim(format_version) AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 2 END, CASE WHEN num AND NOT regexp_full_match(trim(format_version), '-?\d+\.\d{{3}}') THEN 3 END,
+ CASE WHEN NOT regexp_full_match({_ISO}, '{ops.DAY.strip('^$')}') OR try_strptime({_ISO}, '%Y-%m-%dT%H:%M:%SZ') IS NULL AND created_at IS NOT NULL THEN 5 END, CASE WHEN {_ISO} > {_UNTIL} THEN 8 END, CASE WHEN trim(state) NOT IN ('affirm', 'negate', 'unknown') THEN 10 END, {_ELEMENT.replace('15', '12').replace('16', '13').replace('17', '14')},
+ CASE WHEN (state IS NOT NULL OR len({_SUP}) > 0 OR created_at IS NOT NULL OR deleted_at IS NOT NULL) AND coalesce(trim(producer), '') = '' THEN 15 END, CASE WHEN tags IS NULL THEN 16 END], lambda q: q IS NOT NULL)) AS seq FROM n)
+ SELECT DISTINCT package_id, claim_id, received_at, hash, CAST(seq AS INT) AS seq, ['', 'PX_E_4101', 'PX_E_4102', 'PX_E_4103', '', 'PX_E_4112', '', '', 'PX_E_4113', '', 'PX_E_4122', '', 'PX_E_4131', 'PX_E_4132', 'PX_E_4133', 'PX_E_4144', 'PX_E_4143'][seq + 1] AS code FROM x UNION ALL SELECT DISTINCT package_id, claim_id, received_at, hash, 0, 'PX_E_4006' FROM a WHERE unread"""
+
+
+def canonical_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest entries as claim documents in canonical form, and whether that changed them."""
+    c = _claim_documents(spark, d).select("key", packages.canonical_document(F.col("text")).alias("c"))
+    return c.select("key.*", F.sha2(F.encode("c.text", "utf-8"), 256).alias("digest"), "c.changed", "c.code")
+
+
+def migrated_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Delivered manifests of legacy versions in the present one: their fields and versions, or the code of what cannot be migrated."""
+    raw = table(spark, d, "manifest_raw").select(F.col("raw_id").alias("key"), canonical.shape(F.col("payload")).alias("doc"))
+    spec = spec_field(spark, d)
+    m = packages.migrated(raw, "dpkg_spec_version", spec, "0.4.0")
+    part = lambda f: F.try_element_at(F.col("fields"), F.lit(f))
+    names = F.array_join(F.array_remove(F.array_sort(F.map_keys("fields")), spec), ",")
+    return m.select(F.col("key").alias("raw_id"), "code", names.alias("fields"), part("format_version")["text"].alias("format_version"), part(spec)["text"].alias("spec_version"), F.coalesce(part("extensions")["kind"] == "object", F.lit(False)).alias("extended"))
+
+
+_K = "json_type(payload, '$.format_version')"
+MIGRATED_SQL = f"""WITH j AS (SELECT raw_id, payload, json_valid(payload) AS ok FROM manifest_raw), k AS (SELECT raw_id, payload, CASE WHEN NOT ok THEN 'PX_E_4006' WHEN json_type(payload) <> 'OBJECT' THEN 'PX_E_1001' WHEN coalesce({_K} <> 'VARCHAR' OR json_extract_string(payload, '$.format_version') NOT IN ('1.0', '1.1'), true) THEN 'PX_E_3001' END AS code FROM j),
+ e AS (SELECT *, CASE WHEN code IS NULL THEN json_type(payload, '$.extensions') END AS t, CASE WHEN code IS NULL AND json_type(payload, '$.extensions') = 'OBJECT' THEN len(list_filter(json_keys(payload, '$.extensions'), lambda x: x <> 'dpkg_spec_version')) END AS left_over FROM k)
+ SELECT raw_id, code, CASE WHEN code IS NULL THEN array_to_string(list_sort(list_filter(list_distinct(list_append(json_keys(payload), 'format_version')), lambda x: x <> 'dpkg_spec_version' AND NOT regexp_full_match(x, 'a[a-z]*_spec_version') AND NOT (x = 'extensions' AND coalesce(left_over = 0, false)))), ',') END AS fields,
+ CASE WHEN code IS NULL THEN '2.0' END AS format_version, CASE WHEN code IS NULL THEN '0.4.0' END AS spec_version, coalesce(left_over > 0, false) AS extended FROM e"""
+
+
+QUERIES = {f.__name__: f for f in (event_verdict, entry_verdict, manifest_rules, package_verdict, package_codes, timestamp_codes, archive_paths, claim_violations, canonical_documents, migrated_manifests)}
+ORACLE = {"event_verdict": EVENT_SQL, "entry_verdict": ENTRY_SQL, "manifest_rules": _json_sql(), "package_verdict": VERDICT_SQL, "package_codes": CODES_SQL, "timestamp_codes": STAMPS_SQL, "archive_paths": PATHS_SQL, "claim_violations": CLAIM_SQL, "migrated_manifests": MIGRATED_SQL}

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import tarfile
 import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import Refused, three_places
+from ..functions.canonical import KINDS, PART, Refused, shape, three_places
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -26,31 +27,32 @@ def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length", "content")
 
 
+# The forms of a frontmatter scalar, and what each stands for; what has none of them is text.
+_FORMS = [
+    (re.compile(r"(~|null)?"), lambda m: None),
+    (re.compile(r"(true|false)"), lambda m: m[0] == "true"),
+    (re.compile(r"\"(.*)\"|'(.*)'", re.S), lambda m: m[1] if m[1] is not None else m[2]),
+    (re.compile(r"([\"'\[{&*!].*)", re.S), None),
+    (re.compile(r"[+-]?\d+"), lambda m: int(m[0])),
+    (re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"), lambda m: float(m[0])),
+]
+
+
 def scalar(text: str) -> object:
-    """One frontmatter scalar: null, boolean, quoted or bare string, number."""
+    """One frontmatter scalar: null, boolean, quoted or bare string, number. An unclosed quote, and what opens no scalar, is 4006."""
     t = text.strip()
-    if t in ("", "~", "null"):
-        return None
-    if t in ("true", "false"):
-        return t == "true"
-    if t[0] in "\"'":
-        if len(t) < 2 or t[-1] != t[0]:
-            raise Refused("PX_E_4006")
-        return t[1:-1]
-    if t[0] in "[{&*!":
-        raise Refused("PX_E_4006")
-    for kind in (int, float) if not set(t) & set(".eE") else (float,):
-        try:
-            return kind(t)
-        except ValueError:
-            pass
+    for form, read in _FORMS:
+        if m := form.fullmatch(t):
+            if read is None:
+                raise Refused("PX_E_4006")
+            return read(m)
     return t
 
 
 _FIELD, _ITEM, _ENTRY = re.compile(r"([A-Za-z_]\w*):(.*)", re.A), re.compile(r"\s+-\s+(.*)"), re.compile(r"\s+([A-Za-z_]\w*):(.*)", re.A)
 
 
-def parse_frontmatter(text: str) -> dict[str, object]:
+def parse_frontmatter(text: str, scalar=scalar) -> dict[str, object]:  # noqa: ANN001
     """The fields of a frontmatter block in their order: scalars, lists of scalars, maps of one level. Anything else is 4006."""
     groups: list[tuple[re.Match, list[str]]] = []
     for line in text.splitlines():
@@ -120,18 +122,89 @@ def emit_frontmatter(data: dict[str, object]) -> str:
     return "\n".join(lines) + "\n"
 
 
-def migrate_manifest(m: dict, legacy: tuple[str, ...] = ("1.0", "1.1"), target: str = "2.0") -> dict:
-    """A manifest of a legacy version in the target version: the old spec-version field goes, top-level and in ``extensions``,
-    and empty extensions go with it. Other versions are refused."""
-    if not isinstance(m, dict):
-        raise Refused("PX_E_1001")
-    if m.get("format_version") not in legacy:
-        raise Refused("PX_E_3003")
-    out = {k: v for k, v in m.items() if k != "dpkg_spec_version"}
-    if isinstance(ext := out.get("extensions"), dict):
-        rest = {k: v for k, v in ext.items() if k != "dpkg_spec_version"}
-        out = {k: v for k, v in out.items() if k != "extensions"} | ({"extensions": rest} if rest else {})
-    return out | {"format_version": target}
+class _Written(str):
+    """A scalar as it is written, with its kind."""
+
+    kind: str
+
+
+def _written(text: str) -> _Written:
+    v = scalar(text)
+    out = _Written(v if isinstance(v, str) else text.strip())
+    out.kind = KINDS[type(v)]
+    return out
+
+
+DOCUMENT = f"code string, kind string, fields map<string,{PART}>, items array<{PART}>, body string"
+
+
+def frontmatter(c: Column) -> Column:
+    """struct<code, kind, fields, items, body> of claim documents: as ``canonical.shape``, fields in their order, numbers as they
+    are written, lists and maps as JSON; and the text below. What is no document has code 4006; null gives nulls."""
+
+    def part(v: object) -> dict:
+        if isinstance(v, _Written):
+            return {"kind": v.kind, "text": str(v)}
+        return {"kind": KINDS[type(v)], "text": json.dumps(v, ensure_ascii=False)}
+
+    @F.pandas_udf(DOCUMENT)
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            try:
+                head, body = split_document(x) if x is not None else ("", None)
+                rows.append((None, None, None, None, None) if x is None else (None, "object", {k: part(v) for k, v in parse_frontmatter(head, _written).items()}, None, body))
+            except Refused as e:
+                rows.append((str(e), None, None, None, None))
+        return pd.DataFrame(rows, columns=["code", "kind", "fields", "items", "body"])
+
+    return run(c)
+
+
+def canonical_document(c: Column) -> Column:
+    """struct<text, changed, code> of claim documents: with canonical frontmatter, and whether that changed anything."""
+
+    @F.pandas_udf("text string, changed boolean, code string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            try:
+                if x is None:
+                    rows.append((None, None, None))
+                    continue
+                head, body = split_document(x)
+                text = "---\n" + emit_frontmatter(parse_frontmatter(head)) + "---\n" + body
+                rows.append((text, text != x, None))
+            except Refused as e:
+                rows.append((None, None, str(e)))
+        return pd.DataFrame(rows, columns=["text", "changed", "code"])
+
+    return run(c)
+
+
+def migrated(manifests: DataFrame, legacy_field: str, spec_field: str, spec_version: str, legacy: tuple[str, ...] = ("1.0", "1.1"), target: str = "2.0") -> DataFrame:
+    """(key, code, fields) of manifests (key, doc), doc as ``canonical.shape`` gives it, in the target version.
+
+    Only objects of a legacy version are migrated: 1001 for other values, 3001 for other versions. The legacy field goes, at the
+    top and in ``extensions``, and extensions that are empty without it; the spec field gets its version.
+    """
+    part = lambda f: F.try_element_at(F.col("doc.fields"), F.lit(f))
+    text = lambda x: F.struct(F.lit("string").alias("kind"), F.lit(x).alias("text"))
+    version, ext = part("format_version"), part("extensions")
+    m = manifests.select("key", "doc", shape(F.when(ext["kind"] == "object", ext["text"]))["fields"].alias("inner"))
+    code = F.coalesce("doc.code", F.when(F.col("doc.kind") != "object", "PX_E_1001"), F.when(~F.coalesce((version["kind"] == "string") & version["text"].isin(*legacy), F.lit(False)), "PX_E_3001"))
+    m = m.withColumns({"code": code, "rest": F.map_filter("inner", lambda k, v: k != legacy_field)})
+    value = lambda v: F.when(v["kind"] == "string", _quoted(v["text"])).otherwise(v["text"])
+    entries = F.transform(F.array_sort(F.map_entries("rest"), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)), lambda e: F.concat(_quoted(e["key"]), F.lit(": "), value(e["value"])))
+    as_object = F.struct(F.lit("object").alias("kind"), F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")).alias("text"))
+    new = F.when((ext["kind"] == "object") & (F.size("rest") > 0), as_object).when(ext["kind"] != "object", ext)
+    kept = F.map_filter(F.col("doc.fields"), lambda k, v: ~k.isin(legacy_field, "format_version", spec_field, "extensions"))
+    added = F.map_filter(F.create_map(F.lit("format_version"), text(target), F.lit(spec_field), text(spec_version), F.lit("extensions"), new), lambda k, v: v.isNotNull())
+    return m.select("key", "code", F.when(F.col("code").isNull(), F.map_concat(kept, added)).alias("fields"))
+
+
+def _quoted(c: Column) -> Column:
+    return F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
 
 
 @dataclass(frozen=True)
@@ -145,70 +218,75 @@ class Budget:
     path_length: int = 512
 
 
-def path_problem(name: str, budget: Budget = Budget()) -> str | None:
-    """Code of an unsafe member path."""
-    if not name:
-        return "PX_E_6006"
-    if "\\" in name:
-        return "PX_E_6004"
-    if name.startswith("/"):
-        return "PX_E_6002"
-    if re.match("[A-Za-z]:", name):
-        return "PX_E_6003"
-    n = unicodedata.normalize("NFC", name)
-    if len(n) > budget.path_length:
-        return "PX_E_6005"
-    return "PX_E_6001" if ".." in n.split("/") else None
+MEMBERS = "path string, ordinal int, name string, member string, type string, size bigint, content binary, code string"
 
 
 def members(archive: bytes, budget: Budget = Budget()):
-    """(ordinal, path, is_dir, content, code) per member; the first member with a code ends the archive."""
-    seen: set[str] = set()
+    """(ordinal, name, NFC name, type, declared size, content, code) per member, until a member goes beyond the budget: that one
+    comes without content and is the last. An archive that cannot be read gives a row with code 4006."""
     total = 0
     try:
         tar = tarfile.open(fileobj=io.BytesIO(archive), mode="r:")
-        found = iter(tar)
-        for i, m in enumerate(found):
-            path = unicodedata.normalize("NFC", m.name)
-            code = path_problem(m.name, budget)
-            if i >= budget.files:
-                code = "PX_E_6009"
-            elif not (m.isreg() or m.isdir()):
-                code = "PX_E_6008"
-            elif code is None and path in seen:
-                code = "PX_E_6007"
-            elif code is None and m.isreg() and m.size > budget.file_bytes:
-                code = "PX_E_6010"
-            elif code is None and m.isreg() and total + m.size > budget.total_bytes:
-                code = "PX_E_6011"
-            if code:
-                yield i, path, False, None, code
-                return
-            seen.add(path)
-            content = None if m.isdir() else tar.extractfile(m).read()
+        for i, m in enumerate(tar):
+            kind = "file" if m.isreg() else "folder" if m.isdir() else "other"
+            over = i >= budget.files or m.size > budget.file_bytes or total + m.size > budget.total_bytes
+            content = tar.extractfile(m).read() if kind == "file" and not over else None
             total += len(content or b"")
-            if total > len(archive) * budget.ratio:
-                yield i, path, False, None, "PX_E_6012"
+            yield i, m.name, unicodedata.normalize("NFC", m.name), kind, m.size, content, None
+            if over or total > len(archive) * budget.ratio:
                 return
-            yield i, path, m.isdir(), content, None
     except (tarfile.TarError, EOFError):
-        yield 0, None, False, None, "PX_E_4006"
+        yield -1, None, None, None, None, None, "PX_E_4006"
 
 
-def unpack(archives: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """(path, ordinal, member, is_dir, content, code) of archives (path, content)."""
+def read_members(archives: DataFrame, budget: Budget = Budget()) -> DataFrame:
+    """(path, archive_bytes, ordinal, name, member, type, size, content, code): the members of archives (path, content) as they are."""
 
     def run(frames):
         for f in frames:
             rows = [(p, *m) for p, c in zip(f["path"], f["content"]) if c is not None for m in members(bytes(c), budget)]
-            yield pd.DataFrame(rows, columns=["path", "ordinal", "member", "is_dir", "content", "code"])
+            yield pd.DataFrame(rows, columns=["path", "ordinal", "name", "member", "type", "size", "content", "code"])
 
-    return archives.select("path", "content").mapInPandas(run, "path string, ordinal int, member string, is_dir boolean, content binary, code string")
+    sizes = archives.select("path", F.octet_length("content").alias("archive_bytes"))
+    return archives.select("path", "content").mapInPandas(run, MEMBERS).join(sizes, "path")
+
+
+def unpack(archives: DataFrame, budget: Budget = Budget()) -> DataFrame:
+    """(path, ordinal, member, is_dir, content, code) of archives (path, content), path being unique.
+
+    The first member with a code ends its archive and has no content. Rules in their order: 6009 too many members, 6008 neither
+    file nor folder, the path's own (``verification.path_rules``), 6007 there before, 6010 and 6011 declared sizes, 6013 more
+    than declared, 6012 expands too far. Totals run along the members, at most ``Budget.files`` of an archive.
+    """
+    from ..operators.verification import path_code
+
+    m = read_members(archives, budget)
+    along = Window.partitionBy("path").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    m = m.withColumns({"_total": F.sum(size).over(along), "_seen": F.count("*").over(Window.partitionBy("path", "member").orderBy("ordinal"))})
+    is_file, unsafe = F.col("type") == "file", path_code(F.col("member"), budget.path_length)
+    code = (
+        F.when(F.col("code").isNotNull(), F.col("code"))
+        .when(F.col("ordinal") >= budget.files, "PX_E_6009")
+        .when(F.col("type") == "other", "PX_E_6008")
+        .when(unsafe.isNotNull(), unsafe)
+        .when(F.col("_seen") > 1, "PX_E_6007")
+        .when(is_file & (F.col("size") > budget.file_bytes), "PX_E_6010")
+        .when(is_file & (F.col("_total") - size + F.col("size") > budget.total_bytes), "PX_E_6011")
+        .when(is_file & ((size > budget.file_bytes) | (F.col("_total") > budget.total_bytes)), "PX_E_6013")
+        .when(is_file & (F.col("_total") > F.col("archive_bytes") * budget.ratio), "PX_E_6012")
+    )
+    m = m.withColumn("code", code)
+    m = m.withColumn("_end", F.min(F.when(F.col("code").isNotNull(), F.col("ordinal"))).over(Window.partitionBy("path")))
+    m = m.filter("_end IS NULL OR ordinal <= _end")
+    return m.select("path", F.greatest("ordinal", F.lit(0)).alias("ordinal"), "member", (F.col("type") == "folder").alias("is_dir"), F.when(F.col("code").isNull(), F.col("content")).alias("content"), "code")
 
 
 def pack_members(files: list[tuple[str, bytes | None]]) -> bytes:
     """A canonical ustar archive: members by NFC path, fixed owner, mode and time. Null content is a folder."""
     named = sorted((unicodedata.normalize("NFC", p), c) for p, c in files)
+    if sum(len(c or b"") for _, c in named) > Budget.total_bytes or len(named) > Budget.files:
+        raise Refused("PX_E_6011")
     if len({p for p, _ in named}) < len(named):
         raise Refused("PX_E_6007")
     out = io.BytesIO()
@@ -221,7 +299,7 @@ def pack_members(files: list[tuple[str, bytes | None]]) -> bytes:
 
 
 def pack(rows: DataFrame, package: str = "package", path: str = "path", content: str = "content") -> DataFrame:
-    """(package, archive): one archive per package. Archives are bounded by ``Budget``, so a package fits its task."""
+    """(package, archive): one archive per package, written in one task; a package beyond ``Budget.total_bytes`` is refused."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         files = [(p, None if c is None else bytes(c)) for p, c in zip(f[path], f[content])]

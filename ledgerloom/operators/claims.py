@@ -129,6 +129,48 @@ def resolve(claims: DataFrame, instant: Column) -> DataFrame:
     )
 
 
+def surfaced(claims: DataFrame, instant: Column) -> DataFrame:
+    """(subject, claim_id) that a reader shows at an instant, of claims as for ``resolve``: the primary where the verdict is none
+    or supersession, all that is left where it is ambiguity or contradiction. Claims without subject are always shown."""
+    verdicts = resolve(claims, instant)
+    one = verdicts.filter("conflict_class IN ('none', 'supersession') AND primary_id IS NOT NULL").select("subject", F.col("primary_id").alias("claim_id"))
+    left, _ = supersession(claims, active_at(claims, instant))
+    every = left.join(verdicts.filter("conflict_class IN ('ambiguity', 'contradiction')").select("subject"), "subject").select("subject", "claim_id")
+    return one.unionByName(every).unionByName(claims.filter("subject IS NULL").select("subject", "claim_id"))
+
+
+def evidence_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(claim_id, hash_changed, state_changed, tags_added, tags_removed, labels_added, labels_removed) of claims in both packages
+    that differ: (claim_id, hash, state, tags, labels) with unique claims. Labels are compared by their keys."""
+    none = F.array().cast("array<string>")
+    side = lambda df, p: df.select("claim_id", F.col("hash").alias(f"{p}h"), F.col("state").alias(f"{p}s"), F.coalesce("tags", none).alias(f"{p}t"), F.coalesce(F.map_keys("labels"), none).alias(f"{p}l"))
+    j = side(a, "a").join(side(b, "b"), "claim_id")
+    apart = lambda x, y: F.array_sort(F.array_except(x, y))
+    out = j.select("claim_id", (~F.col("ah").eqNullSafe(F.col("bh"))).alias("hash_changed"), (~F.col("as").eqNullSafe(F.col("bs"))).alias("state_changed"), apart("bt", "at").alias("tags_added"), apart("at", "bt").alias("tags_removed"), apart("bl", "al").alias("labels_added"), apart("al", "bl").alias("labels_removed"))
+    return out.filter("hash_changed OR state_changed OR size(tags_added) + size(tags_removed) + size(labels_added) + size(labels_removed) > 0")
+
+
+def timeline_ids(a: DataFrame, b: DataFrame, key: str, item: str, order: str) -> DataFrame:
+    """(key, item, change): items ``added`` or ``removed`` between two logs, and all common ones as ``reordered`` where their order
+    in the logs is not the same."""
+    x, y = a.select(key, item, F.lit(True).alias("_a")), b.select(key, item, F.lit(True).alias("_b"))
+    j = x.join(y, [key, item], "full_outer")
+    turned = timeline_diff(a, b, key, item, order).filter("reordered").select(key, F.lit(True).alias("_t"))
+    j = j.join(turned, key, "left")
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_t"), "reordered")
+    return j.select(key, item, change.alias("change")).filter("change IS NOT NULL")
+
+
+def manifest_diff(a: DataFrame, b: DataFrame, left_out: tuple[str, ...] = ("created_at",)) -> DataFrame:
+    """(key, field, change) of manifests (key, doc), doc as ``canonical.shape`` gives it: fields added, removed and changed between
+    two packages; claims are compared apart, so of them only presence counts. Two packages are equal if no diff has a row."""
+    side = lambda df, p: df.select("key", F.explode("doc.fields").alias("field", p)).filter(~F.col("field").isin(*left_out))
+    both = a.select("key").join(b.select("key"), "key")
+    j = side(a.join(both, "key", "left_semi"), "x").join(side(b.join(both, "key", "left_semi"), "y"), ["key", "field"], "full_outer")
+    change = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when((F.col("field") != "claims") & (F.col("x") != F.col("y")), "changed")
+    return j.select("key", "field", change.alias("change")).filter("change IS NOT NULL")
+
+
 def link(records: DataFrame) -> DataFrame:
     """Adds ``minted`` and ``supersedes_seq`` to records (scope, subject, seq, value): a record is a new node iff its value
     differs from the one before it on its subject, and supersedes the node minted before. Without subject nothing is linked."""

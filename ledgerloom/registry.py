@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import claims, evaluation, packages, provenance, verification
+from .plans import claims, comparison, evaluation, packages, provenance, verification
 
-MODULES = (provenance, claims, verification, evaluation, packages)
+MODULES = (provenance, claims, verification, evaluation, comparison, packages)
 
 
 def queries() -> dict:

@@ -327,7 +327,7 @@ def hierarchy(records: DataFrame, full: bool = False, max_component: int = MAX_C
 
     Gives id, block, root (the smallest id of the circle where the walk enters one), depth (steps to the root, or to the
     first circle member), on_circle, in_circle (on a circle or hanging from one) and root_block. With ``full`` also path (from
-    the root, or the smallest circle member, down to the record), descendants (in depth-first order; on a circle the link back
+    the root, or the smallest circle member, down to the record), descendants (in depth-first order, siblings by id; on a circle the link back
     to its smallest member is cut), n_descendants and back_to (the record that a back edge leads to). In components beyond
     ``max_component`` descendants come by distance, and a record with more than ``MAX_LIST`` of them has several rows, which
     share them out. Paths and descendants have as many entries as there are pairs of ancestor and record.
@@ -339,7 +339,7 @@ def hierarchy(records: DataFrame, full: bool = False, max_component: int = MAX_C
     small = labelled
     if n_big:
         small = labelled.join(big, "component", "left_anti")
-    placed = small.repartition(parallelism(records.sparkSession), "component").sortWithinPartitions("component")
+    placed = small.repartition(parallelism(records.sparkSession), "component").sortWithinPartitions("component", "id")
     out = placed.select("id", "parent", "block", "component").mapInArrow(_walker(full), FULL if full else WALKED)
     if n_big:
         mine = labelled.join(big, "component", "left_semi")

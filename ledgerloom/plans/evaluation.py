@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +97,13 @@ def discordance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sign_test(spark: SparkSession, d: str) -> DataFrame:
-    """Exact p-value per event type; rows only."""
-    p = F.udf(lambda up, down: ops.sign_test(up, down), "double")  # one call per group
-    return discordance(spark, d).select("event_type", p("only_b", "only_a").alias("p_value"))
+    """Exact p-value per event type."""
+
+    @F.pandas_udf("double")
+    def p(up: pd.Series, down: pd.Series) -> pd.Series:
+        return pd.Series([ops.sign_test(int(x), int(y)) for x, y in zip(up, down)], dtype=float)
+
+    return discordance(spark, d).select("event_type", F.round(p("only_b", "only_a"), 6).alias("p_value"))
 
 
 def blind_order(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +156,7 @@ ORACLE = {
     "percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM events GROUP BY 1",
     "paired_contrast": f"WITH {_ARMS} SELECT event_type, round((avg(b) - avg(a)) * 100, 6) AS delta_pp, count(*) AS n FROM x GROUP BY 1",
     "discordance": f"WITH {_ARMS} SELECT event_type, count(*) FILTER (a = 1 AND b = 0) AS only_a, count(*) FILTER (a = 0 AND b = 1) AS only_b, count(*) FILTER (a = b) AS concordant FROM x GROUP BY 1",
+    "sign_test": f"WITH {_ARMS}, c AS (SELECT event_type, count(*) FILTER (a <> b) AS n, least(count(*) FILTER (a > b), count(*) FILTER (a < b)) AS k FROM x GROUP BY 1) SELECT event_type, round(least(1.0, 2 * list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 6) AS p_value FROM c",
     "blind_order": "SELECT item_id AS question_id, arm, CAST(row_number() OVER (ORDER BY md5('7|' || item_id || '|' || arm), item_id, arm) - 1 AS BIGINT) AS position FROM eval_items, (VALUES ('A'), ('B'), ('C')) AS t(arm)",
     "vocabulary_before": "WITH m AS (SELECT user_id AS scope, strftime(ts, '%Y-%m-%d %H') AS session, event_type || ':' || CAST(floor(value / 50) AS BIGINT) AS subject FROM events), f AS (SELECT scope, subject, min(session) AS session FROM m GROUP BY 1, 2), n AS (SELECT scope, session, count(*) AS k FROM f GROUP BY 1, 2), s AS (SELECT DISTINCT scope, session FROM m) SELECT s.scope, s.session, CAST(coalesce(sum(coalesce(k, 0)) OVER (PARTITION BY s.scope ORDER BY s.session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_known FROM s LEFT JOIN n ON s.scope = n.scope AND s.session = n.session",
     "session_build": r"SELECT user_id, strftime(ts, '%Y-%m-%d %H') AS session, string_agg(event_type || ': ' || trim(regexp_replace(props, '\s+', ' ', 'g')), chr(10) ORDER BY ts, event_id) AS text, CAST(count(*) AS INTEGER) AS n_lines FROM events GROUP BY 1, 2",

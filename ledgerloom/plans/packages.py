@@ -168,3 +168,4 @@ ORACLE["signature_files"] = """WITH m AS (SELECT package_id, license AS s, creat
 ORACLE["stream_states"] = f"""WITH {_EV}, s AS (SELECT claim_id, min((ms, event_id)) AS s FROM ev WHERE event_type IN ('create', 'publish') GROUP BY 1),
  t AS (SELECT ev.claim_id, min_by(event_type, (ms, event_id)) AS e FROM ev JOIN s USING (claim_id) WHERE event_type IN ('supersede', 'withdraw') AND (ms, event_id) > s GROUP BY 1)
  SELECT c.claim_id, CASE WHEN s.claim_id IS NULL THEN NULL WHEN e = 'supersede' THEN 'superseded' WHEN e = 'withdraw' THEN 'withdrawn' ELSE 'active' END AS state FROM (SELECT DISTINCT claim_id FROM ev) c LEFT JOIN s USING (claim_id) LEFT JOIN t USING (claim_id)"""
+ORACLE["strict_json"] = """WITH x AS (SELECT raw_id, CASE WHEN NOT json_valid(payload) THEN 'PX_E_4006' WHEN EXISTS (SELECT 1 FROM json_tree(CASE WHEN json_valid(payload) THEN payload END) t WHERE t.type = 'DOUBLE') THEN 'PX_E_4008' END AS code FROM manifest_raw) SELECT code, count(*) AS n_lines FROM x GROUP BY 1"""

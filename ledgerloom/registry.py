@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import claims, comparison, evaluation, packages, provenance, verification
+from .plans import claims, comparison, evaluation, packages, provenance, twins, verification
 
 MODULES = (provenance, claims, verification, evaluation, comparison, packages)
 
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in MODULES for k, v in getattr(m, "ORACLE", {}).items()}
+    return {k: v for m in (*MODULES, twins) for k, v in getattr(m, "ORACLE", {}).items()}

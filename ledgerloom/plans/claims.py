@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import folded, instant_ms, uuid_key, uuid_text
 from ..operators import claims as ops
 from ..operators import linking
+from ..session import cut
 from ..sources.tables import table
 
 
@@ -70,7 +71,7 @@ EVENTS_SQL = """WITH o AS (SELECT user_id AS claim_id, ts, event_id, event_type
 
 def event_chain_check(spark: SparkSession, d: str) -> DataFrame:
     e = events_of(spark, d, "claim_id", "event_type", "prev_event_id", "package_id", "line_no").select("claim_id", "event_id", "event_type", "prev_event_id", F.struct("package_id", "line_no").alias("line"))
-    return ops.event_chain(e)
+    return ops.event_chain(cut(e))
 
 
 CHAIN_SQL = f"""WITH {_EV}, e AS (SELECT * REPLACE (line_no AS line_no), row(package_id, line_no) AS line FROM ev)
@@ -92,8 +93,8 @@ def fileset_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Digest of every text against the digest of the text that its docket's smallest document has."""
-    docs = table(spark, d, "documents").select("doc_id", "docket_no", F.sha2(F.encode("text", "utf-8"), 256).alias("digest")).filter("docket_no IS NOT NULL")
+    """Digest of every text against that of the first text of its docket, or of its court where it has no docket."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("docket_no", "court_id").alias("docket_no"), F.sha2(F.encode("text", "utf-8"), 256).alias("digest"))
     first = docs.groupBy("docket_no").agg(F.min_by("digest", "doc_id").alias("expected"))
     j = docs.join(first, "docket_no")
     return j.filter(~F.col("digest").eqNullSafe(F.col("expected"))).select("doc_id", "digest", "expected")
@@ -168,7 +169,7 @@ def valid_time_active(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r4_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return ops.resolve(timed_claims(spark, d), F.lit(NOON))
+    return ops.resolve(cut(timed_claims(spark, d)), F.lit(NOON))
 
 
 R4_SQL = f"""WITH {_TIMED}, s AS (SELECT DISTINCT subject FROM c), n AS (SELECT subject, count(*) AS n_active, min(claim_id) AS only_id FROM act GROUP BY 1),
@@ -280,7 +281,7 @@ ORACLE = {
     "event_chain_check": CHAIN_SQL,
     "dangling_refs": f"WITH {_EV} SELECT event_id, claim_id FROM ev WHERE claim_id NOT IN (SELECT {_u('claim_id')} FROM manifest WHERE claim_id IS NOT NULL)",
     "fileset_divergence": "SELECT path, CASE WHEN b.x IS NULL THEN 'missing' ELSE 'extra' END AS problem FROM (SELECT DISTINCT path, 1 AS x FROM manifest) a FULL JOIN (SELECT DISTINCT path, 1 AS x FROM manifest_mirror) b USING (path) WHERE a.x IS NULL OR b.x IS NULL",
-    "hash_verify": "WITH x AS (SELECT doc_id, docket_no, sha256(text) AS digest FROM documents WHERE docket_no IS NOT NULL), f AS (SELECT docket_no, arg_min_null(digest, doc_id) AS expected FROM x GROUP BY 1) SELECT doc_id, digest, expected FROM x JOIN f USING (docket_no) WHERE digest IS DISTINCT FROM expected",
+    "hash_verify": "WITH x AS (SELECT doc_id, coalesce(docket_no, court_id) AS docket_no, sha256(text) AS digest FROM documents), f AS (SELECT docket_no, arg_min_null(digest, doc_id) AS expected FROM x GROUP BY 1) SELECT doc_id, digest, expected FROM x JOIN f USING (docket_no) WHERE digest IS DISTINCT FROM expected",
     "snapshot_diff_set": f"WITH {_SNAP} SELECT o_orderkey, CASE WHEN a.o_custkey IS NULL THEN 'added' WHEN b.o_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (o_orderkey) WHERE row(a.o_custkey, a.o_orderstatus, a.o_orderpriority) IS DISTINCT FROM row(b.o_custkey, b.o_orderstatus, b.o_orderpriority)",
     "snapshot_diff_fields": f"WITH {_SNAP} SELECT o_orderkey, 'o_orderstatus' AS field, a.o_orderstatus AS \"before\", b.o_orderstatus AS \"after\" FROM a JOIN b USING (o_orderkey) WHERE a.o_orderstatus IS DISTINCT FROM b.o_orderstatus",
     "snapshot_diff_timeline": TIMELINE_SQL,

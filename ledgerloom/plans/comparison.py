@@ -10,6 +10,7 @@ from ..functions.keys import digest_key, folded, uuid_key, uuid_text
 from ..functions.text import squeezed
 from ..operators import claims as claim_ops
 from ..operators import evaluation as ops
+from ..session import cut
 from ..sources.tables import table
 from .claims import _EV, _TIMED, NOON, _u, events_of, timed_claims
 from .evaluation import _ARMS, ORACLE as EVALUATION
@@ -220,7 +221,7 @@ SIZES_SQL = """SELECT doc_id, CAST(strlen('{"id": "' || doc_id || '", "metadata"
 def surfaced(spark: SparkSession, d: str) -> DataFrame:
     """What a reader shows of the stream's claims at an instant, those in a state that is read only left out first."""
     c = timed_claims(spark, d).withColumn("state", F.when(F.col("claim_id") % 13 == 0, "superseded").when(F.col("claim_id") % 17 == 0, "withdrawn").when(F.col("claim_id") % 2 == 0, "active"))
-    return claim_ops.surfaced(ops.unsuppressed(c), F.lit(NOON))
+    return claim_ops.surfaced(cut(ops.unsuppressed(c)), F.lit(NOON))
 
 
 _SHOWN = _TIMED.replace("act AS (SELECT * FROM c WHERE", "act AS (SELECT * FROM c WHERE claim_id % 13 <> 0 AND claim_id % 17 <> 0 AND")

@@ -25,14 +25,14 @@ def dedup_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coalesce_collisions(spark: SparkSession, d: str) -> DataFrame:
-    """Dockets delivered with different texts: as many versions as distinct digests."""
-    docs = table(spark, d, "documents").filter("docket_no IS NOT NULL AND text IS NOT NULL")
+    """Dockets (courts, where there is none) delivered with different texts: as many versions as distinct digests."""
+    docs = table(spark, d, "documents").withColumn("docket_no", F.coalesce("docket_no", "court_id"))
     return docs.groupBy("docket_no").agg(F.count_distinct(F.md5(F.encode("text", "utf-8"))).alias("n_versions"), F.min("doc_id").alias("kept")).filter("n_versions > 1")
 
 
 def dedup_pairs_prf(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of equal texts against pairs of one docket."""
-    docs = table(spark, d, "documents").filter("docket_no IS NOT NULL AND text IS NOT NULL").select("docket_no", F.md5(F.encode("text", "utf-8")).alias("body"))
+    """Pairs of equal texts against pairs of one docket (of one court, where there is none)."""
+    docs = table(spark, d, "documents").select(F.coalesce("docket_no", "court_id").alias("docket_no"), F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("body"))
     return ops.cluster_pair_counts(docs, "body", "docket_no")
 
 
@@ -142,11 +142,11 @@ QUERIES = {
     f.__name__: f
     for f in (naive_dedup, dedup_clusters, coalesce_collisions, dedup_pairs_prf, lineage_pair_partition, bm25_topk, term_stats, contamination, contamination_rate, percentiles, paired_contrast, discordance, sign_test, bootstrap_ci, blind_order, vocabulary_before, session_build)
 }
-_PAIRS = "x AS (SELECT docket_no, md5(text) AS body FROM documents WHERE docket_no IS NOT NULL AND text IS NOT NULL), n AS (SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY body, docket_no)) AS tp, (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY body)) AS p, (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY docket_no)) AS l)"
+_PAIRS = "x AS (SELECT coalesce(docket_no, court_id) AS docket_no, md5(coalesce(text, '')) AS body FROM documents), n AS (SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY body, docket_no)) AS tp, (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY body)) AS p, (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY docket_no)) AS l)"
 ORACLE = {
     "naive_dedup": f"SELECT min(doc_id) AS doc_id, count(*) AS n_members FROM documents WHERE text IS NOT NULL GROUP BY {_SQ}",
     "dedup_clusters": f"WITH x AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_SQ}) AS cluster, count(*) OVER (PARTITION BY {_SQ}) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, cluster FROM x WHERE n > 1",
-    "coalesce_collisions": "SELECT docket_no, count(DISTINCT text) AS n_versions, min(doc_id) AS kept FROM documents WHERE docket_no IS NOT NULL AND text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT text) > 1",
+    "coalesce_collisions": "SELECT coalesce(docket_no, court_id) AS docket_no, count(DISTINCT text) AS n_versions, min(doc_id) AS kept FROM documents GROUP BY 1 HAVING count(DISTINCT text) > 1",
     "dedup_pairs_prf": f"WITH {_PAIRS}, r AS (SELECT tp, p, l, coalesce(tp / nullif(p, 0), 0) AS pr, coalesce(tp / nullif(l, 0), 0) AS rc FROM n) SELECT CAST(tp AS BIGINT) AS tp, CAST(p - tp AS BIGINT) AS fp, CAST(l - tp AS BIGINT) AS fn, round(pr, 6) AS \"precision\", round(rc, 6) AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) AS f1 FROM r",
     "lineage_pair_partition": "WITH x AS (SELECT coalesce(docket_no, '') AS k, md5(text) AS body FROM documents WHERE text IS NOT NULL), n AS (SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY body, k)) AS w, (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM x GROUP BY body)) AS a) SELECT CAST(w AS BIGINT) AS within_lineage, CAST(a - w AS BIGINT) AS cross_lineage FROM n",
     "bm25_topk": BM25_SQL,

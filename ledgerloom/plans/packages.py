@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical, ed25519
 from ..functions.keys import folded, instant_ms, uuid_key, uuid_text
 from ..operators import trust
-from ..operators.replay import Machine
+from ..operators.replay import Machine, replay
 from ..session import ensure_checkpoint_dir
 from ..sources import packages as pk
 from ..sources.tables import table
@@ -38,8 +38,8 @@ def strict_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def package_canonical_hash(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "manifest").select(uuid_text(uuid_key("package_id")).alias("package_id"), F.lit("2.0").alias("format_version"), uuid_text(uuid_key("claim_id")).alias("claim_id"), uuid_text(uuid_key("claim_instance_id")).alias("claim_instance_id"), folded("hash").alias("hash"))
-    return trust.package_hash(m.filter("hash IS NOT NULL").distinct())
+    m = table(spark, d, "manifest").select(uuid_text(uuid_key("package_id")).alias("package_id"), F.lit("2.0").alias("format_version"), uuid_text(uuid_key("claim_id")).alias("claim_id"), uuid_text(uuid_key("claim_instance_id")).alias("claim_instance_id"), F.coalesce(folded("hash"), F.lit("")).alias("hash"))
+    return trust.package_hash(m.distinct())
 
 
 def _digit(c: str) -> Column:
@@ -114,25 +114,48 @@ def signature_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tar_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents packed into one archive per docket and read back: (docket_no, member, digest)."""
-    docs = table(spark, d, "documents").filter("docket_no IS NOT NULL AND text IS NOT NULL")
-    files = docs.select("docket_no", F.concat(F.lit("claims/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.encode("text", "utf-8").alias("content"))
+    """Documents packed into one archive per docket, or court and month where there is none, and read back."""
+    docs = table(spark, d, "documents")
+    month = F.concat_ws(" ", "court_id", F.date_format("decided_on", "yyyy-MM"))
+    files = docs.select(F.coalesce("docket_no", month).alias("docket_no"), F.concat(F.lit("claims/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
     back = pk.unpack(pk.pack(files, "docket_no").select(F.col("docket_no").alias("path"), F.col("archive").alias("content")))
     return back.select(F.col("path").alias("docket_no"), "member", F.sha2("content", 256).alias("digest"), "code")
 
 
-def stream_states(spark: SparkSession, d: str) -> DataFrame:
-    """The provenance feed as a file stream: each claim's state once the stream has caught up."""
-    src, out = f"{d}/provenance.parquet", f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(src).schema
-    files = _folder_stream(spark, src, schema)
-    machine = Machine()
-    changes = files.select(uuid_text(uuid_key("claim_id")).alias("key"), instant_ms("timestamp").alias("ms"), uuid_text(uuid_key("event_id")).alias("id"), machine.code(folded("event_type")).alias("code")).filter("key IS NOT NULL AND ms IS NOT NULL")
-    states = stream.stream_states(changes.withColumn("at", F.timestamp_millis("ms")), machine)
-    q = states.writeStream.outputMode("append").option("checkpointLocation", f"{out}/log").option("path", f"{out}/data").format("parquet").trigger(availableNow=True).start()
+def _changes(files: DataFrame, machine: Machine) -> DataFrame:
+    kind = folded("event_type")
+    c = files.select(uuid_text(uuid_key("claim_id")).alias("key"), instant_ms("timestamp").alias("ms"), uuid_text(uuid_key("event_id")).alias("id"), machine.code(kind).alias("code"), kind.alias("event_type"))
+    return c.filter("key IS NOT NULL AND ms IS NOT NULL AND id IS NOT NULL").withColumn("at", F.timestamp_millis("ms"))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame) -> str:
+    """Runs a stream until it has caught up, and gives the folder that it has written."""
+    out = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = rows.writeStream.outputMode("append").option("checkpointLocation", f"{out}/log").option("path", f"{out}/data").format("parquet").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = spark.read.schema("key string, n long, state int, committed_state int").parquet(f"{out}/data").groupBy("key").agg(F.max_by("state", "n").alias("state"))
-    return last.select(F.col("key").alias("claim_id"), machine.name(F.col("state")).alias("state"))
+    return f"{out}/data"
+
+
+def stream_states(spark: SparkSession, d: str) -> DataFrame:
+    """The provenance feed as a file stream: each claim's state once the stream has caught up. Claims with changes that came
+    too late for the stream are replayed from the log."""
+    src, machine = f"{d}/provenance.parquet", Machine()
+    delivered = spark.read.parquet(src)
+    states = stream.stream_states(_changes(_folder_stream(spark, src, delivered.schema), machine), machine)
+    written = spark.read.schema(stream.STATES).parquet(_streamed(spark, states))
+    late = stream.late_keys(written)
+    last = written.join(late, "key", "left_anti").groupBy("key").agg(F.max_by("state", "n").alias("state"))
+    again = _changes(delivered, machine).join(late, "key").dropDuplicates(["id"]).select(F.col("key").cast("binary").alias("key"), F.col("id").cast("binary").alias("id"), "ms", "code")
+    folded_again = replay(again, machine).select(F.col("key").cast("string").alias("key"), "state")
+    return last.unionByName(folded_again).select(F.col("key").alias("claim_id"), machine.name(F.col("state")).alias("state"))
+
+
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Changes per type and thirty days, each once, of the windows that the stream's watermark has passed."""
+    src = f"{d}/provenance.parquet"
+    counts = stream.windowed_counts(_changes(_folder_stream(spark, src, spark.read.parquet(src).schema), Machine()), "30 days")
+    flat = counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return spark.read.schema("day string, event_type string, n long").parquet(_streamed(spark, flat))
 
 
 def _folder_stream(spark: SparkSession, src: str, schema) -> DataFrame:
@@ -141,16 +164,16 @@ def _folder_stream(spark: SparkSession, src: str, schema) -> DataFrame:
     return reader.option("pathGlobFilter", os.path.basename(src)).parquet(os.path.dirname(src)) if os.path.isfile(src) else reader.parquet(src)
 
 
-QUERIES = {f.__name__: f for f in (nfc_digest, identity_hash, strict_json, package_canonical_hash, hmac_verify, attestation_verify, signature_lines, signature_files, tar_roundtrip, stream_states)}
+QUERIES = {f.__name__: f for f in (nfc_digest, identity_hash, strict_json, package_canonical_hash, hmac_verify, attestation_verify, signature_lines, signature_files, tar_roundtrip, stream_states, stream_windows)}
 ORACLE = {
     "nfc_digest": "SELECT doc_id, sha256(nfc_normalize(text)) AS digest FROM documents",
     "identity_hash": """SELECT doc_id, sha256('{"locale":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || ',"type":"decision"}') AS content_hash FROM documents""",
-    "tar_roundtrip": "SELECT docket_no, 'claims/' || doc_id || '.md' AS member, sha256(text) AS digest, CAST(NULL AS VARCHAR) AS code FROM documents WHERE docket_no IS NOT NULL AND text IS NOT NULL",
+    "tar_roundtrip": "SELECT coalesce(docket_no, concat_ws(' ', court_id, strftime(decided_on, '%Y-%m'))) AS docket_no, 'claims/' || doc_id || '.md' AS member, sha256(coalesce(text, '')) AS digest, CAST(NULL AS VARCHAR) AS code FROM documents",
 }
 
 
 def _package_sql() -> str:
-    return f"""WITH m AS (SELECT DISTINCT {_u('package_id')} AS p, '["' || {_u('claim_id')} || '","' || {_u('claim_instance_id')} || '","' || lower(trim(hash)) || '"]' AS c FROM manifest WHERE hash IS NOT NULL)
+    return f"""WITH m AS (SELECT DISTINCT {_u('package_id')} AS p, '["' || {_u('claim_id')} || '","' || {_u('claim_instance_id')} || '","' || coalesce(lower(trim(hash)), '') || '"]' AS c FROM manifest)
  SELECT p AS package_id, sha256('["2.0","' || p || '",[' || string_agg(c, ',' ORDER BY c) || ']]' || chr(10)) AS package_hash FROM m GROUP BY 1"""
 
 
@@ -169,3 +192,5 @@ ORACLE["stream_states"] = f"""WITH {_EV}, s AS (SELECT claim_id, min((ms, event_
  t AS (SELECT ev.claim_id, min_by(event_type, (ms, event_id)) AS e FROM ev JOIN s USING (claim_id) WHERE event_type IN ('supersede', 'withdraw') AND (ms, event_id) > s GROUP BY 1)
  SELECT c.claim_id, CASE WHEN s.claim_id IS NULL THEN NULL WHEN e = 'supersede' THEN 'superseded' WHEN e = 'withdraw' THEN 'withdrawn' ELSE 'active' END AS state FROM (SELECT DISTINCT claim_id FROM ev) c LEFT JOIN s USING (claim_id) LEFT JOIN t USING (claim_id)"""
 ORACLE["strict_json"] = """WITH x AS (SELECT raw_id, CASE WHEN NOT json_valid(payload) THEN 'PX_E_4006' WHEN EXISTS (SELECT 1 FROM json_tree(CASE WHEN json_valid(payload) THEN payload END) t WHERE t.type = 'DOUBLE') THEN 'PX_E_4008' END AS code FROM manifest_raw) SELECT code, count(*) AS n_lines FROM x GROUP BY 1"""
+ORACLE["stream_windows"] = f"""WITH {_EV}, e AS (SELECT event_id, event_type, ms, ms // 2592000000 AS w FROM ev WHERE claim_id IS NOT NULL AND ms IS NOT NULL), m AS (SELECT max(ms) - 172800000 AS mark FROM e)
+ SELECT strftime(epoch_ms(w * 2592000000), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM e, m WHERE (w + 1) * 2592000000 <= mark GROUP BY 1, 2"""

@@ -21,7 +21,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or one of our own where none is set."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``. Where none is set, a local session gets a folder of its
+    own, as its executors run in one process; a cluster is refused, as its executors could not read it."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
@@ -29,6 +30,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         sc.setCheckpointDir(named)
+    elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can read")
     else:
         own = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)

@@ -11,7 +11,10 @@ With ``records`` the rows of a key are one record delivered again, so what is le
 other side has the key at all.
 
 Sizes: a key's distinct left-over rows meet in one task as dictionary codes (eight bytes a field); payloads stay outside.
-``transport`` holds no cost matrix, so memory grows with the rows of the key, its time with left times right distinct rows.
+``transport`` holds no cost matrix, so memory grows with the rows of the key, its time with left times right distinct rows. Keys
+with more than ``SPREAD`` such rows are first looked at in joins, by ``forced``: where every row of the smaller side differs from
+exactly one row of the other in a single field, and those have room, that pairing is the only one of least cost, and the key
+needs no task of its own.
 
 Defined cases: null equals only null; a null key is dropped; empty tables give rows of one side only; of several pairings of
 least cost one is taken, the same in every run.
@@ -26,7 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import parallelism
+from ..session import cut, parallelism
+
+#: Distinct left-over rows of a key beyond which its pairing is sought in joins first.
+SPREAD = 5_000
 
 
 def transport(a: np.ndarray, b: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> list[tuple[int, int, int]]:
@@ -192,6 +198,32 @@ def _plain(df: DataFrame, field: str) -> Column:
     return F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"})).alias(field) if nested else c.alias(field)
 
 
+def forced(rest: DataFrame, keys: DataFrame, fields: list[str]) -> DataFrame:
+    """(key, field, diff, n) of those keys whose pairing of least cost is forced; others give no row.
+
+    rest (key, row, n_left, n_right): left-over rows, none of which both sides have, so that a pair costs one at least. keys (key,
+    n_left, n_right). Rows meet by all their fields but one; a row that so meets one row of the other side in all has one
+    partner at cost one and none other.
+    """
+    kind = rest.schema["row"].dataType
+    small = rest.join(keys.select("key", (F.col("n_left") <= F.col("n_right")).alias("by_left"), F.abs(F.col("n_left") - F.col("n_right")).alias("over")), "key")
+    mine = F.when(F.col("by_left"), F.col("n_left")).otherwise(F.col("n_right"))
+    small = small.withColumns({"mine": mine, "room": F.col("n_left") + F.col("n_right") - mine})
+    but = lambda k: F.struct(F.lit(k).alias("k"), *(F.lit(None).cast(kind[f].dataType).alias(f) if f == fields[k] else F.col("row")[f].alias(f) for f in fields))
+    spread = small.withColumn("hub", F.explode(F.array(*map(but, range(len(fields))))))
+    met = spread.filter("room > 0").groupBy("key", "hub").agg(F.count("*").alias("met"), F.max("row").alias("partner"))
+    mine = spread.filter("mine > 0").select("key", "row", "mine", "by_left", "over", "hub").join(met, ["key", "hub"], "left")
+    one = mine.groupBy("key", "row").agg(F.max("mine").alias("mine"), F.max("by_left").alias("by_left"), F.max("over").alias("over"), F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.max("partner").alias("partner"), F.max(F.when(F.col("met") > 0, F.col("hub.k"))).alias("k"))
+    room = small.filter("room > 0").select("key", F.col("row").alias("partner"), "room")
+    full = one.groupBy("key", "partner").agg(F.sum("mine").alias("asked"), F.max("met").alias("met"), F.min("met").alias("least")).join(room, ["key", "partner"], "left")
+    good = full.groupBy("key").agg(F.bool_and(F.coalesce((F.col("met") == 1) & (F.col("least") == 1) & (F.col("asked") <= F.col("room")), F.lit(False))).alias("good")).filter("good").select("key")
+    pairs = one.join(good, "key", "left_semi")
+    name = F.element_at(F.array(*map(F.lit, fields)), F.col("k") + 1)
+    differ = pairs.groupBy("key", name.alias("field")).agg(F.sum("mine").alias("n")).select("key", "field", F.lit("differs").alias("diff"), "n")
+    alone = pairs.filter("over > 0").select("key", F.lit("*").alias("field"), F.when(F.col("by_left"), "right_only").otherwise("left_only").alias("diff"), F.col("over").alias("n")).distinct()
+    return differ.unionByName(alone)
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str, fields: list[str], records: bool = False) -> DataFrame:
     """(key, field, diff, n): n rows of the key that differ in a field, or that one side has alone (field ``*``).
 
@@ -211,18 +243,28 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, fields: list[str], re
         F.sum("n_right").alias("n_right"),
         F.max(over("n_left")).alias("a"),
         F.max(over("n_right")).alias("b"),
-    ).filter("kinds_left + kinds_right > 0")
+    )
+    by_key = cut(by_key.filter("kinds_left + kinds_right > 0"))  # keys with a difference
     single = "kinds_left <= 1 AND kinds_right <= 1 OR kinds_left = 0 OR kinds_right = 0"
     n, met = F.least("n_left", "n_right"), F.col("kinds_left") * F.col("kinds_right") > 0
     cell = lambda when, field, diff, n: F.when(when, F.struct(F.lit(field).alias("field"), F.lit(diff).alias("diff"), n.alias("n")))
     cells = [cell(met & ~F.col("a")[f].eqNullSafe(F.col("b")[f]), f, "differs", n) for f in fields]
     cells += [cell(F.col("n_left") > n, "*", "left_only", F.col("n_left") - n), cell(F.col("n_right") > n, "*", "right_only", F.col("n_right") - n)]
     plain = by_key.filter(single).select("key", "in_left", "in_right", F.explode(F.array_compact(F.array(*cells))).alias("x")).select("key", "x.*", "in_left", "in_right")
-    many = by_key.filter(f"NOT ({single})").select("key")
-    rest = counted.filter("l <> r").join(many, "key", "left_semi")
+    many = by_key.filter(f"NOT ({single})").select("key", "n_left", "n_right", "kinds_left", "kinds_right")
+    out = plain
+    if records:
+        out = out.filter("diff = 'differs' OR in_left = 0 OR in_right = 0")
+    out = out.drop("in_left", "in_right")
+    if many.isEmpty():
+        return out
+    rest = counted.filter("l <> r").join(many.select("key"), "key", "left_semi").select("key", "row", "n_left", "n_right")
+    large = many.filter(F.col("kinds_left") + F.col("kinds_right") > SPREAD)
+    if not large.isEmpty():
+        rest = cut(rest)
+        settled = cut(forced(rest.join(large.select("key"), "key", "left_semi"), large, fields))
+        rest = rest.join(settled.select("key").distinct(), "key", "left_anti")
+        out = out.unionByName(settled.filter("diff = 'differs'") if records else settled)
     rest = rest.repartition(parallelism(left.sparkSession), "key").sortWithinPartitions("key", "row")
     solved = rest.select("key", *(_plain(rest, f) for f in fields), "n_left", "n_right").mapInArrow(_solving(fields), "key binary, field string, diff string, n bigint")
-    if records:
-        plain = plain.filter("diff = 'differs' OR in_left = 0 OR in_right = 0")
-        solved = solved.filter("diff = 'differs'")
-    return plain.drop("in_left", "in_right").unionByName(solved)
+    return out.unionByName(solved.filter("diff = 'differs'") if records else solved)

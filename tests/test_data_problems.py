@@ -3,6 +3,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import digest_key, instant_ms, uuid_key, uuid_text
@@ -125,16 +126,38 @@ def test_reconcile(spark):
     assert reconcile.reconcile(left.limit(0), right.limit(0), "k", ["a"]).collect() == []
 
 
-def test_a_key_with_a_thousand_left_over_rows(spark):
-    """Half of all rows have one key; each differs in one field from its partner, and an array tells the partners."""
-    row = lambda i, x: ("hot", f"{i % 7}", x, [str(i), "t"], {"m": i})
+@pytest.mark.parametrize("spread", [100, 10_000])
+def test_keys_with_hundreds_of_left_over_rows(spark, monkeypatch, spread):
+    """Half of all rows have one key; each differs in one field from its partner, and an array tells the partners. Beyond the
+    spread that is found in joins, and gives the same; "tied" has rows with two partners, which only the transport can pair."""
+    monkeypatch.setattr(reconcile, "SPREAD", spread)
+    calls = []
+    monkeypatch.setattr(reconcile, "forced", lambda *a, f=reconcile.forced: (calls.append(1), f(*a))[1])
+    row = lambda key, i, x: (key, f"{i % 7}", x, [str(i), "t"], {"m": i})
     kind = "k string, a string, s string, t array<string>, m map<string,int>"
     both = [(f"k{i}", "a", "b", ["c"], None) for i in range(1000)]
-    left = spark.createDataFrame([*both, *(row(i, "old") for i in range(1000)), row(-1, "x"), row(-1, "x")], kind)
-    right = spark.createDataFrame([*both, *(row(i, "new") for i in range(1000)), row(-1, "x")], kind)
-    left, right = (d.select(F.col("k").cast("binary").alias("k"), "a", "s", "t", F.array_sort(F.map_entries("m")).alias("m")) for d in (left, right))
+    left = [*both, *(row("hot", i, "old") for i in range(1000)), *(row("tied", i, "old") for i in range(150)), row("hot", -1, "x"), row("hot", -1, "x")]
+    right = [*both, *(row("hot", i, "new") for i in range(1000)), *(row("tied", i, "new") for i in range(150)), row("tied", 3, "newer"), row("hot", -1, "x"), row("hot", 7, "new"), row("hot", 2000, "other")]
+    left, right = (spark.createDataFrame(d, kind).select(F.col("k").cast("binary").alias("k"), "a", "s", "t", F.array_sort(F.map_entries("m")).alias("m")) for d in (left, right))
     got = {(bytes(r["key"]), r["field"], r["diff"], r["n"]) for r in reconcile.reconcile(left, right, "k", ["a", "s", "t", "m"]).collect()}
-    assert got == {(b"hot", "s", "differs", 1000), (b"hot", "*", "left_only", 1)}
+    assert bool(calls) == (spread == 100)
+    rest = {(b"tied", "s", "differs", 150), (b"tied", "*", "right_only", 1)}
+    # the last "x" of the left is four fields from what is left of the right: a repeated row, or one of another kind
+    assert {x for x in got if x[0] == b"tied"} == rest
+    hot = {x[1]: x[3] for x in got if x[0] == b"hot" and x[2] == "differs"}
+    assert hot["s"] == 1001 and sum(hot.values()) in (1003, 1004) and (b"hot", "*", "right_only", 1) in got
+
+
+def test_forced_pairs(spark):
+    """Without the odd rows the pairing is forced, and equals the transport's."""
+    kind = "key string, row struct<a:string,b:int,c:string>, n_left long, n_right long"
+    rows = [("f", ("x", i, "p"), 2, 0) for i in range(20)] + [("f", ("y", i, "p"), 0, 3) for i in range(20)]
+    rows += [("g", ("x", 1, None), 1, 0), ("g", ("x", 2, None), 0, 1), ("g", (None, 1, None), 0, 1)]
+    rows += [("h", ("x", 1, "p"), 0, 2), ("h", ("x", 2, "p"), 1, 0), ("h", ("x", 3, "p"), 1, 0), ("h", ("q", 9, "r"), 1, 0)]
+    rest = spark.createDataFrame(rows, kind).withColumn("key", F.col("key").cast("binary"))
+    keys = rest.groupBy("key").agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+    got = {(bytes(r["key"]).decode(), r["field"], r["diff"], r["n"]) for r in reconcile.forced(rest, keys, ["a", "b", "c"]).collect()}
+    assert got == {("f", "a", "differs", 40), ("f", "*", "right_only", 20)}  # g has two ways; in h one row of the right has two partners
 
 
 def lines(spark, files):

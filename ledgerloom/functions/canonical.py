@@ -41,14 +41,14 @@ def load_strict(data: bytes | str) -> object:
         raise Refused("PX_E_4006") from None
 
 
-def nfc_value(v: object) -> object:
-    """All strings in NFC; keys that become equal are refused."""
+def nfc_value(v: object, keys=_unique) -> object:  # noqa: ANN001
+    """All strings in NFC; keys that become equal are refused, or left to ``keys``."""
     if isinstance(v, str):
         return unicodedata.normalize("NFC", v)
     if isinstance(v, list):
-        return [nfc_value(x) for x in v]
+        return [nfc_value(x, keys) for x in v]
     if isinstance(v, dict):
-        return _unique([(unicodedata.normalize("NFC", k), nfc_value(x)) for k, x in v.items()])
+        return keys([(unicodedata.normalize("NFC", k), nfc_value(x, keys)) for k, x in v.items()])
     return v
 
 
@@ -82,8 +82,8 @@ IDENTITY = ("annotations", "author", "author_uri", "confidence", "labels", "loca
 
 
 def identity(payload: dict) -> dict:
-    """The identity projection: its fields alone, in NFC, tags sorted."""
-    kept = {k: nfc_value(v) for k, v in payload.items() if k in IDENTITY}
+    """The identity projection: its fields alone, in NFC (of keys that become equal the last counts), tags sorted."""
+    kept = {k: nfc_value(v, dict) for k, v in payload.items() if k in IDENTITY}
     if isinstance(kept.get("tags"), list):
         kept["tags"] = sorted(kept["tags"])
     return kept

@@ -88,8 +88,8 @@ def _signers(signers: DataFrame, p: str, key: str) -> DataFrame:
     return signers.select(F.col("signer_id").alias(key), *(F.col(c).alias(f"{p}_{k}") for k, c in cols.items()))
 
 
-def verify_envelopes(envelopes: DataFrame, signers: DataFrame, packages: DataFrame) -> DataFrame:
-    """(package_id, signer_id, code) of envelopes (package_id, signer_id, algorithm, signed_at_iso, package_canonical_hash,
+def verify_envelopes(envelopes: DataFrame, signers: DataFrame, packages: DataFrame, *more: str) -> DataFrame:
+    """(package_id, signer_id, more, code) of envelopes (package_id, signer_id, algorithm, signed_at_iso, package_canonical_hash,
     signature_b64) against signer manifests and package hashes."""
     j = envelopes.join(_signers(signers, "s", "signer_id"), "signer_id", "left").join(packages, "package_id", "left")
     c = F.col
@@ -103,7 +103,7 @@ def verify_envelopes(envelopes: DataFrame, signers: DataFrame, packages: DataFra
         ("E_SIGNER_ALGORITHM_MISMATCH", c("algorithm") != c("s_algorithm")),
         ("E_SIGNATURE_MALFORMED", given.isNull()),
     ])
-    return j.select("package_id", "signer_id", F.coalesce(plain, _signed(plain.isNull(), key, c("package_hash"), given, c("algorithm"))).alias("code"))
+    return j.select("package_id", "signer_id", *more, F.coalesce(plain, _signed(plain.isNull(), key, c("package_hash"), given, c("algorithm"))).alias("code"))
 
 
 def verify_attestations(attestations: DataFrame, signers: DataFrame, notaries: DataFrame) -> DataFrame:

@@ -182,23 +182,27 @@ def first_broken(found: DataFrame) -> DataFrame:
 UNREADABLE, HEAD, CLAIMS, TAIL, EVENTS, LIFECYCLE, FILES, CHAINS, REFERENCES = range(9)
 
 
+def claim_entries(manifests: DataFrame) -> DataFrame:
+    """(key, i, c, tags) of the claims that manifests (key, doc) list: their places and shapes, and their tags' shapes."""
+    from ..functions import canonical
+
+    listed = F.try_element_at(F.col("doc")["fields"], F.lit("claims"))
+    e = manifests.filter(listed["kind"] == "array").select("key", canonical.shape(listed["text"]).alias("claims"))
+    e = e.select("key", F.posexplode("claims.items").alias("i", "part"))
+    e = e.select("key", "i", canonical.shape(F.when(F.col("part.kind") == "string", F.to_json(F.array("part.text"))).otherwise(F.col("part.text"))).alias("c"))
+    tags = F.try_element_at(F.col("c")["fields"], F.lit("tags"))
+    return e.withColumn("tags", canonical.shape(F.when(tags["kind"] == "array", tags["text"])))
+
+
 def manifest_violations(manifests: DataFrame, spec_version: str, lenient: bool = False) -> DataFrame:
     """Broken rules of manifests (key, doc), doc being a shape: the reader's code, or all rules that are broken.
 
     Claims are looked at one by one, in their order; a claim_id that an earlier claim has is 4004, after the claim's own rules.
     """
-    from ..functions import canonical
-
-    m = Document("doc")
-    head, tail = manifest_rules(m, spec_version, lenient)
+    head, tail = manifest_rules(Document("doc"), spec_version, lenient)
     unread = manifests.filter("doc.code IS NOT NULL").select("key", F.lit(UNREADABLE).alias("stage"), F.lit(0).cast("bigint").alias("line"), F.lit(0).alias("seq"), F.col("doc.code").alias("code"))
     read = manifests.filter("doc.code IS NULL")
-    listed = F.try_element_at(F.col("doc")["fields"], F.lit("claims"))
-    entries = read.filter(listed["kind"] == "array").select("key", canonical.shape(listed["text"]).alias("claims"))
-    entries = entries.select("key", F.posexplode("claims.items").alias("i", "part"))
-    entries = entries.select("key", "i", canonical.shape(F.when(F.col("part.kind") == "string", F.to_json(F.array("part.text"))).otherwise(F.col("part.text"))).alias("c"))
-    tags = F.try_element_at(F.col("c")["fields"], F.lit("tags"))
-    entries = entries.withColumn("tags", canonical.shape(F.when(tags["kind"] == "array", tags["text"])))
+    entries = claim_entries(read)
     by_entry = broken(entries, claim_entry_rules(Document("c"), F.col("tags.items")), CLAIMS, F.col("i"))
     ids = entries.select("key", "i", Document("c").text("claim_id").alias("claim_id")).filter("claim_id IS NOT NULL")
     first = ids.groupBy("key", "claim_id").agg(F.min("i").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -274,3 +278,14 @@ def path_rules(name: Column, longest: int = 512) -> Rules:
 
 def path_code(name: Column, longest: int = 512) -> Column:
     return reduce(lambda e, r: e.when(r[1], r[0]), path_rules(name, longest), F.when(F.lit(False), ""))
+
+
+def external_verdict(events: DataFrame, entries: DataFrame) -> DataFrame:
+    """(key, verdict) of packages with claims or events (as for ``package_violations``) under the independent reader's rules: the
+    lifecycle without those on targets, and a claim that the manifest lists must have an event that begins it."""
+    scoped = events.withColumn("claim", F.struct("key", "claim_id"))
+    run = ops.lifecycle(scoped.drop("claim_id").withColumnRenamed("claim", "claim_id")).filter("first_illegal IS NOT NULL").select("claim_id.key")
+    never = entries.select("key", "claim_id").join(events.select("key", "claim_id"), ["key", "claim_id"], "left_anti").select("key")
+    bad = run.unionByName(never).distinct().withColumn("_bad", F.lit(True))
+    keys = entries.select("key").unionByName(events.select("key")).distinct()
+    return keys.join(bad, "key", "left").select("key", F.when(F.col("_bad"), "invalid").otherwise("valid").alias("verdict"))

@@ -27,7 +27,10 @@ def nfc_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identity_hash(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("source"), F.col("lang").alias("locale"), F.lit("decision").alias("type"), "doc_id"), {"ignoreNullFields": "false"}).alias("payload"))
+    """Content hashes of documents with some of the identity fields, and others that must not count."""
+    tags = F.array_compact(F.array("version_label", "lang", "source"))
+    fields = F.struct(F.col("version_label").alias("version"), tags.alias("tags"), F.col("docket_no").alias("subject"), "source", F.col("lang").alias("locale"), F.lit("decision").alias("type"), "doc_id", F.col("court_id").alias("author"), F.create_map(F.lit("z"), "source", F.lit("a"), "court_id").alias("labels"))
+    docs = table(spark, d, "documents").select("doc_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("payload"))
     return docs.select("doc_id", canonical.identity_hash(F.col("payload"))["value"].alias("content_hash"))
 
 
@@ -165,9 +168,10 @@ def _folder_stream(spark: SparkSession, src: str, schema) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (nfc_digest, identity_hash, strict_json, package_canonical_hash, hmac_verify, attestation_verify, signature_lines, signature_files, tar_roundtrip, stream_states, stream_windows)}
+_J = lambda c: f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
 ORACLE = {
     "nfc_digest": "SELECT doc_id, sha256(nfc_normalize(text)) AS digest FROM documents",
-    "identity_hash": """SELECT doc_id, sha256('{"locale":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || ',"type":"decision"}') AS content_hash FROM documents""",
+    "identity_hash": "SELECT doc_id, sha256('{\"author\":' || " + _J("court_id") + " || ',\"labels\":{\"a\":' || " + _J("court_id") + " || ',\"z\":' || " + _J("source") + " || '},\"locale\":' || " + _J("lang") + " || ',\"source\":' || " + _J("source") + " || ',\"subject\":' || " + _J("docket_no") + " || ',\"tags\":[' || array_to_string(list_transform(list_sort(list_filter([version_label, lang, source], lambda x: x IS NOT NULL)), lambda x: CAST(to_json(x) AS VARCHAR)), ',') || '],\"type\":\"decision\"}') AS content_hash FROM documents",
     "tar_roundtrip": "SELECT coalesce(docket_no, concat_ws(' ', court_id, strftime(decided_on, '%Y-%m'))) AS docket_no, 'claims/' || doc_id || '.md' AS member, sha256(coalesce(text, '')) AS digest, CAST(NULL AS VARCHAR) AS code FROM documents",
 }
 

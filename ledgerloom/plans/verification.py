@@ -235,7 +235,7 @@ _ELEMENT = f"list_filter(list_transform({_SUP}, lambda e, i: CASE WHEN NOT regex
 _ISO = "trim(created_at)"
 _UNTIL = "strftime(deleted_at, '%Y-%m-%dT%H:%M:%SZ')"
 _OPENS = " OR ".join(f"coalesce(regexp_matches(trim({c}), '^[\\[{{&*!]'), false)" for c in ("claim_id", "format_version", "state", "producer", "created_at", "superseded_by_claim_id"))
-CLAIM_SQL = f"""WITH a AS (SELECT *, {_OPENS} AS unread FROM manifest WHERE claim_id IS NOT NULL AND format_version IS NOT NULL), m AS (SELECT * FROM a WHERE NOT unread), n AS (SELECT *, regexp_full_match(trim(format_version), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') AS num FROM m),
+CLAIM_SQL = rf"""WITH a AS (SELECT *, {_OPENS} AS unread FROM manifest WHERE claim_id IS NOT NULL AND format_version IS NOT NULL), m AS (SELECT * FROM a WHERE NOT unread), n AS (SELECT *, regexp_full_match(trim(format_version), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') AS num FROM m),
  x AS (SELECT package_id, claim_id, received_at, hash, unnest(list_filter([CASE WHEN NOT num THEN 1 END, CASE WHEN num AND CAST(trim(format_version) AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 2 END, CASE WHEN num AND NOT regexp_full_match(trim(format_version), '-?\d+\.\d{{3}}') THEN 3 END,
  CASE WHEN NOT regexp_full_match({_ISO}, '{ops.DAY.strip('^$')}') OR try_strptime({_ISO}, '%Y-%m-%dT%H:%M:%SZ') IS NULL AND created_at IS NOT NULL THEN 5 END, CASE WHEN {_ISO} > {_UNTIL} THEN 8 END, CASE WHEN trim(state) NOT IN ('affirm', 'negate', 'unknown') THEN 10 END, {_ELEMENT.replace('15', '12').replace('16', '13').replace('17', '14')},
  CASE WHEN (state IS NOT NULL OR len({_SUP}) > 0 OR created_at IS NOT NULL OR deleted_at IS NOT NULL) AND coalesce(trim(producer), '') = '' THEN 15 END, CASE WHEN tags IS NULL THEN 16 END], lambda q: q IS NOT NULL)) AS seq FROM n)
@@ -265,5 +265,16 @@ MIGRATED_SQL = f"""WITH j AS (SELECT raw_id, payload, json_valid(payload) AS ok
  CASE WHEN code IS NULL THEN '2.0' END AS format_version, CASE WHEN code IS NULL THEN '0.4.0' END AS spec_version, coalesce(left_over > 0, false) AS extended FROM e"""
 
 
-QUERIES = {f.__name__: f for f in (event_verdict, entry_verdict, manifest_rules, package_verdict, package_codes, timestamp_codes, archive_paths, claim_violations, canonical_documents, migrated_manifests)}
-ORACLE = {"event_verdict": EVENT_SQL, "entry_verdict": ENTRY_SQL, "manifest_rules": _json_sql(), "package_verdict": VERDICT_SQL, "package_codes": CODES_SQL, "timestamp_codes": STAMPS_SQL, "archive_paths": PATHS_SQL, "claim_violations": CLAIM_SQL, "migrated_manifests": MIGRATED_SQL}
+def external_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The independent reader's verdict on each package."""
+    v = ops.external_verdict(_events(spark, d), _entries(spark, d)[0])
+    return v.select(uuid_text("key").alias("package_id"), "verdict")
+
+
+EXTERNAL_SQL = f"""WITH {_EV}, ent AS (SELECT DISTINCT {_u('package_id')} AS package_id, {_u('claim_id')} AS claim_id FROM manifest WHERE package_id IS NOT NULL AND claim_id IS NOT NULL), pe AS (SELECT * FROM ev WHERE package_id IS NOT NULL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY package_id, claim_id ORDER BY ms, event_id) AS n FROM pe), b AS (SELECT package_id, (n = 1) <> (event_type IN ('create', 'publish')) OR count(*) FILTER (event_type IN ('supersede', 'withdraw')) OVER (PARTITION BY package_id, claim_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS bad FROM o),
+ x AS (SELECT package_id FROM b WHERE bad UNION SELECT package_id FROM ent WHERE (package_id, claim_id) NOT IN (SELECT (package_id, claim_id) FROM pe)) SELECT package_id, CASE WHEN package_id IN (FROM x) THEN 'invalid' ELSE 'valid' END AS verdict FROM (SELECT package_id FROM ent UNION SELECT package_id FROM pe)"""
+
+
+QUERIES = {f.__name__: f for f in (event_verdict, entry_verdict, manifest_rules, package_verdict, package_codes, timestamp_codes, archive_paths, claim_violations, canonical_documents, migrated_manifests, external_verdict)}
+ORACLE = {"event_verdict": EVENT_SQL, "entry_verdict": ENTRY_SQL, "manifest_rules": _json_sql(), "package_verdict": VERDICT_SQL, "package_codes": CODES_SQL, "timestamp_codes": STAMPS_SQL, "archive_paths": PATHS_SQL, "claim_violations": CLAIM_SQL, "migrated_manifests": MIGRATED_SQL, "external_verdict": EXTERNAL_SQL}

@@ -150,6 +150,17 @@ def surfaced(claims: DataFrame, instant: Column) -> DataFrame:
     return one.unionByName(every).unionByName(claims.filter("subject IS NULL").select("subject", "claim_id"))
 
 
+def retrieve(ranked: DataFrame, claims: DataFrame, instant: Column, k: int = 10) -> DataFrame:
+    """(query_id, claim_id, rank) of the k best claims per query that a reader shows, in the order of ranked (query_id, claim_id,
+    rank). Superseded and withdrawn claims are left out before conflicts are resolved; claims as for ``surfaced``, with state."""
+    from .evaluation import unsuppressed
+
+    shown = surfaced(unsuppressed(claims), instant).select("claim_id").distinct()
+    kept = ranked.join(shown, "claim_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "claim_id"))
+    return kept.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "claim_id", "rank")
+
+
 def evidence_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(claim_id, hash_changed, state_changed, tags_added, tags_removed, labels_added, labels_removed) of claims in both packages
     that differ: (claim_id, hash, state, tags, labels) with unique claims. Labels are compared by their keys."""

@@ -11,6 +11,7 @@ from ..functions import canonical
 from ..functions.keys import instant_ms
 from ..session import cut
 from ..sources.packages import Budget, unpack
+from . import claims as ops
 from . import trust
 from . import verification as v
 
@@ -89,3 +90,34 @@ def verify_archives(archives: DataFrame, spec_version: str, **options) -> DataFr
     """(path, stage, code) of each archive: null for a package that passes, else where and at which rule a reader stops."""
     first = v.first_broken(archive_violations(archives, spec_version, **options)).withColumnRenamed("key", "path")
     return archives.select("path").distinct().join(first, "path", "left").select("path", "stage", "code")
+
+
+def _opened(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Manifests (key, doc), claims (key, claim_id, hash, state, tags, labels) and events (key, event_id, line) of archives."""
+    m = cut(unpack(archives).withColumnRenamed("path", "key"))
+    text = lambda name: m.filter(F.col("member") == name).select("key", _text(F.col("content")).alias("text"))
+    manifests = cut(text(MANIFEST).select("key", canonical.shape(F.col("text")).alias("doc")))
+    c = v.Document("c")
+    labels = F.try_element_at(F.col("c")["fields"], F.lit("labels"))
+    claims = v.claim_entries(manifests).select(
+        "key", c.text("claim_id").alias("claim_id"), c.text("hash").alias("hash"), c.text("state").alias("state"), F.transform("tags.items", lambda t: t["text"]).alias("tags"),
+        F.from_json(F.when(labels["kind"] == "object", labels["text"]), "map<string,string>").alias("labels"), F.to_json(F.map_entries(F.col("c")["fields"])).alias("whole"),
+    )
+    lines = text(LOG).select("key", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line", "text")).filter(F.btrim("text") != "")
+    events = lines.select("key", "line", F.get_json_object("text", "$.event_id").alias("event_id"))
+    return manifests, cut(claims), cut(events)
+
+
+def diff_archives(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(path, layer, kind, item) of two versions of packages, archives (path, content) by one path: manifest fields, claims, claims'
+    evidence and the log's events that were added, removed, changed or reordered. Equal packages give no row."""
+    (ma, ca, ea), (mb, cb, eb) = _opened(a), _opened(b)
+    pair = F.struct("key", "claim_id")
+    scoped = lambda c: c.withColumn("claim_id", pair)
+    manifest = ops.manifest_diff(ma, mb).select("key", F.lit("manifest").alias("layer"), F.col("change").alias("kind"), F.col("field").alias("item"))
+    sets = ops.set_diff(scoped(ca), scoped(cb), "claim_id", ["whole"]).select("claim_id.key", F.lit("claims").alias("layer"), F.col("change").alias("kind"), F.col("claim_id.claim_id").alias("item"))
+    evidence = ops.evidence_diff(scoped(ca), scoped(cb))
+    kinds = F.array_compact(F.array(F.when(F.col("hash_changed"), "hash"), F.when(F.col("state_changed"), "state"), F.when(F.size("tags_added") + F.size("tags_removed") > 0, "tags"), F.when(F.size("labels_added") + F.size("labels_removed") > 0, "labels")))
+    evidence = evidence.select("claim_id.key", F.lit("evidence").alias("layer"), F.explode(kinds).alias("kind"), F.col("claim_id.claim_id").alias("item"))
+    log = ops.timeline_ids(ea, eb, "key", "event_id", "line").select("key", F.lit("log").alias("layer"), F.col("change").alias("kind"), F.col("event_id").alias("item"))
+    return reduce(DataFrame.unionByName, (manifest, sets, evidence, log)).withColumnRenamed("key", "path")

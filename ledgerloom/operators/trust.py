@@ -179,6 +179,17 @@ def read_signers(files: DataFrame) -> DataFrame:
     return s.select("name", *(value(f).alias(f) for f in (*needed, "notary_uri")), F.when(~F.coalesce((F.col("doc.kind") == "object") & have, F.lit(False)), "E_SIGNER_MALFORMED").alias("code"))
 
 
+def sign_packages(packages: DataFrame, signer_id: str, algorithm: str, secret: bytes, signed_at_iso: str) -> DataFrame:
+    """Envelopes of packages (package_id, package_hash) by one signer, whose secret travels with the tasks."""
+
+    @F.pandas_udf("string")
+    def run(digests: pd.Series) -> pd.Series:
+        one = lambda h: base64.b64encode(ed25519.sign(secret, bytes.fromhex(h))).decode() if algorithm == "ed25519" else sign_hmac(secret, h)
+        return digests.map(lambda h: None if h is None else one(h))
+
+    return packages.select("package_id", F.lit(signer_id).alias("signer_id"), F.lit(algorithm).alias("algorithm"), F.lit(signed_at_iso).alias("signed_at_iso"), F.col("package_hash").alias("package_canonical_hash"), run("package_hash").alias("signature_b64"))
+
+
 def merge_envelopes(have: DataFrame, new: DataFrame) -> DataFrame:
     """The envelopes of both, each once; ``signature_lines`` puts them in order."""
     return have.unionByName(new).distinct()

@@ -230,6 +230,16 @@ SURFACED_SQL = f"""WITH {_SHOWN}, n AS (SELECT subject, count(*) AS n_active FRO
  SELECT subject, claim_id FROM act JOIN k USING (subject) WHERE k = 'only' UNION ALL SELECT subject, recent FROM k WHERE k = 'one' UNION ALL SELECT subject, claim_id FROM rest JOIN k USING (subject) WHERE k = 'all'"""
 
 
+def store_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best claims that a reader shows for each of a few queries, which rank the stream's claims by their ids."""
+    c = cut(timed_claims(spark, d).withColumn("state", F.when(F.col("claim_id") % 13 == 0, "superseded").when(F.col("claim_id") % 17 == 0, "withdrawn").when(F.col("claim_id") % 2 == 0, "active")))
+    ranked = c.select((F.col("claim_id") % 7).alias("query_id"), "claim_id", F.col("claim_id").alias("rank"))
+    return claim_ops.retrieve(ranked, c, F.lit(NOON))
+
+
+RETRIEVE_SQL = f"SELECT query_id, claim_id, rank FROM (SELECT claim_id % 7 AS query_id, claim_id, CAST(row_number() OVER (PARTITION BY claim_id % 7 ORDER BY claim_id) AS INT) AS rank FROM ({SURFACED_SQL})) WHERE rank <= 10"
+
+
 def timeline_ids(spark: SparkSession, d: str) -> DataFrame:
     """Each package's events by line against those, but for publications, by instant."""
     e = events_of(spark, d, "package_id", "line_no", "ms", "event_type").filter("package_id IS NOT NULL")
@@ -265,7 +275,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ids_by_type, ground_truth, seeded_split, denominator, label_keys, first_questions, sessions, vocabulary_latest, judged, fairness, verdict_order, tripwires, adversarial, context_diff, deficit_attribution,
-        evidence_diff, agreement, coalesce_conflicts, store_clusters, claim_sizes, surfaced, timeline_ids, manifest_diff,
+        evidence_diff, agreement, coalesce_conflicts, store_clusters, claim_sizes, surfaced, store_retrieve, timeline_ids, manifest_diff,
     )
 }
 ORACLE = {
@@ -289,6 +299,7 @@ ORACLE = {
     "store_clusters": STORES_SQL,
     "claim_sizes": SIZES_SQL,
     "surfaced": SURFACED_SQL,
+    "store_retrieve": RETRIEVE_SQL,
     "timeline_ids": IDS_SQL,
     "manifest_diff": DIFF_SQL,
 }

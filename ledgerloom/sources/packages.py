@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import KINDS, PART, Refused, shape, three_places
+from ..functions.canonical import KINDS, PART, Refused, canonical_text, load_strict, shape, three_places
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -306,3 +307,39 @@ def pack(rows: DataFrame, package: str = "package", path: str = "path", content:
         return pd.DataFrame({package: f[package].iloc[:1], "archive": [pack_members(files)]})
 
     return rows.groupBy(package).applyInPandas(run, f"{package} {rows.select(package).dtypes[0][1]}, archive binary")
+
+
+def _canonical_source(files: dict[str, bytes]) -> list[tuple[str, bytes]]:
+    """The members of a package from its source: claims' digests taken from their files, documents in canonical JSON, and nothing
+    that the manifest does not name but a notice."""
+    if "manifest.json" not in files or "provenance.jsonl" not in files:
+        raise Refused("PX_E_2005")
+    manifest = load_strict(files["manifest.json"])
+    out = {}
+    for claim in manifest["claims"]:
+        if claim["path"] not in files:
+            raise Refused("PX_E_5002")
+        out[claim["path"]] = files[claim["path"]]
+        claim["hash"] = hashlib.sha256(files[claim["path"]]).hexdigest()
+    out["manifest.json"] = canonical_text(manifest).encode()
+    out["provenance.jsonl"] = b"".join(canonical_text(load_strict(x)).encode() for x in files["provenance.jsonl"].splitlines() if x.strip())
+    if "NOTICE" in files:
+        out["NOTICE"] = files["NOTICE"]
+    return list(out.items())
+
+
+def pack_sources(rows: DataFrame) -> DataFrame:
+    """(package, archive, code) of package sources (package, path, content), whose documents are valid: the canonical archive, with
+    the claims' digests computed anew, or the code of what keeps it from being packed. A package is written in one task."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        archive = code = None
+        try:
+            archive = pack_members(_canonical_source({p: bytes(c) for p, c in zip(f["path"], f["content"]) if c is not None}))
+        except Refused as e:
+            code = str(e)
+        except (KeyError, TypeError):
+            code = "PX_E_1001"
+        return pd.DataFrame({"package": f["package"].iloc[:1], "archive": [archive], "code": [code]})
+
+    return rows.select("package", "path", "content").groupBy("package").applyInPandas(run, f"package {rows.select('package').dtypes[0][1]}, archive binary, code string")

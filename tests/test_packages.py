@@ -116,3 +116,42 @@ def test_packing_is_canonical(spark, n):
     rows = [("p", f"f{i}", bytearray(str(i).encode())) for i in range(n)]
     got = [bytes(r["archive"]) for r in pk.pack(spark.createDataFrame(rows, "package string, path string, content binary").orderBy(F.rand(1))).collect()]
     assert got == ([pk.pack_members([(p, bytes(c)) for _, p, c in rows])] if n else [])
+
+
+def test_sources_are_packed_and_signed(spark):
+    """Digests are computed anew, documents are canonical, and what was packed and signed passes verification."""
+    source = {f"claims/{U}01.md": BODY, "manifest.json": json.dumps({**json.loads(dict((m[2], m[5]) for m in pk.members(package(claims=(1,))))["manifest.json"]), "claims": [entry(1) | {"hash": "0" * 64}]}, indent=2).encode(), "provenance.jsonl": b"\n" + json.dumps(event(1, "create", 0), indent=None).encode(), "more.txt": b"left out"}
+    rows = [("p", k, bytearray(x)) for k, x in source.items()] + [("lost", k, bytearray(x)) for k, x in source.items() if "claims" not in k] + [("none", "more.txt", bytearray(b""))]
+    packed = {r["package"]: r for r in pk.pack_sources(spark.createDataFrame(rows, "package string, path string, content binary")).collect()}
+    assert {k: r["code"] for k, r in packed.items()} == {"p": None, "lost": "PX_E_5002", "none": "PX_E_2005"}
+    members = {m[2]: m[5] for m in pk.members(bytes(packed["p"]["archive"]))}
+    assert set(members) == {f"claims/{U}01.md", "manifest.json", "provenance.jsonl"} and json.loads(members["manifest.json"])["claims"][0]["hash"] == sha(BODY) and members["manifest.json"].endswith(b"}\n")
+    digest = canonical_hash((1,))
+    for algorithm, key in (("hmac-sha256", b"k"), ("ed25519", bytes(32))):
+        e = trust.sign_packages(spark.createDataFrame([("p", digest)], "package_id string, package_hash string"), "s", algorithm, key, "t")
+        lines = trust.signature_lines(e).first()["lines"]
+        whole = pk.pack_members([*members.items(), ("signatures.jsonl", lines.encode()), ("signers/s.json", signed(algorithm=algorithm, key=key)["signers/s.json"])])
+        df = spark.createDataFrame([("p", bytearray(whole))], "path string, content binary")
+        assert [r["code"] for r in packages.verify_archives(df, "spec_v", signed=True).collect()] == [None]
+
+
+def test_archive_diffs(spark):
+    frame = lambda x: spark.createDataFrame([("p", bytearray(x)), ("q", bytearray(package()))], "path string, content binary")
+    claims = [entry(1) | {"state": "withdrawn", "tags": ["b"]}, entry(3)]
+    events = [event(2, "create", 2), event(1, "create", 0), event(1, "withdraw", 3)]
+    b = package(manifest={"license": "m", "notice_path": "NOTICE", "created_at": "2032-01-01T00:00:00Z", "claims": claims}, events=events, files={f"claims/{U}03.md": BODY})
+    got = sorted(tuple(r) for r in packages.diff_archives(frame(package()), frame(b)).collect())
+    one, two, three = (f"{U}0{i}" for i in (1, 2, 3))
+    assert got == [
+        ("p", "claims", "added", three),
+        ("p", "claims", "changed", one),
+        ("p", "claims", "removed", two),
+        ("p", "evidence", "state", one),
+        ("p", "evidence", "tags", one),
+        ("p", "log", "added", f"{U}93"),
+        ("p", "log", "removed", f"{U}91"),
+        ("p", "log", "reordered", f"{U}90"),
+        ("p", "log", "reordered", f"{U}92"),
+        ("p", "manifest", "added", "notice_path"),
+        ("p", "manifest", "changed", "license"),
+    ]

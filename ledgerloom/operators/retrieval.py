@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bounded_by_words, tokens
+from ..functions.text import bounded_by_words
 from ..session import cut
 
 K1, B = 1.5, 0.75
@@ -16,6 +16,23 @@ K1, B = 1.5, 0.75
 
 #: Postings of queries (query, term) that one pass over the documents takes.
 BLOCK_POSTINGS = 2_000_000
+#: Documents, and scores of documents under queries, that a task works out at a time.
+SLICE_ROWS, SLICE_SCORES = 500, 4_000_000
+
+
+def split_words(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """Lower-case runs of letters, digits and underscores of each text, among empty strings, and how many runs there are."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}_]+")
+    real = pc.not_equal(parts.flatten(), "").to_numpy(zero_copy_only=False)
+    return parts, np.bincount(pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)[real], minlength=len(parts))
+
+
+def _terms(batches):
+    for b in batches:
+        parts, _ = split_words(b.column(1))
+        term, row = parts.flatten(), pc.list_parent_indices(parts)
+        real = pc.not_equal(term, "")
+        yield pa.RecordBatch.from_arrays([b.column(0).take(row.filter(real)), term.filter(real)], ["query_id", "term"])
 
 
 class _Queries:
@@ -30,20 +47,21 @@ class _Queries:
         self.start = np.searchsorted([x[0] for x in flat], np.arange(len(self.terms) + 1))
         self.query, self.qtf = np.array([x[1] for x in flat], np.int64), np.array([x[2] for x in flat], float)
 
-    def postings(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def postings(self, tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, count) of the queries' terms in lists of tokens."""
         code = pc.fill_null(pc.index_in(tokens.flatten(), value_set=pa.array(self.terms, pa.string())), -1).to_numpy(zero_copy_only=False)
         row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
         pair, n = np.unique((row * len(self.terms) + code)[code >= 0], return_counts=True)
-        return pair // max(1, len(self.terms)), pair % max(1, len(self.terms)), n
+        return pair // max(1, len(self.terms)), pair % max(1, len(self.terms)), n  # np.unique sorts, so rows come in order
 
 
 def _frequencies(known: _Queries):
     def run(batches):
         df = np.zeros(len(known.terms) + 2, np.int64)  # the last two: documents and tokens
         for b in batches:
-            df += np.bincount(known.postings(b.column(0))[1], minlength=len(df))
-            df[-2:] += b.num_rows, len(b.column(0).flatten())
+            parts, length = split_words(b.column(0))
+            df += np.bincount(known.postings(parts)[1], minlength=len(df))
+            df[-2:] += b.num_rows, length.sum()
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(df[seen], pa.int64())], ["term", "df"])
 
@@ -67,16 +85,20 @@ def _scoring(known: _Queries, idf: np.ndarray, average: float, k: int):
         none = np.zeros(0, np.int64)
         held = (none, none, np.zeros(0))
         for b in batches:
-            doc = b.column(0).to_numpy(zero_copy_only=False)
-            length = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
-            row, term, tf = known.postings(b.column(1))
+            parts, length = split_words(b.column(1))
+            doc, n_queries = b.column(0).to_numpy(zero_copy_only=False), len(known.ids)
+            row, term, tf = known.postings(parts)  # in order of rows
             w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / average))
-            n = known.start[term + 1] - known.start[term]
-            flat = np.repeat(known.start[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            pair = np.repeat(row, n) * len(known.ids) + known.query[flat]
-            own, at = np.unique(pair, return_inverse=True)
-            score = np.round(np.bincount(at, weights=np.repeat(w, n) * known.qtf[flat], minlength=len(own)), 6)
-            held = _best(*(np.concatenate(x) for x in zip(held, (own % len(known.ids), doc[own // len(known.ids)], score))), k)
+            step = min(SLICE_ROWS, max(1, SLICE_SCORES // max(1, n_queries)))
+            for s in range(0, b.num_rows, step):
+                lo, hi = np.searchsorted(row, [s, s + step])
+                t = term[lo:hi]
+                n = known.start[t + 1] - known.start[t]
+                flat = np.repeat(known.start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                pair = np.repeat(row[lo:hi] - s, n) * n_queries + known.query[flat]
+                score = np.bincount(pair, weights=np.repeat(w[lo:hi], n) * known.qtf[flat], minlength=1)
+                own = np.flatnonzero(score)
+                held = _best(*(np.concatenate(x) for x in zip(held, (own % n_queries, doc[s + own // n_queries], np.round(score[own], 6)))), k)
         if len(held[0]):
             ids = pa.array(known.ids).take(pa.array(held[0]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(held[1]), pa.array(held[2])], ["query_id", "doc_id", "score"])
@@ -91,18 +113,19 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     a query counts again; counts cover all documents, and a repeated doc_id counts each time and is listed once, at its best.
     Documents are scored where they lie, and a task hands on its k best per query only. Queries go in blocks of bounded size.
     """
-    toks = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    docs = docs.select("doc_id", "text")
+    terms = queries.select("query_id", "text").mapInArrow(_terms, "query_id bigint, term string").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     blocks = 1 + terms.count() // BLOCK_POSTINGS
-    hits = docs.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double")
+    hits = None
     for b in range(blocks):
         known = _Queries(terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect())  # bounded by the block
         df = np.zeros(len(known.terms) + 2)
-        for r in toks.select("t").mapInArrow(_frequencies(known), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        for r in docs.select("text").mapInArrow(_frequencies(known), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
             df[r["term"]] = r["df"]
         n_docs, n_tokens = df[-2:]
         idf = np.log(1 + (n_docs - df[:-2] + 0.5) / (df[:-2] + 0.5))
-        hits = hits.unionByName(toks.mapInArrow(_scoring(known, idf, n_tokens / n_docs if n_tokens else 1.0, k), "query_id bigint, doc_id bigint, score double"))
+        part = docs.mapInArrow(_scoring(known, idf, n_tokens / n_docs if n_tokens else 1.0, k), "query_id bigint, doc_id bigint, score double")
+        hits = part if hits is None else hits.unionByName(part)
     hits = cut(hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")))
     fill = docs.select("doc_id").distinct().orderBy("doc_id").limit(k)  # k rows: the smallest ids can fill any query
     zero = queries.select("query_id").distinct().crossJoin(F.broadcast(fill)).withColumn("score", F.lit(0.0))

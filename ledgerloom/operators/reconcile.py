@@ -135,10 +135,10 @@ def _codes(columns: list[pa.Array]) -> np.ndarray:
 
 
 def differences(t: pa.Table, fields: list[str]) -> list[tuple[str, str, int]]:
-    """(field, diff, n) of one key's left-over rows: the fields, and n_left and n_right, one of which is zero."""
+    """(field, diff, n) of one key's left-over rows: the fields as f0, f1, ..., and n_left and n_right, one of which is zero."""
     t = t.combine_chunks()
     l, r = (t.column(c).to_numpy() for c in ("n_left", "n_right"))  # noqa: E741
-    codes = _codes([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t.column(f) for f in fields)])
+    codes = _codes([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t.column(f"f{k}") for k in range(len(fields)))])
     at, bt = np.flatnonzero(l), np.flatnonzero(r)
     count = dict.fromkeys(fields, 0)
     paired = 0
@@ -190,12 +190,12 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "field", "diff", "n"])
 
 
-def _plain(df: DataFrame, field: str) -> Column:
+def _plain(df: DataFrame, k: int) -> Column:
     """A field of the row as a value that Arrow can number: nested ones as JSON text, null staying null."""
-    kind = df.schema["row"].dataType[field].dataType
-    c = F.col("row")[field]
-    nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
-    return F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"})).alias(field) if nested else c.alias(field)
+    f = df.schema["row"].dataType.fields[k]
+    c = F.col("row")[f.name]
+    nested = isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
+    return F.when(c.isNotNull(), F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"})).alias(f"f{k}") if nested else c.alias(f"f{k}")
 
 
 def forced(rest: DataFrame, keys: DataFrame, fields: list[str]) -> DataFrame:
@@ -205,11 +205,11 @@ def forced(rest: DataFrame, keys: DataFrame, fields: list[str]) -> DataFrame:
     n_left, n_right). Rows meet by all their fields but one; a row that so meets one row of the other side in all has one
     partner at cost one and none other.
     """
-    kind = rest.schema["row"].dataType
+    names = rest.schema["row"].dataType.names
     small = rest.join(keys.select("key", (F.col("n_left") <= F.col("n_right")).alias("by_left"), F.abs(F.col("n_left") - F.col("n_right")).alias("over")), "key")
     mine = F.when(F.col("by_left"), F.col("n_left")).otherwise(F.col("n_right"))
     small = small.withColumns({"mine": mine, "room": F.col("n_left") + F.col("n_right") - mine})
-    but = lambda k: F.struct(F.lit(k).alias("k"), *(F.lit(None).cast(kind[f].dataType).alias(f) if f == fields[k] else F.col("row")[f].alias(f) for f in fields))
+    but = lambda k: F.struct(F.lit(k).alias("k"), F.col("row").withField(names[k], F.lit(None).cast(rest.schema["row"].dataType[names[k]].dataType)).alias("others"))
     spread = small.withColumn("hub", F.explode(F.array(*map(but, range(len(fields))))))
     met = spread.filter("room > 0").groupBy("key", "hub").agg(F.count("*").alias("met"), F.max("row").alias("partner"))
     mine = spread.filter("mine > 0").select("key", "row", "mine", "by_left", "over", "hub").join(met, ["key", "hub"], "left")
@@ -227,9 +227,9 @@ def forced(rest: DataFrame, keys: DataFrame, fields: list[str]) -> DataFrame:
 def reconcile(left: DataFrame, right: DataFrame, key: str, fields: list[str], records: bool = False) -> DataFrame:
     """(key, field, diff, n): n rows of the key that differ in a field, or that one side has alone (field ``*``).
 
-    left, right: the BINARY key and the fields, normalised to comparable values. Other columns are ignored.
+    left, right: the BINARY key and the fields, normalised to comparable values. Other columns are ignored; any names will do.
     """
-    side = lambda df, l, r: df.select(F.col(key).alias("key"), F.struct(*fields).alias("row"), F.lit(l).alias("l"), F.lit(r).alias("r"))  # noqa: E731, E741
+    side = lambda df, l, r: df.select(F.col(key).alias("key"), F.struct(*(F.col(f).alias(f"f{k}") for k, f in enumerate(fields))).alias("row"), F.lit(l).alias("l"), F.lit(r).alias("r"))  # noqa: E731, E741
     both = side(left, 1, 0).unionByName(side(right, 0, 1))
     counted = both.filter("key IS NOT NULL").groupBy("key", "row").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     counted = counted.withColumns({"n_left": F.greatest(F.col("l") - F.col("r"), F.lit(0)), "n_right": F.greatest(F.col("r") - F.col("l"), F.lit(0))})
@@ -248,7 +248,7 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, fields: list[str], re
     single = "kinds_left <= 1 AND kinds_right <= 1 OR kinds_left = 0 OR kinds_right = 0"
     n, met = F.least("n_left", "n_right"), F.col("kinds_left") * F.col("kinds_right") > 0
     cell = lambda when, field, diff, n: F.when(when, F.struct(F.lit(field).alias("field"), F.lit(diff).alias("diff"), n.alias("n")))
-    cells = [cell(met & ~F.col("a")[f].eqNullSafe(F.col("b")[f]), f, "differs", n) for f in fields]
+    cells = [cell(met & ~F.col("a")[f"f{k}"].eqNullSafe(F.col("b")[f"f{k}"]), f, "differs", n) for k, f in enumerate(fields)]
     cells += [cell(F.col("n_left") > n, "*", "left_only", F.col("n_left") - n), cell(F.col("n_right") > n, "*", "right_only", F.col("n_right") - n)]
     plain = by_key.filter(single).select("key", "in_left", "in_right", F.explode(F.array_compact(F.array(*cells))).alias("x")).select("key", "x.*", "in_left", "in_right")
     many = by_key.filter(f"NOT ({single})").select("key", "n_left", "n_right", "kinds_left", "kinds_right")
@@ -266,5 +266,5 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, fields: list[str], re
         rest = rest.join(settled.select("key").distinct(), "key", "left_anti")
         out = out.unionByName(settled.filter("diff = 'differs'") if records else settled)
     rest = rest.repartition(parallelism(left.sparkSession), "key").sortWithinPartitions("key", "row")
-    solved = rest.select("key", *(_plain(rest, f) for f in fields), "n_left", "n_right").mapInArrow(_solving(fields), "key binary, field string, diff string, n bigint")
+    solved = rest.select("key", *(_plain(rest, k) for k in range(len(fields))), "n_left", "n_right").mapInArrow(_solving(fields), "key binary, field string, diff string, n bigint")
     return out.unionByName(solved.filter("diff = 'differs'") if records else solved)

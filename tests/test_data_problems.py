@@ -148,6 +148,15 @@ def test_keys_with_hundreds_of_left_over_rows(spark, monkeypatch, spread):
     assert hot["s"] == 1001 and sum(hot.values()) in (1003, 1004) and (b"hot", "*", "right_only", 1) in got
 
 
+@pytest.mark.parametrize("spread", [1, 100])
+def test_fields_may_have_any_name(spark, monkeypatch, spread):
+    monkeypatch.setattr(reconcile, "SPREAD", spread)
+    names = ["k", "n_left", "row", "hub"]
+    frame = lambda x: spark.createDataFrame([("p", f"{i}", x, i, "c", "more") for i in range(3)], "key string, k string, n_left string, row int, hub string, l string").withColumn("key", F.col("key").cast("binary"))
+    got = [(bytes(r["key"]), r["field"], r["diff"], r["n"]) for r in reconcile.reconcile(frame("a"), frame("b"), "key", names).collect()]
+    assert got == [(b"p", "n_left", "differs", 3)]
+
+
 def test_forced_pairs(spark):
     """Without the odd rows the pairing is forced, and equals the transport's."""
     kind = "key string, row struct<a:string,b:int,c:string>, n_left long, n_right long"

@@ -8,6 +8,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that Spark may estimate for a checkpoint; what is above gets Spark's default for an unknown size, the largest long.
+LARGEST_ESTIMATE = (1 << 63) - 1
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is tested under."""
@@ -42,7 +45,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder; later reads survive the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _unestimated(df.checkpoint(eager=True))
+
+
+def _unestimated(df: DataFrame) -> DataFrame:
+    """A checkpoint without the size that Spark estimated for its origin, where that is beyond any real size.
+
+    A checkpoint keeps this estimate, and a join's estimate is the product of its sides. Where each round joins the rounds before
+    with themselves, the number has twice the digits each round, and after some 25 rounds it fills the driver's memory.
+    """
+    spark, plan = df.sparkSession, df._jdf.queryExecution().analyzed()
+    try:
+        if plan.stats().sizeInBytes() <= LARGEST_ESTIMATE:
+            return df
+    except ValueError:  # Python reads no number of more than 4,300 digits
+        pass
+    jvm, session = spark._jvm, df._jdf.sparkSession()
+    none = jvm.scala.Option.empty()
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), spark)
 
 
 def parallelism(spark: SparkSession) -> int:

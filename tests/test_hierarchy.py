@@ -97,3 +97,18 @@ def test_deep_walks_hold_bounded_lists(monkeypatch):
     out = list(h._walker(True)([rows]))
     assert all(sum(len(x) for c in ("path", "descendants") for x in b.column(c).to_pylist()) < 1000 + n + 1 for b in out)
     assert sum(b.num_rows for b in out) == n and sum(len(x) for b in out for x in b.column("path").to_pylist()) == n * (n + 1) // 2
+
+
+def test_doubling_keeps_size_estimates_bounded(spark, monkeypatch):
+    # an estimate that is squared each round once filled the driver's memory; a ring with a tail takes the most rounds
+    par = {f"n{i:03d}": f"n{i - 1 if i else 29:03d}" for i in range(60)}
+    cut, sizes = h.cut, []
+
+    def seen(df):
+        sizes.append((out := cut(df))._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return out
+
+    monkeypatch.setattr(h, "cut", seen)
+    got = h.hierarchy(frame(spark, par), max_component=5).collect()
+    assert {r["id"].decode(): (r["root"].decode(), r["depth"], r["in_circle"]) for r in got} == walk(par)
+    assert len(sizes) > 10 and max(sizes) < 1 << 63
